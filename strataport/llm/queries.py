@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import decontaminate
+from .language_id import identify
+from .line_dedup import dedup_lines
 from .packing import pack
+from .secrets import scan_secrets
 from .token_files import write_token_files
 
 
@@ -26,14 +29,31 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_token_files(_table(spark, sf_dir, "documents")).read(spark)
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, the cleaned text, n_lines and n_removed."""
+    out = dedup_lines(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc_id", "text", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_token_files": op3_token_files,
+    "op4_secrets": op4_secrets,
     "op5_packing": op5_packing,
+    "op6_line_dedup": op6_line_dedup,
+    "op8_language_id": op8_language_id,
 }
 
 _OP1 = r"""
@@ -53,6 +73,20 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+_OP6 = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+w AS (SELECT doc_id, i - 1 AS pos, l[i] || chr(10) || l[i + 1] || chr(10) || l[i + 2] AS k, trim(l[i]) || trim(l[i + 1]) || trim(l[i + 2]) AS solid
+      FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM d WHERE len(l) >= 3)),
+r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS nth FROM w WHERE solid <> ''),
+c AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1, pos + 2]) AS pos FROM r WHERE nth > 1),
+e AS (SELECT d.doc_id, unnest(d.l) AS line, unnest(range(len(d.l))) AS pos FROM d),
+k AS (SELECT e.doc_id, string_agg(line, chr(10) ORDER BY e.pos) AS text FROM e ANTI JOIN c ON e.doc_id = c.doc_id AND e.pos = c.pos GROUP BY e.doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(len(d.l), 0)::BIGINT AS n_lines, coalesce(n.n, 0)::BIGINT AS n_removed
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": _OP1,
+    "op6_line_dedup": _OP6,
 }
