@@ -46,6 +46,10 @@ def _written_spans(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["past"])), ",")
 
 
+def _of_kind(spans: str, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def scan_secrets(
     documents: DataFrame, *, id_col: str = "doc_id", text: str = "text", owner: str = "source", repository: str | None = None, keep: list[str] | None = None, owners: int = OWNERS,
 ) -> DataFrame:
@@ -88,7 +92,7 @@ def scan_secrets(
     s = F.coalesce("j.s", F.array().cast("array<struct<start:int,kind:int,past:int,live:boolean>>"))
     count = lambda test: F.size(F.filter(s, test)).cast("long")
     return out.select(
-        *[F.col(f"f.k{i}").alias(c) for i, c in enumerate(kept)], *[F.size(F.filter("base", lambda b, k=k: b["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)],
+        *[F.col(f"f.k{i}").alias(c) for i, c in enumerate(kept)], *[_of_kind("base", k).alias(f"n_{KINDS[k]}") for k in range(3)],
         F.sha2(_written_spans(F.col("base")), 256).alias("base_sha256"), _written_spans(F.filter(s, lambda x: (x["kind"] < 3) | x["live"])).alias("spans"),
         count(lambda x: (x["kind"] == 3) & x["live"]).alias("n_owned"), count(lambda x: x["live"]).alias("n_live"), count(lambda x: ~x["live"]).alias("n_copied"),
     )
