@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .decontamination import decontaminate
 from .language_id import identify
 from .line_dedup import dedup_lines
+from .ngram_join import join_ngrams
 from .packing import pack
 from .secrets import scan_secrets
 from .token_files import write_token_files
@@ -47,6 +48,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_ngrams(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_token_files": op3_token_files,
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_line_dedup": op6_line_dedup,
     "op8_language_id": op8_language_id,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 _OP1 = r"""
