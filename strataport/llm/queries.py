@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import decontaminate
+from .html_extraction import extract
 from .language_id import identify
 from .line_dedup import dedup_lines
 from .ngram_join import join_ngrams
@@ -26,6 +27,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_token_files(_table(spark, sf_dir, "documents")).read(spark)
 
@@ -54,6 +59,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_html_extraction": op2_html_extraction,
     "op3_token_files": op3_token_files,
     "op4_secrets": op4_secrets,
     "op5_packing": op5_packing,
