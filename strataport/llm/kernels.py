@@ -160,3 +160,12 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
         h *= STEP
         h += hashes[j : n + j]
     return mixed(h)
+
+
+def grams_of(rows: np.ndarray) -> np.ndarray:
+    """Hash of each row of a table of word hashes."""
+    h = np.zeros(len(rows), U)
+    for j in range(rows.shape[1]):
+        h *= STEP
+        h += rows[:, j]
+    return mixed(h)

@@ -16,6 +16,7 @@ from .line_dedup import dedup_lines
 from .ngram_join import join_ngrams
 from .packing import pack
 from .secrets import scan_secrets
+from .suffix_dedup import repeats
 from .token_files import write_token_files
 
 
@@ -50,6 +51,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages of 50 words or more that other documents have too."""
+    return repeats(_table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": op4_secrets,
     "op5_packing": op5_packing,
     "op6_line_dedup": op6_line_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_language_id": op8_language_id,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_ngram_join": op10_ngram_join,
