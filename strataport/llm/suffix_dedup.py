@@ -42,21 +42,11 @@ def retained(w: K.Words, least: int, gram: int, span: int) -> tuple[np.ndarray,
     n = len(g) - span + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, K.U)
-    best = g.copy()  # least hash of the next 2^k grams, doubled up to the span
-    width = 1
-    while 2 * width <= span:
-        best = np.minimum(best[: len(best) - width], best[width:])
-        width *= 2
-    best = np.minimum(best[:n], best[span - width : span - width + n])
+    best = _sliding(np.minimum, g, span)
     last = w.last()
-    at = np.arange(n)
-    inside = at + span + gram - 1 <= last[:n]
-    chosen = np.zeros(len(g), bool)
-    # from a window to the next the least hash changes rarely; only where it does is its gram looked for
-    todo = np.flatnonzero(inside & np.concatenate([[True], (best[1:] != best[:-1]) | ~inside[:-1]]))
-    for k in range(span):  # the least gram lies at most span - 1 on
-        hit = todo[g[todo + k] == best[todo]]
-        chosen[hit + k] = True
+    best[np.arange(n) + span + gram - 1 > last[:n]] = 0  # a window of two rows
+    none = np.zeros(span - 1, K.U)
+    chosen = g == _sliding(np.maximum, np.concatenate([none, best, none]), span)  # the least of some window that it is in
     place = np.flatnonzero(chosen)
     keys = K.grams(w.hash, key_words)
     place = place[place < len(keys)]
@@ -64,6 +54,15 @@ def retained(w: K.Words, least: int, gram: int, span: int) -> tuple[np.ndarray,
     return place, keys[place]
 
 
+def _sliding(what, x: np.ndarray, span: int) -> np.ndarray:
+    """Least or greatest of each ``span`` consecutive numbers."""
+    n, width, y = len(x) - span + 1, 1, x
+    while 2 * width <= span:
+        y = what(y[: len(y) - width], y[width:])
+        width *= 2
+    return what(y[:n], y[span - width : span - width + n])
+
+
 class _Keys:
     def __init__(self, *args: int):
         self.args = args
