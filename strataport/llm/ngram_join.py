@@ -15,7 +15,8 @@ two documents. Only blocks of it that can hold a pair at the threshold are ever
    pair whose overlap can no longer reach what its two sizes demand is discarded. A product returns a spanning forest of
    its links, not the pairs.
 
-Sets are of 64-bit hashes. Texts are read three times rather than storing the sets.
+Sets are of 64-bit hashes. Texts are read three times rather than storing the sets; the third time, a bit map of fixed
+size sieves out most texts that are in no block.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ BLOCK, SHORT, SLAB = 256, 32, 4096
 #: Counters of the sketch: 4 MB. Its noise is shingles / counters.
 SKETCH_BITS = 20
 CHUNKS = 64
+#: Bits of the map by which texts are sieved: 1 MB.
+MARK_BITS = 23
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> Iterator[np.ndarray]:
@@ -60,17 +63,31 @@ def _slot(s: np.ndarray, bits: int) -> np.ndarray:
     return (K.mixed(s) >> K.U(64 - bits)).astype(np.int64)
 
 
+def _hashes(s: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set."""
+    return tuple(int(K.mixed(x).sum(dtype=K.U).view(np.int64)) for x in (s * K.STEP, s ^ K.STEP))
+
+
 class _Sketch:
+    """A row for each document (n and two hashes of its set) and, at a task's end, one for each chunk of its counters."""
+
     def __init__(self, k: int, bits: int):
         self.k, self.bits = k, bits
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(1 << self.bits, np.uint32)
+        names = ["id", "n", "h1", "h2", "chunk", "counts"]
         for b in batches:
+            n, h = [], []
             for s in shingle_sets(*K.buffers(b.column("text")), self.k):
                 np.add.at(count, _slot(s, self.bits), 1)
+                n.append(len(s))
+                h.append(_hashes(s))
+            h1, h2 = (pa.array([x[i] for x in h], pa.int64()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), h1, h2, pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
+        none = pa.nulls(1, pa.int64())
         for i, c in enumerate(np.split(count, CHUNKS)):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([c.tobytes()], pa.binary())], ["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([i], pa.int32()), pa.array([c.tobytes()], pa.binary())], names)
 
 
 def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,8 +99,8 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.astype(np.uint32).tobytes() for c in total.values()], pa.binary())], ["chunk", "counts"])
 
 
-class _Sets:
-    """n, two hashes of the set, and the first shingles in the order of the sketch."""
+class _First:
+    """The first shingles of each document in the order of the sketch."""
 
     def __init__(self, k: int, percent: int, sketch):
         self.k, self.percent, self.sketch = k, percent, sketch
@@ -92,19 +109,51 @@ class _Sets:
         sketch = self.sketch.value
         bits = len(sketch).bit_length() - 1
         for b in batches:
-            n, h1, h2, first = [], [], [], []
+            n, h, first = [], [], []
             for s in shingle_sets(*K.buffers(b.column("text")), self.k):
                 n.append(len(s))
-                with np.errstate(over="ignore"):
-                    h1.append(int(K.mixed(s * K.STEP).sum(dtype=K.U).view(np.int64)))
-                    h2.append(int(K.mixed(s ^ K.STEP).sum(dtype=K.U).view(np.int64)))
+                h.append(_hashes(s))
                 p = len(s) - -(-self.percent * len(s) // 100) + 1 if len(s) else 0
                 if p < len(s):
                     s = s[np.lexsort((s, sketch[_slot(s, bits)]))[:p]]
                 first.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), *(pa.array(x, pa.int64()) for x in (n, h1, h2)), pa.array(first, pa.binary())], ["id", "n", "h1", "h2", "first"]
-            )
+            h1, h2 = (pa.array([x[i] for x in h], pa.int64()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), h1, h2, pa.array(first, pa.binary())], ["id", "n", "h1", "h2", "first"])
+
+
+class _Marks:
+    """A bit map of fixed size with the hashes of some ids, in chunks."""
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = np.zeros(1 << MARK_BITS, bool)
+        for b in batches:
+            mark[_slot(b.column("id").to_numpy().astype(K.U), MARK_BITS)] = True
+        for i, c in enumerate(np.split(np.packbits(mark), CHUNKS)):
+            if c.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([c.tobytes()], pa.binary())], ["chunk", "counts"])
+
+
+def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tasks' bit maps, one on another."""
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for i, c in zip(b.column("chunk").to_pylist(), b.column("counts").to_pylist()):
+            total[i] = total.get(i, np.uint8(0)) | np.frombuffer(c, np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["chunk", "counts"])
+
+
+class _Sieve:
+    """Rows whose id may be among those marked: spares the shuffle most other texts."""
+
+    def __init__(self, marks):
+        self.marks = marks
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = np.unpackbits(self.marks.value).astype(bool)
+        for b in batches:
+            ids = b.column("id")
+            hit = mark[_slot(ids.fill_null(0).to_numpy().astype(K.U), MARK_BITS)]
+            yield b.filter(pa.array(hit))
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,13 +304,14 @@ def join_ngrams(documents: DataFrame, *, id_col: str = "doc_id", text: str = "te
     spark = documents.sparkSession
     ship(spark)
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    counts = docs.select("text").mapInArrow(_Sketch(k, sketch_bits), "chunk int, counts binary").repartition(CHUNKS, "chunk").mapInArrow(_total, "chunk int, counts binary")
+    seen, _ = written(docs.mapInArrow(_Sketch(k, sketch_bits), "id long, n long, h1 long, h2 long, chunk int, counts binary"), "shingles")
+    counts = seen.where("chunk is not null").select("chunk", "counts").repartition(CHUNKS, "chunk").mapInArrow(_total, "chunk int, counts binary")
     sketch = b"".join(bytes(r.counts) for r in sorted(counts.collect(), key=lambda r: r.chunk)) or bytes(4 << sketch_bits)
     sent = spark.sparkContext.broadcast(np.frombuffer(sketch, np.uint32))  # of fixed size
-    rows, _ = written(docs.mapInArrow(_Sets(k, percent, sent), "id long, n long, h1 long, h2 long, first binary"), "shingles")
+    rows = seen.where("chunk is null").select("id", "n", "h1", "h2")
     some = rows.where("n > 0 and id is not null")
-    classes = some.groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "first")).alias("r"), F.count(F.lit(1)).alias("many"))
-    reps = classes.select("r.id", "n", "r.first")
+    first = docs.mapInArrow(_First(k, percent, sent), "id long, n long, h1 long, h2 long, first binary").where("n > 0 and id is not null")
+    reps = first.groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "first")).alias("r")).select("r.id", "n", "r.first")
     posted = reps.mapInArrow(_postings, "h long, id long, n long")
     chains, _ = written(posted.repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(_Chains(percent), "kind tinyint, a long, b long"), "chains")
     group = components(chains.where("kind = 0"))
@@ -277,11 +327,16 @@ def join_ngrams(documents: DataFrame, *, id_col: str = "doc_id", text: str = "te
     alone = named.where("x = y").join(whole.select("c", "x").union(whole.select("c", F.col("y").alias("x"))).distinct(), ["c", "x"], "left_anti").select("c", "x", "y")
     cells = whole.union(alone).withColumn("cell", F.xxhash64("c", "x", "y"))
     sides = cells.select("cell", "c", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-    members = blocks.join(sides, (blocks.component == sides.c) & (blocks.block == sides.block)).groupBy("id").agg(F.collect_list("cell").alias("cells"))
-    sets = docs.join(members, "id").select("id", "text", F.col("cells").alias("cell")).mapInArrow(_Resets(k), "id long, cell array<long>, s binary")
+    members, _ = written(blocks.join(sides, (blocks.component == sides.c) & (blocks.block == sides.block)).groupBy("id").agg(F.collect_list("cell").alias("cells")), "members")
+    marks = members.select("id").mapInArrow(_Marks(), "chunk int, counts binary").repartition(CHUNKS, "chunk").mapInArrow(_either, "chunk int, counts binary")
+    got = {r.chunk: bytes(r.counts) for r in marks.collect()}
+    size = (1 << MARK_BITS) // 8 // CHUNKS
+    sieve = _Sieve(spark.sparkContext.broadcast(np.frombuffer(b"".join(got.get(i, bytes(size)) for i in range(CHUNKS)), np.uint8)))  # of fixed size
+    sets = docs.mapInArrow(sieve, "id long, text string").join(members, "id").select("id", "text", F.col("cells").alias("cell")).mapInArrow(_Resets(k), "id long, cell array<long>, s binary")
     dealt = sets.select(F.explode("cell").alias("cell"), "id", "s").repartition("cell").sortWithinPartitions("cell", "id")
     links = dealt.mapInArrow(_Products(percent), "a long, b long")
-    copies = some.join(classes.where("many > 1").select("h1", "h2", "n", F.col("r.id").alias("rep")), ["h1", "h2", "n"]).where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    classes = some.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("many"))
+    copies = some.join(classes.where("many > 1").drop("many"), ["h1", "h2", "n"]).where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     found, _ = written(links.union(copies), "links")
     label = components(found)
     return rows.select("id", "n").join(label, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
