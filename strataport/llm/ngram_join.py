@@ -8,15 +8,18 @@ two documents. Only blocks of it that can hold a pair at the threshold are ever
    each, in any common order. The order is from rare to frequent, by a fixed-size count sketch of the whole corpus, so
    that passages which many documents share seldom come among the first.
 3. Documents that share such a first shingle and whose sizes allow t are chained: the chains' components hold every
-   pair that can link. A component is dealt by hash into blocks of about ``BLOCK`` rows. Lists of at most ``SHORT``
-   documents name the pairs of blocks that their pairs fall in; longer lists, which aren't spelled out as pairs, name
-   the pairs of all blocks in which they have documents.
-4. Each named pair of blocks is one product: shingles are taken a slab of columns at a time, overlaps accumulate, and a
-   pair whose overlap can no longer reach what its two sizes demand is discarded. A product returns a spanning forest of
-   its links, not the pairs.
-
-Sets are of 64-bit hashes. Texts are read three times rather than storing the sets; the third time, a bit map of fixed
-size sieves out most texts that are in no block.
+   pair that can link. A component is dealt by hash into blocks of about ``BLOCK`` rows, and a few leaders go to all its
+   blocks. Each block is one product, and its links make subcomponents: a group of copies, however large, is one by now,
+   at one product a block.
+4. What is left are pairs of different subcomponents. Lists of at most ``SHORT`` documents name the pairs of blocks that
+   their pairs fall in; longer lists, which aren't spelled out as pairs, name the pairs of all blocks in which they have
+   documents of different subcomponents. Blocks now follow the subcomponents; each named pair of blocks is a product.
+
+In a product, shingles are taken a slab of columns at a time, overlaps accumulate, and a pair whose overlap can no longer
+reach what its two sizes demand is discarded. It returns a spanning forest of its links, not the pairs.
+
+Sets are of 64-bit hashes. Texts are read again rather than storing the sets; for the products a bit map of fixed size
+sieves out most texts that are in no block.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from .components import components
 from .shared import ship, written
 
 WORDS, PERCENT = 5, 75
-BLOCK, SHORT, SLAB = 256, 32, 4096
+BLOCK, SHORT, SLAB, LEADERS = 256, 32, 4096, 8
 #: Counters of the sketch: 4 MB. Its noise is shingles / counters.
 SKETCH_BITS = 20
 CHUNKS = 64
@@ -168,8 +171,8 @@ class _Chains:
     """Lists of one shingle arrive together, by size. ``kind`` 0: a chained pair, 1: a pair of a short list, 2: a document
     of a long list (b: the shingle)."""
 
-    def __init__(self, percent: int):
-        self.percent = percent
+    def __init__(self, percent: int, short: int):
+        self.percent, self.short = percent, short
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 3
@@ -178,7 +181,7 @@ class _Chains:
             new = [b.column(c).to_numpy() for c in ("h", "id", "n")]
             h, i, n = (np.concatenate(x) for x in zip(held, new))
             cut = int(np.searchsorted(h, h[-1], "left")) if len(h) else 0
-            if len(h) - cut > 4 * SHORT:  # a long list is sent as it comes
+            if len(h) - cut > 4 * self.short:  # a long list is sent as it comes
                 yield from self._send(h, i, n, long_on)
                 long_on = h[-1]
                 held = [x[-1:] for x in (h, i, n)]
@@ -192,12 +195,12 @@ class _Chains:
             return
         edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
         size = np.diff(edge)
-        big = (size > SHORT) | (h[edge[:-1]] == long_on if long_on is not None else False)
+        big = (size > self.short) | (h[edge[:-1]] == long_on if long_on is not None else False)
         near = (h[1:] == h[:-1]) & (100 * n[:-1] >= self.percent * n[1:])  # by size: if neighbours can't link, none across can
         a, b, kind = [i[:-1][near]], [i[1:][near]], [np.zeros(int(near.sum()), np.int8)]
         of = np.repeat(size, size)
         row_big = np.repeat(big, size)
-        for d in range(1, min(SHORT, int(size[~big].max(initial=0)))):
+        for d in range(1, min(self.short, int(size[~big].max(initial=0)))):
             ok = np.flatnonzero((of[:-d] > d) & ~row_big[:-d] & (h[d:] == h[:-d]) & (100 * n[:-d] >= self.percent * n[d:]))
             a.append(i[ok])
             b.append(i[ok + d])
@@ -210,18 +213,6 @@ class _Chains:
             yield pa.RecordBatch.from_arrays([pa.array(out[:, 0].astype(np.int8)), pa.array(out[:, 1]), pa.array(out[:, 2])], ["kind", "a", "b"])
 
 
-class _Resets:
-    """Sets of the documents that some block has."""
-
-    def __init__(self, k: int):
-        self.k = k
-
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [s.tobytes() for s in shingle_sets(*K.buffers(b.column("text")), self.k)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("cell"), pa.array(sets, pa.binary())], ["id", "cell", "s"])
-
-
 def product(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Spanning forest of the links among some documents, by accumulating overlaps a slab of columns at a time."""
     size = np.array([len(s) for s in sets], np.int64)
@@ -268,19 +259,21 @@ def product(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) ->
 
 
 class _Products:
-    def __init__(self, percent: int):
-        self.percent = percent
+    """Texts arrive by cell; a set of hashes takes more room than its text, so it is made here."""
+
+    def __init__(self, k: int, percent: int):
+        self.k, self.percent = k, percent
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, ids, sets = None, [], []
         for b in batches:
             out = []
-            for c, i, s in zip(b.column("cell").to_pylist(), b.column("id").to_pylist(), b.column("s").to_pylist()):
+            for c, i, s in zip(b.column("cell").to_pylist(), b.column("id").to_pylist(), shingle_sets(*K.buffers(b.column("text")), self.k)):
                 if c != cell:
                     out += self._done(ids, sets)
                     cell, ids, sets = c, [], []
                 ids.append(i)
-                sets.append(np.frombuffer(s, K.U))
+                sets.append(s)
             yield _pairs(out)
         yield _pairs(self._done(ids, sets))
 
@@ -293,7 +286,19 @@ def _pairs(p: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
 
 
-def join_ngrams(documents: DataFrame, *, id_col: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+def _compare(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links found in the products of some cells, of which ``members`` has (id, cells)."""
+    spark = docs.sparkSession
+    members, _ = written(members, "members")
+    marks = members.select("id").mapInArrow(_Marks(), "chunk int, counts binary").repartition(CHUNKS, "chunk").mapInArrow(_either, "chunk int, counts binary")
+    got = {r.chunk: bytes(r.counts) for r in marks.collect()}
+    size = (1 << MARK_BITS) // 8 // CHUNKS
+    sieve = _Sieve(spark.sparkContext.broadcast(np.frombuffer(b"".join(got.get(i, bytes(size)) for i in range(CHUNKS)), np.uint8)))  # of fixed size
+    texts = docs.mapInArrow(sieve, "id long, text string").join(members, "id").select(F.explode("cells").alias("cell"), "id", "text")
+    return texts.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(_Products(k, percent), "a long, b long")
+
+
+def join_ngrams(documents: DataFrame, *, id_col: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT, sketch_bits: int = SKETCH_BITS, block_rows: int = BLOCK, short: int = SHORT) -> DataFrame:
     """(id_col, n_shingles, component_id) for every row; documents link when 100 * intersection >= percent * union of
     their sets, and component_id is the least id reachable by links, itself included.
 
@@ -313,31 +318,36 @@ def join_ngrams(documents: DataFrame, *, id_col: str = "doc_id", text: str = "te
     first = docs.mapInArrow(_First(k, percent, sent), "id long, n long, h1 long, h2 long, first binary").where("n > 0 and id is not null")
     reps = first.groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "first")).alias("r")).select("r.id", "n", "r.first")
     posted = reps.mapInArrow(_postings, "h long, id long, n long")
-    chains, _ = written(posted.repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(_Chains(percent), "kind tinyint, a long, b long"), "chains")
+    chains, _ = written(posted.repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(_Chains(percent, short), "kind tinyint, a long, b long"), "chains")
     group = components(chains.where("kind = 0"))
-    parts = group.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    blocks, _ = written(group.join(parts, "component").select("id", "component", F.pmod(F.xxhash64("id"), F.col("parts")).alias("block")), "blocks")
-    left, right = (blocks.select(F.col("id").alias(s), F.col("component").alias(f"c{s}"), F.col("block").alias(f"b{s}")) for s in "ab")
-    short = chains.where("kind = 1").select("a", "b").distinct().join(left, "a").join(right, "b").select(F.col("ca").alias("c"), F.least("ba", "bb").alias("x"), F.greatest("ba", "bb").alias("y"))
-    lists = chains.where("kind = 2").select("a", F.col("b").alias("h")).distinct().join(left, "a").select("h", "ca", "ba").distinct()
-    pairs = lists.alias("l").join(lists.alias("r"), (F.col("l.h") == F.col("r.h")) & (F.col("l.ca") == F.col("r.ca")) & (F.col("l.ba") <= F.col("r.ba")))
-    long = pairs.select(F.col("l.ca").alias("c"), F.col("l.ba").alias("x"), F.col("r.ba").alias("y"))
-    named = short.union(long).distinct()
-    whole = named.where("x != y").select("c", "x", "y")
-    alone = named.where("x = y").join(whole.select("c", "x").union(whole.select("c", F.col("y").alias("x"))).distinct(), ["c", "x"], "left_anti").select("c", "x", "y")
-    cells = whole.union(alone).withColumn("cell", F.xxhash64("c", "x", "y"))
-    sides = cells.select("cell", "c", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-    members, _ = written(blocks.join(sides, (blocks.component == sides.c) & (blocks.block == sides.block)).groupBy("id").agg(F.collect_list("cell").alias("cells")), "members")
-    marks = members.select("id").mapInArrow(_Marks(), "chunk int, counts binary").repartition(CHUNKS, "chunk").mapInArrow(_either, "chunk int, counts binary")
-    got = {r.chunk: bytes(r.counts) for r in marks.collect()}
-    size = (1 << MARK_BITS) // 8 // CHUNKS
-    sieve = _Sieve(spark.sparkContext.broadcast(np.frombuffer(b"".join(got.get(i, bytes(size)) for i in range(CHUNKS)), np.uint8)))  # of fixed size
-    sets = docs.mapInArrow(sieve, "id long, text string").join(members, "id").select("id", "text", F.col("cells").alias("cell")).mapInArrow(_Resets(k), "id long, cell array<long>, s binary")
-    dealt = sets.select(F.explode("cell").alias("cell"), "id", "s").repartition("cell").sortWithinPartitions("cell", "id")
-    links = dealt.mapInArrow(_Products(percent), "a long, b long")
+    sizes = group.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    luck = F.xxhash64("id")
+    blocks, _ = written(group.join(sizes, "component").select("id", "component", "size", F.ceil(F.col("size") / block_rows).alias("parts")), "blocks")
+    cell = lambda i: F.xxhash64("component", i.cast("long"))
+    leads = (F.col("parts") > 1) & (F.pmod(F.xxhash64(F.lit("lead"), "id"), F.greatest(F.floor(F.col("size") / LEADERS), F.lit(1))) == 0)
+    first_cells = F.when(leads, F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), cell)).otherwise(F.array(cell(F.pmod(luck, F.col("parts")))))
+    near, _ = written(_compare(docs, blocks.select("id", first_cells.alias("cells")), k, percent), "links")
+    sub = components(near).withColumnRenamed("component", "sub")
+    of = blocks.join(sub, "id", "left").withColumn("sub", F.coalesce("sub", "id"))
+    of = of.join(of.groupBy("sub").agg(F.count(F.lit(1)).alias("many")), "sub")
+    large = F.col("many") >= block_rows // 2
+    block = F.when(large, F.xxhash64(F.lit("large"), "sub", F.pmod(luck, F.ceil(F.col("many") / block_rows)))).otherwise(F.xxhash64(F.lit("small"), "component", F.pmod(luck, F.col("parts"))))
+    state, _ = written(of.select("id", "component", "sub", block.alias("block"), large.alias("large")), "states")
+    left, right = (state.select(F.col("id").alias(s), F.col("sub").alias(f"s{s}"), F.col("block").alias(f"b{s}")) for s in "ab")
+    brief = chains.where("kind = 1").select("a", "b").distinct().join(left, "a").join(right, "b").where("sa != sb").select(F.least("ba", "bb").alias("x"), F.greatest("ba", "bb").alias("y"))
+    listed = chains.where("kind = 2").select(F.col("a").alias("id"), F.col("b").alias("h")).distinct().join(state, "id")
+    mixed = listed.groupBy("h", "component").agg(F.min("sub").alias("low"), F.max("sub").alias("high")).where("low != high").select("h", "component")
+    lists = listed.select("h", "component", "block", F.when(F.col("large"), F.col("sub")).alias("sub")).distinct().join(mixed, ["h", "component"])
+    together = F.coalesce(F.col("l.sub") == F.col("r.sub"), F.lit(False))
+    pairs = lists.alias("l").join(lists.alias("r"), (F.col("l.h") == F.col("r.h")) & (F.col("l.component") == F.col("r.component")) & (F.col("l.block") <= F.col("r.block")) & ~together)
+    named = brief.union(pairs.select(F.col("l.block").alias("x"), F.col("r.block").alias("y"))).distinct()
+    apart = named.where("x != y")
+    alone = named.where("x = y").join(apart.select("x").union(apart.select(F.col("y").alias("x"))).distinct(), "x", "left_anti").select("x", "y")
+    sides = apart.union(alone).select(F.xxhash64("x", "y").alias("cell"), F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    far = _compare(docs, state.join(sides, "block").groupBy("id").agg(F.collect_list("cell").alias("cells")), k, percent)
     classes = some.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("many"))
     copies = some.join(classes.where("many > 1").drop("many"), ["h1", "h2", "n"]).where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    found, _ = written(links.union(copies), "links")
+    found, _ = written(near.union(far).union(copies), "links")
     label = components(found)
     return rows.select("id", "n").join(label, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def lag_trend(readings: DataFrame, at: str = "at", lag: str = "bytes", slot: str | None = None, window: int = 10) -> DataFrame:
+def lag_trend(readings: DataFrame, at: str = "taken_at", lag: str = "bytes", slot: str | None = None, window: int = 10) -> DataFrame:
     """Readings with trend (bytes a second over the last ``window`` readings; null for fewer than two or no time between)
     and eta_seconds (rounded down; null unless the lag shrinks). Readings are few: one every few seconds of a run."""
     w = (Window.partitionBy(slot) if slot else Window.partitionBy(F.lit(0))).orderBy(at).rowsBetween(1 - window, 0)

@@ -135,13 +135,13 @@ def readiness(both: DataFrame, spec: TableSpec) -> DataFrame:
     """Per source object: category, name, status (missing, present, needs_review, info), detail and DDL to make it."""
     table, none = X.quote_table(F.col("table_name")), F.lit(None).cast("string")
     src, tgt = both.where("side = 'source'"), both.where("side = 'target'")
-    here = tgt.select("table_name", "category", F.col("name").alias("t_name"), F.col("definition").alias("t_definition"), F.col("privileges").alias("t_privileges"), F.lit(True).alias("here"))
+    here = tgt.select(F.col("table_name").alias("t_table"), F.col("category").alias("t_category"), F.col("name").alias("t_name"), F.col("definition").alias("t_definition"), F.col("privileges").alias("t_privileges"), F.lit(True).alias("here"))
     drops, renames = F.array(*map(F.lit, spec.drops)).cast("array<string>"), spec.renames
     renamed = F.create_map(*[F.lit(x) for kv in renames.items() for x in kv]) if renames else F.lit(None).cast("map<string,string>")
     named = F.when((F.col("category") == "comment") & renamed[F.col("name")].isNotNull(), renamed[F.col("name")]).otherwise(F.col("name"))
     src = src.withColumn("name", F.when(F.col("category") == "comment", named).otherwise(F.col("name"))).where(~((F.col("category") == "comment") & F.array_contains(drops, F.col("name"))))
     # an owner is compared by name, all else is found by it
-    out = src.join(here, (src.table_name == here.table_name) & (src.category == here.category) & (src.name == here.t_name), "left").drop(here.table_name).drop(here.category)
+    out = src.join(here, (F.col("table_name") == F.col("t_table")) & (F.col("category") == F.col("t_category")) & (F.col("name") == F.col("t_name")), "left")
     columns = F.coalesce("columns", F.array().cast("array<string>"))
     lost = F.array_intersect(columns, drops)
     moved = F.filter(columns, lambda c: renamed[c].isNotNull())

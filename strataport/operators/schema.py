@@ -81,9 +81,9 @@ def diff_live(source: DataFrame, target: DataFrame, spec: TableSpec) -> DataFram
     """The same against a target's own catalog: matched by renamed name; without a match dropped; unmatched target columns
     added, after all others in their own order."""
     changes, _ = spec_frames(source.sparkSession, spec)
-    s = source.join(F.broadcast(changes.select("name", "rename")), "name", "left").select("table_name", "attnum", "name", "formatted_type", F.coalesce("rename", "name").alias("to"))
+    s = source.join(F.broadcast(changes.select("name", "rename")), "name", "left").select("table_name", "attnum", "name", "formatted_type", F.coalesce("rename", "name").alias("link"))
     t = target.select(F.col("attnum").alias("t_attnum"), F.col("name").alias("t_name"), F.col("formatted_type").alias("t_type"))
-    both = s.join(t, s.to == t.t_name, "full")
+    both = s.join(t, F.col("link") == F.col("t_name"), "full")
     status = F.when(F.col("name").isNull(), "added").when(F.col("t_name").isNull(), "dropped").otherwise(_status(F.col("name"), F.col("t_name"), F.col("formatted_type"), F.col("t_type")))
     return both.select(F.coalesce("table_name", F.lit(spec.name)).alias("table_name"), F.coalesce("attnum", F.col("t_attnum") + 10_000).alias("ord"), status.alias("status"), F.col("name").alias("source_name"), F.col("formatted_type").alias("source_type"), F.col("t_name").alias("target_name"), F.col("t_type").alias("target_type"))
 
