@@ -57,8 +57,9 @@ class Network:
             self.w |= {"Xg" + d: make(256, 2 * hidden, scale=0.3), "Xn" + d: make(256, hidden, scale=0.5), "Ug" + d: make(hidden, 2 * hidden, scale=0.3), "Un" + d: make(hidden, hidden, scale=0.3), "c" + d: make(hidden, scale=0.0)}
         self.w |= {"V": make(2 * hidden, len(labels), scale=0.3), "b": make(len(labels), scale=0.0)}
 
-    def _run(self, d: str, seg: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States after each byte, (steps, segments, H); ``keep`` gets what backpropagation needs."""
+    def _run(self, d: str, seg: np.ndarray, keep: list | None = None, many: np.ndarray | None = None) -> np.ndarray:
+        """States after each byte, (steps, segments, H); ``keep`` gets what backpropagation needs. ``many``: how many
+        segments, the first ones, have a byte at each step; others stay in the zero state."""
         w, (steps, n), h_ = self.w, seg.shape, self.h
         h = np.zeros((n, h_), np.float32)
         out = np.empty((steps, n, h_), np.float32)
@@ -79,12 +80,15 @@ class Network:
                 keep.append((h, z.copy(), r.copy(), c, a))
             h = out[t]
             h[:] = new
+            if many is not None:
+                h[many[t] :] = 0
         return out
 
-    def probabilities(self, seg: np.ndarray) -> np.ndarray:
-        """Label probabilities of each position of segments (steps, segments): (steps, segments, labels)."""
+    def probabilities(self, seg: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Label probabilities of each position of segments (steps, segments) of falling lengths: (steps, segments, labels)."""
+        many = np.searchsorted(-length, -np.arange(len(seg)), "left")
         p = self._run("f", seg) @ self.w["V"][: self.h]
-        p += self._run("b", seg[::-1])[::-1] @ self.w["V"][self.h :]
+        p += self._run("b", seg[::-1], many=many[::-1])[::-1] @ self.w["V"][self.h :]
         p += self.w["b"]
         p -= p.max(axis=2, keepdims=True)
         np.exp(p, out=p)
@@ -197,7 +201,7 @@ def pooled(net: Network, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             at = np.arange(steps)[:, None]
             seg = raw[np.minimum(s[lo:hi] + at, len(raw) - 1)]
             seg[at >= n[lo:hi]] = 0
-            p = net.probabilities(seg)
+            p = net.probabilities(seg, n[lo:hi])
             p *= _LETTER[seg][:, :, None]
             np.add.at(out, to[lo:hi], p.sum(axis=0, dtype=np.float64))
     return out
