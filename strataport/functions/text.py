@@ -63,7 +63,7 @@ def lsn_number(text: Column) -> Column:
 
 def bytes_text(n: Column) -> Column:
     def of(unit: float, digits: int, name: str) -> Column:
-        return F.concat(F.format_number(F.round(n / unit, digits), f"0.{'0' * digits}"), F.lit(f" {name}"))
+        return F.format_string(f"%.{digits}f {name}", F.round(n / unit, digits))
 
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, of(1024.0, 1, "KB")).when(n < 1 << 30, of(float(1 << 20), 1, "MB")).otherwise(of(float(1 << 30), 2, "GB"))
 
