@@ -26,7 +26,7 @@ from .shared import ship, written
 NEAREST, SHARED = 8, 2
 #: The index is fitted on a sample: 4 sqrt(vectors) pivots, so many at least and at most.
 LEAST_PIVOTS, MOST_PIVOTS = 32, 4096
-BLOCK = 512
+BLOCK = 256
 
 
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
