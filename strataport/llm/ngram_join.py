@@ -7,7 +7,9 @@ two documents. Only blocks of it that can hold a pair at the threshold are ever
 2. Size-derived bound on columns: two sets with Jaccard t or more share a shingle among the first n - ceil(t n) + 1 of
    each, in any common order. The order is from rare to frequent, by a fixed-size count sketch of the whole corpus, so
    that passages which many documents share seldom come among the first.
-3. Documents that share such a first shingle and whose sizes allow t are chained: the chains' components hold every
+3. Lists of at most ``SHORT`` documents give pairs whose sizes allow t, and a pair's shared first shingles are counted:
+   two sizes demand so many, and pairs with fewer are discarded (what longer lists may add to them is granted). Longer
+   lists aren't spelled out as pairs; their documents are chained by size. The components of all this hold every
    pair that can link. A component is dealt by hash into blocks of about ``BLOCK`` rows, and a few leaders go to all its
    blocks. Each block is one product, and its links make subcomponents: a group of copies, however large, is one by now,
    at one product a block.
@@ -37,8 +39,8 @@ from .shared import ship, written
 
 WORDS, PERCENT = 5, 75
 BLOCK, SHORT, SLAB, LEADERS = 256, 32, 4096, 8
-#: Counters of the sketch: 4 MB. Its noise is shingles / counters.
-SKETCH_BITS = 20
+#: Counters of the sketch: 16 MB. Its noise is shingles / counters.
+SKETCH_BITS = 22
 CHUNKS = 64
 #: Bits of the map by which texts are sieved: 1 MB.
 MARK_BITS = 23
@@ -90,7 +92,8 @@ class _Sketch:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), h1, h2, pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
         none = pa.nulls(1, pa.int64())
         for i, c in enumerate(np.split(count, CHUNKS)):
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([i], pa.int32()), pa.array([c.tobytes()], pa.binary())], names)
+            few = np.minimum(c, 0xFFFF).astype(np.uint16)  # the order needs no more from one task
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([i], pa.int32()), pa.array([few.tobytes()], pa.binary())], names)
 
 
 def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +101,7 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for i, c in zip(b.column("chunk").to_pylist(), b.column("counts").to_pylist()):
-            total[i] = np.minimum(total.get(i, 0) + np.frombuffer(c, np.uint32).astype(np.int64), 0xFFFFFFFF)
+            total[i] = np.minimum(total.get(i, 0) + np.frombuffer(c, np.uint16).astype(np.int64), 0xFFFFFFFF)
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.astype(np.uint32).tobytes() for c in total.values()], pa.binary())], ["chunk", "counts"])
 
 
@@ -167,9 +170,17 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h), *(b.column(c).take(pa.array(take)) for c in ("id", "n"))], ["h", "id", "n"])
 
 
+def least_shared(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Of how many first shingles at least two linked sets of n and m share: all but n - overlap of the set's own whose
+    first ones end earlier in the order."""
+    alpha = required(n, m, percent)
+    first = lambda k: k - -(-percent * k // 100) + 1
+    return np.maximum(np.minimum(first(n) - n + alpha, first(m) - m + alpha), 1)
+
+
 class _Chains:
-    """Lists of one shingle arrive together, by size. ``kind`` 0: a chained pair, 1: a pair of a short list, 2: a document
-    of a long list (b: the shingle)."""
+    """Lists of one shingle arrive together, by size. ``kind`` 0: neighbours in a long list, 1: a pair of short lists, in
+    how many (``c``) of how many it must be (``need``), 2: a document of a long list (b: the shingle)."""
 
     def __init__(self, percent: int, short: int):
         self.percent, self.short = percent, short
@@ -196,21 +207,27 @@ class _Chains:
         edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
         size = np.diff(edge)
         big = (size > self.short) | (h[edge[:-1]] == long_on if long_on is not None else False)
-        near = (h[1:] == h[:-1]) & (100 * n[:-1] >= self.percent * n[1:])  # by size: if neighbours can't link, none across can
-        a, b, kind = [i[:-1][near]], [i[1:][near]], [np.zeros(int(near.sum()), np.int8)]
-        of = np.repeat(size, size)
         row_big = np.repeat(big, size)
+        near = (h[1:] == h[:-1]) & row_big[1:] & (100 * n[:-1] >= self.percent * n[1:])  # by size: if neighbours can't link, none across can
+        none = np.zeros(0, np.int64)
+        a, b, need = [none], [none], [none]
+        of = np.repeat(size, size)
         for d in range(1, min(self.short, int(size[~big].max(initial=0)))):
             ok = np.flatnonzero((of[:-d] > d) & ~row_big[:-d] & (h[d:] == h[:-d]) & (100 * n[:-d] >= self.percent * n[d:]))
             a.append(i[ok])
             b.append(i[ok + d])
-            kind.append(np.ones(len(ok), np.int8))
-        a.append(i[row_big])
-        b.append(h[row_big])
-        kind.append(np.full(int(row_big.sum()), 2, np.int8))
-        out = np.unique(np.stack([np.concatenate(kind).astype(np.int64), np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-        if len(out):
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0].astype(np.int8)), pa.array(out[:, 1]), pa.array(out[:, 2])], ["kind", "a", "b"])
+            need.append(least_shared(n[ok], n[ok + d], self.percent))
+        a, b, need = (np.concatenate(x) for x in (a, b, need))
+        order = np.lexsort((b, a))
+        a, b, need = a[order], b[order], need[order]
+        start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else none
+        count = np.diff(np.concatenate([start, [len(a)]]))
+        yield self._rows(1, a[start], b[start], need[start], count)
+        yield self._rows(0, i[:-1][near], i[1:][near], np.ones(int(near.sum()), np.int64), np.ones(int(near.sum()), np.int64))
+        yield self._rows(2, i[row_big], h[row_big], np.ones(int(row_big.sum()), np.int64), np.ones(int(row_big.sum()), np.int64))
+
+    def _rows(self, kind: int, a, b, need, count) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b), pa.array(need.astype(np.int32)), pa.array(count.astype(np.int32))], ["kind", "a", "b", "need", "c"])
 
 
 def product(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -318,8 +335,12 @@ def join_ngrams(documents: DataFrame, *, id_col: str = "doc_id", text: str = "te
     first = docs.mapInArrow(_First(k, percent, sent), "id long, n long, h1 long, h2 long, first binary").where("n > 0 and id is not null")
     reps = first.groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "first")).alias("r")).select("r.id", "n", "r.first")
     posted = reps.mapInArrow(_postings, "h long, id long, n long")
-    chains, _ = written(posted.repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(_Chains(percent, short), "kind tinyint, a long, b long"), "chains")
-    group = components(chains.where("kind = 0"))
+    chains, _ = written(posted.repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(_Chains(percent, short), "kind tinyint, a long, b long, need int, c int"), "chains")
+    in_long = chains.where("kind = 2").select("a", "b").distinct().groupBy("a").agg(F.count(F.lit(1)).alias("l"))
+    counted = chains.where("kind = 1").groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("c").alias("c"))
+    both = counted.where("c < need").join(in_long.withColumnRenamed("l", "la"), "a").join(in_long.select(F.col("a").alias("b"), F.col("l").alias("lb")), "b").where("c + least(la, lb) >= need")
+    pairs, _ = written(counted.where("c >= need").select("a", "b").union(both.select("a", "b")), "pairs")
+    group = components(pairs.union(chains.where("kind = 0").select("a", "b")))
     sizes = group.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     luck = F.xxhash64("id")
     blocks, _ = written(group.join(sizes, "component").select("id", "component", "size", F.ceil(F.col("size") / block_rows).alias("parts")), "blocks")
@@ -334,13 +355,13 @@ def join_ngrams(documents: DataFrame, *, id_col: str = "doc_id", text: str = "te
     block = F.when(large, F.xxhash64(F.lit("large"), "sub", F.pmod(luck, F.ceil(F.col("many") / block_rows)))).otherwise(F.xxhash64(F.lit("small"), "component", F.pmod(luck, F.col("parts"))))
     state, _ = written(of.select("id", "component", "sub", block.alias("block"), large.alias("large")), "states")
     left, right = (state.select(F.col("id").alias(s), F.col("sub").alias(f"s{s}"), F.col("block").alias(f"b{s}")) for s in "ab")
-    brief = chains.where("kind = 1").select("a", "b").distinct().join(left, "a").join(right, "b").where("sa != sb").select(F.least("ba", "bb").alias("x"), F.greatest("ba", "bb").alias("y"))
+    brief = pairs.join(left, "a").join(right, "b").where("sa != sb").select(F.least("ba", "bb").alias("x"), F.greatest("ba", "bb").alias("y"))
     listed = chains.where("kind = 2").select(F.col("a").alias("id"), F.col("b").alias("h")).distinct().join(state, "id")
     mixed = listed.groupBy("h", "component").agg(F.min("sub").alias("low"), F.max("sub").alias("high")).where("low != high").select("h", "component")
     lists = listed.select("h", "component", "block", F.when(F.col("large"), F.col("sub")).alias("sub")).distinct().join(mixed, ["h", "component"])
     together = F.coalesce(F.col("l.sub") == F.col("r.sub"), F.lit(False))
-    pairs = lists.alias("l").join(lists.alias("r"), (F.col("l.h") == F.col("r.h")) & (F.col("l.component") == F.col("r.component")) & (F.col("l.block") <= F.col("r.block")) & ~together)
-    named = brief.union(pairs.select(F.col("l.block").alias("x"), F.col("r.block").alias("y"))).distinct()
+    across = lists.alias("l").join(lists.alias("r"), (F.col("l.h") == F.col("r.h")) & (F.col("l.component") == F.col("r.component")) & (F.col("l.block") <= F.col("r.block")) & ~together)
+    named = brief.union(across.select(F.col("l.block").alias("x"), F.col("r.block").alias("y"))).distinct()
     apart = named.where("x != y")
     alone = named.where("x = y").join(apart.select("x").union(apart.select(F.col("y").alias("x"))).distinct(), "x", "left_anti").select("x", "y")
     sides = apart.union(alone).select(F.xxhash64("x", "y").alias("cell"), F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
