@@ -12,8 +12,8 @@ suffix within its first 30 words; from there at least 21 words agree. That many
    repeat. Where more than two suffixes have a key, a partner that agrees less to the right and more to the left may not
    stand next to its suffix: there the 50-grams around the suffixes of a key are compared too, for each of the 30 places
    where one can start.
-4. A key that a partition's first or last row has may go on in the next partition: its 50-grams are compared by an
-   aggregation instead.
+4. A key that a partition's first or last row has may go on in the next partition: of its 50-grams one row for each
+   partition goes to an aggregation over all partitions.
 """
 
 from __future__ import annotations
@@ -138,7 +138,7 @@ def _fixed(x: np.ndarray) -> pa.Array:
 
 class _Compare:
     """Rows of a partition in order: repeats (kind 0: id, first and past-the-last word, whether an earlier document has
-    it), and 50-grams of keys that other partitions may have (kind 1: id, first word, hash)."""
+    it), and 50-grams of keys that other partitions may have (kind 1: id, hash, first words)."""
 
     def __init__(self, least: int, span: int, rows: int = 20_000):
         self.least, self.span, self.rows = least, span, rows
@@ -186,44 +186,60 @@ class _Compare:
                 pick = np.flatnonzero((r + l_ > total[me]) & ok)
                 total[better], reach[better], before[better] = (r + l_)[pick], r[pick], l_[pick]
                 np.logical_or.at(later, me[ok], (ids[other] < ids[me])[ok])
-        kind, i, first, past, flag = [], [], [], [], []
+        i, first, past, flag = [], [], [], []
 
-        def put(k: int, i_, first_, past_, flag_) -> None:
-            kind.append(np.full(len(i_), k, np.int8))
+        def put(i_, first_, past_, flag_) -> None:
             i.append(i_)
             first.append(first_)
             past.append(past_)
             flag.append(flag_)
 
         done = total > 0
-        put(0, ids[done], (at - before)[done], (at + reach)[done], later[done])
+        put(ids[done], (at - before)[done], (at + reach)[done], later[done])
         loose = (key == opened) | (key == going_on) if going_on is not None else key == opened
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         group = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
         open_ = np.diff(edge) > 2  # in a group of two the neighbours are all there is
-        use = np.flatnonzero(open_[group] & ~loose)
         whole = np.concatenate([back[:, ::-1], next_], axis=1)
-        for rest, k in ((use, 0), (np.flatnonzero(loose), 1)):
-            if not len(rest):
+        sent = pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()))], ["id", "h", "firsts"])
+        for rest, edge_rows in ((np.flatnonzero(open_[group] & ~loose), False), (np.flatnonzero(loose), True)):
+            h, who, start = self._grams(rest, whole, left, right, ids, at)
+            if not len(h):
                 continue
-            for o in range(self.span):
-                some = rest[(left[rest] >= o) & (right[rest] >= self.least - o)]
-                if not len(some):
-                    continue
-                h = K.grams_of(whole[some, self.span - 1 - o : self.span - 1 - o + self.least])
-                if k:
-                    put(1, ids[some], at[some] - o, h.view(np.int64), np.zeros(len(some), bool))
-                    continue
-                order = np.lexsort((ids[some], h))
-                hs, who = h[order], ids[some][order]
-                start = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
-                size = np.diff(np.concatenate([start, [len(hs)]]))
-                low, high = np.repeat(np.minimum.reduceat(who, start), size), np.repeat(np.maximum.reduceat(who, start), size)
-                two = low < high
-                hit = some[order][two]
-                put(0, ids[hit], at[hit] - o, at[hit] - o + self.least, ids[hit] > low[two])
-        cols = [np.concatenate(x) for x in (kind, i, first, past, flag)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "id", "first", "past", "later"])
+            top = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            size = np.diff(np.concatenate([top, [len(h)]]))
+            low, high = np.repeat(who[top], size), np.repeat(who[top + size - 1], size)
+            two = low < high
+            put(who[two], start[two], start[two] + self.least, (who > low)[two])
+            if edge_rows:  # of each 50-gram its least document stands for all of this partition
+                one = who == low
+                many = np.add.reduceat(one.astype(np.int64), top)
+                places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(start[one]))
+                sent = pa.RecordBatch.from_arrays([pa.array(who[top]), pa.array(h[top].view(np.int64)), places], ["id", "h", "firsts"])
+        i, first, past, flag = (np.concatenate(x) for x in (i, first, past, flag))
+        n0, n1 = len(i), len(sent)
+        numbers = lambda x, empty: pa.array(np.concatenate([x, np.zeros(empty, x.dtype)]))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.repeat(np.array([0, 1], np.int8), [n0, n1])), pa.array(np.concatenate([i, sent.column("id").to_numpy()])), numbers(first, n1), numbers(past, n1), numbers(flag, n1),
+                pa.array(np.concatenate([np.zeros(n0, np.int64), sent.column("h").to_numpy()])), pa.concat_arrays([pa.nulls(n0, pa.list_(pa.int64())), sent.column("firsts")]),
+            ],
+            ["kind", "id", "first", "past", "later", "h", "firsts"],
+        )
+
+    def _grams(self, rows, whole, left, right, ids, at) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, document and first word of each 50-gram around some suffixes, once each, by these."""
+        h, who, start = [np.zeros(0, K.U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for o in range(self.span):
+            some = rows[(left[rows] >= o) & (right[rows] >= self.least - o)]
+            h.append(K.grams_of(whole[some, self.span - 1 - o : self.span - 1 - o + self.least]))
+            who.append(ids[some])
+            start.append(at[some] - o)
+        h, who, start = (np.concatenate(x) for x in (h, who, start))
+        order = np.lexsort((start, who, h))
+        h, who, start = h[order], who[order], start[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (who[1:] != who[:-1]) | (start[1:] != start[:-1])]) if len(h) else np.zeros(0, bool)
+        return h[new], who[new], start[new]
 
 
 def _agree(x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -254,13 +270,15 @@ def repeats(documents: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     suffixes = docs.mapInArrow(_Suffixes(sent, least, gram, span), "key long, next binary, back binary, right short, left short, id long, at long")
     order = ["key", "next", "id", "at"]
     dealt = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
-    found, _ = written(dealt.mapInArrow(_Compare(least, span), "kind tinyint, id long, first long, past long, later boolean"), "repeats")
-    loose = found.where("kind = 1").select("id", "first", F.col("past").alias("h"))
+    found, _ = written(dealt.mapInArrow(_Compare(least, span), "kind tinyint, id long, first long, past long, later boolean, h long, firsts array<long>"), "repeats")
+    loose = found.where("kind = 1").select("id", "h", "firsts")
     shared = loose.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h", "a")
-    rest = loose.join(shared, "h").select("id", "first", (F.col("first") + least).alias("past"), (F.col("id") > F.col("a")).alias("later"))
-    every = found.where("kind = 0").select("id", "first", "past", "later").union(rest)
-    one = F.struct("first", "past")
-    by_doc = every.groupBy("id").agg(F.collect_set(one).alias("s"), F.collect_set(F.when(F.col("later"), one)).alias("t"))
+    span_of = F.transform("firsts", lambda x: F.struct(x.alias("first"), (x + least).alias("past")))
+    none = F.array().cast("array<struct<first:long,past:long>>")
+    rest = loose.join(shared, "h").select("id", span_of.alias("s"), F.when(F.col("id") > F.col("a"), span_of).otherwise(none).alias("t"))
+    one = F.array(F.struct("first", "past"))
+    every = found.where("kind = 0").select("id", one.alias("s"), F.when(F.col("later"), one).otherwise(none).alias("t")).union(rest)
+    by_doc = every.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("s"), F.array_distinct(F.flatten(F.collect_list("t"))).alias("t"))
     out = by_doc.select("id", _merged(F.col("s")).alias("spans"), _merged(F.col("t")).alias("later_spans"))
     words = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["past"] - s["first"])
     return out.select(F.col("id").alias(id_col), F.size("spans").cast("long").alias("n_spans"), words.alias("n_repeated"), "spans", "later_spans")
