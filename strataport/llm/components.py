@@ -2,10 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import remove, written
+from .shared import remove, ship, written
+
+_BATCH = 1 << 20
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of about a million edges at a time, the stars that they make: long chains are short before the first shuffle."""
+    held: list[np.ndarray] = []
+    n = 0
+    for b in batches:
+        held.append(np.stack([b.column("a").to_numpy(), b.column("b").to_numpy()]))
+        n += len(b)
+        if n >= _BATCH:
+            yield _stars(np.concatenate(held, axis=1))
+            held, n = [], 0
+    if held:
+        yield _stars(np.concatenate(held, axis=1))
+
+
+def _stars(edges: np.ndarray) -> pa.RecordBatch:
+    ids, place = np.unique(edges, return_inverse=True)
+    a, b = place.reshape(2, -1)
+    root = np.arange(len(ids))
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], ["a", "b"])
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -15,31 +53,37 @@ def _least(edges: DataFrame) -> DataFrame:
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return both.join(_least(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(_least(both), "a").where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = _least(down)
-    moved = down.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    """Edges lead from a to a lesser b."""
+    least = _least(edges)
+    moved = edges.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _is_done(edges: DataFrame) -> bool:
+    """Whether all are stars: no end of an edge is the start of one, and no start has two ends."""
+    two = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    ends = edges.select("b").distinct()
+    return not two.join(ends, two.a == ends.b, "left").where("n > 1 or b is not null").limit(1).count()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every id that an edge to another id has; component is the least id reachable.
 
-    Each pair of steps is written to the shared folder, so lineage stays short and a lost executor costs one step. The
-    joins are plain sort-merge joins against one row for each id: where an id has a great many edges, adaptive execution
-    splits them. Loops and edges with a null are ignored; repeated edges count once.
+    Edges are first contracted where they lie, a million at a time. Each pair of steps is written to the shared folder,
+    so lineage stays short and a lost executor costs one step. The joins are plain sort-merge joins against one row for
+    each id: where an id has a great many edges, adaptive execution splits them. Loops and edges with a null are ignored;
+    repeated edges count once.
     """
+    spark = edges.sparkSession
+    ship(spark)
     ends = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a != b")
-    now, path = written(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    spark, before = edges.sparkSession, None
-    while True:
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
-        before = state
+    now, path = written(ends.mapInArrow(_forest, "a long, b long").distinct(), "edges")
+    while not _is_done(now):
         after, new = written(_small(_large(now)), "edges")
         remove(spark, path)
         now, path = after, new
+    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
