@@ -328,8 +328,11 @@ def join_ngrams(documents: DataFrame, *, id_col: str = "doc_id", text: str = "te
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     seen, _ = written(docs.mapInArrow(_Sketch(k, sketch_bits), "id long, n long, h1 long, h2 long, chunk int, counts binary"), "shingles")
     counts = seen.where("chunk is not null").select("chunk", "counts").repartition(CHUNKS, "chunk").mapInArrow(_total, "chunk int, counts binary")
-    sketch = b"".join(bytes(r.counts) for r in sorted(counts.collect(), key=lambda r: r.chunk)) or bytes(4 << sketch_bits)
-    sent = spark.sparkContext.broadcast(np.frombuffer(sketch, np.uint32))  # of fixed size
+    sketch = np.zeros((CHUNKS, (1 << sketch_bits) // CHUNKS), np.uint32)
+    for r in counts.collect():
+        sketch[r.chunk] = np.frombuffer(r.counts, np.uint32)
+    sent = spark.sparkContext.broadcast(sketch.ravel())  # of fixed size
+    del sketch
     rows = seen.where("chunk is null").select("id", "n", "h1", "h2")
     some = rows.where("n > 0 and id is not null")
     first = docs.mapInArrow(_First(k, percent, sent), "id long, n long, h1 long, h2 long, first binary").where("n > 0 and id is not null")

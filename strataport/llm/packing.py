@@ -131,15 +131,15 @@ class _Encode:
 
 
 class _Cut:
-    def __init__(self, queues: list[str], totals: list[int], targets, window: int, length: int, dtype: str, with_ids: bool):
-        self.queues, self.args, self.length, self.dtype, self.with_ids = queues, (totals, targets, window), length, np.dtype(dtype), with_ids
+    def __init__(self, queues: list[str], totals: list[int], targets, window: int, length: int, with_ids: bool):
+        self.queues, self.args, self.length, self.with_ids = queues, (totals, targets, window), length, with_ids
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schedule, number = Schedule(*self.args), {q: i for i, q in enumerate(self.queues)}
         for b in batches:
             row, start, length, crc, doc, seq, off, ids = [], [], [], [], [], [], [], []
             for i, (raw, queue, base, at, n) in enumerate(zip(*(b.column(c).to_pylist() for c in ("ids", "queue", "base", "at", "n")))):
-                x, done = np.frombuffer(raw, self.dtype), 0
+                x, done = np.frombuffer(raw, f"<u{len(raw) // n}"), 0
                 for s, o, m in schedule.pieces(number[queue], base + at, n, self.length):
                     row.append(i)
                     start.append(done)
@@ -190,7 +190,7 @@ def pack(
     found = sorted((r.queue, r.n) for r in bases.groupBy("queue").agg(F.sum("n").alias("n")).collect())  # <= most_queues
     queues, totals = [q for q, _ in found], [n for _, n in found]
     shares = None if targets is None else [targets.get(q, 0) for q in queues]
-    cut = _Cut(queues, totals, shares, window, length, encoder(tokenizer).dtype.str, with_ids)
+    cut = _Cut(queues, totals, shares, window, length, with_ids)
     placed = rows.join(bases.drop("n"), ["queue", "part"])
     out = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in df.drop("text", "queue").schema), *(f"{c} long" for c in own[:-1]), *(["ids binary"] if with_ids else [])])
     pieces = placed.mapInArrow(cut, out)

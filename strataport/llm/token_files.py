@@ -118,7 +118,7 @@ class _Write:
         if n:
             _save(self.folder, f"offsets-{name}.bin", [x.astype("<i8").tobytes() for x in offsets])
             _save(self.folder, f"ids-{name}.bin", [x.tobytes() for x in ids])
-            yield pa.RecordBatch.from_pydict({"partition": pa.array([TaskContext.get().partitionId()], pa.int64()), "name": [name], "documents": pa.array([n], pa.int64()), "tokens": pa.array([total], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"partition": pa.array([TaskContext.get().partitionId()], pa.int64()), "name": [name], "documents": pa.array([n], pa.int64()), "tokens": pa.array([total], pa.int64()), "width": pa.array([enc.dtype.itemsize], pa.int32())})
 
 
 class _Read:
@@ -155,11 +155,11 @@ def write_token_files(
     fs.create_dir(base, recursive=True)
     df = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     dealt = df.repartitionByRange("id").sortWithinPartitions("id", "text")
-    index, _ = written(dealt.mapInArrow(_Write(folder, tokenizer, end_id), "partition long, name string, documents long, tokens long"), "token-index")
-    parts, doc, token = [], 0, 0
+    index, _ = written(dealt.mapInArrow(_Write(folder, tokenizer, end_id), "partition long, name string, documents long, tokens long, width int"), "token-index")
+    parts, doc, token, width = [], 0, 0, 2
     for r in sorted(index.collect(), key=lambda r: r.partition):  # a row for each partition
         parts.append(Part(r.name, r.documents, r.tokens, doc, token))
-        doc, token = doc + r.documents, token + r.tokens
-    dtype = encoder(tokenizer).dtype.str
+        doc, token, width = doc + r.documents, token + r.tokens, r.width
+    dtype = f"<u{width}"
     _save(folder, "index.json", [json.dumps({"dtype": dtype, "parts": [p._asdict() for p in parts]}).encode()])
     return TokenFiles(folder, dtype, parts)
