@@ -72,9 +72,9 @@ def cast_widen_suite(spark, d):
     return _t(spark, d, "lineitem").select("l_orderkey", "l_partkey", T.cast_column(n, "int4", "bigint").alias("as_bigint"), T.cast_column(n, "int4", "double precision").alias("as_double"), T.cast_column(q, "float8", "numeric(18,4)").cast("double").alias("as_numeric"))
 
 
-@_query("SELECT o_orderkey, TRY_CAST(o_orderkey * 200000 AS INTEGER) AS narrowed FROM orders")
+@_query("SELECT o_orderkey, TRY_CAST(o_orderkey * 200000 AS INTEGER)::DOUBLE AS narrowed FROM orders")
 def try_cast_lossy(spark, d):
-    return _t(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") * 200_000).try_cast("int").alias("narrowed"))
+    return _t(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") * 200_000).try_cast("int").cast("double").alias("narrowed"))
 
 
 # --- pages -------------------------------------------------------------------------------------------------------------
@@ -156,14 +156,15 @@ def validate_varchar_len(spark, d):
 
 
 @_query(
-    _checks_sql(("key", "o_orderkey * 200000 NOT BETWEEN -2147483648 AND 2147483647", "orders", "false"), ("priority", "length(o_orderpriority) > 8", "orders", "false"))
-    + " UNION ALL SELECT 'price', 'validated', NULL, true UNION ALL SELECT 'date', 'unsupported', NULL, false UNION ALL SELECT 'customer', 'always_safe', NULL, false"
+    "SELECT check_name, safety, failing::DOUBLE AS failing, warn_only FROM ("
+    + _checks_sql(("key", "o_orderkey * 200000 NOT BETWEEN -2147483648 AND 2147483647", "orders", "false"), ("priority", "length(o_orderpriority) > 8", "orders", "false"))
+    + " UNION ALL SELECT 'price', 'validated', NULL, true UNION ALL SELECT 'date', 'unsupported', NULL, false UNION ALL SELECT 'customer', 'always_safe', NULL, false)"
 )
 def validate_multi_one_pass(spark, d):
-    return validate(_t(spark, d, "orders"), [
+    return _double(validate(_t(spark, d, "orders"), [
         ("key", F.col("o_orderkey") * 200_000, "int8", "integer"), ("priority", F.col("o_orderpriority"), "text", "varchar(8)"), ("price", F.col("o_totalprice"), "float8", "real"),
         ("date", F.col("o_orderdate"), "timestamp", "integer"), ("customer", F.col("o_custkey"), "int8", "numeric"),
-    ])
+    ]), "failing")
 
 
 # What the class of each cast must be.
@@ -262,9 +263,9 @@ def txn_assembly(spark, d):
     return txns.groupBy("txn").agg(F.count(F.lit(1)).alias("n_events"), F.max("commit_lsn").alias("commit_lsn"))
 
 
-@_query("SELECT event_id AS lsn, user_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS relation_version FROM events")
+@_query("SELECT event_id AS lsn, user_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::DOUBLE AS relation_version FROM events")
 def relation_asof(spark, d):
-    return C.relation_as_of(_log(spark, d), "user_id", F.col("event_type") == "signup", F.col("lsn")).select("lsn", "user_id", "relation_version")
+    return _double(C.relation_as_of(_log(spark, d), "user_id", F.col("event_type") == "signup", F.col("lsn")).select("lsn", "user_id", "relation_version"), "relation_version")
 
 
 @_query("SELECT event_type, count(*) AS n, event_type IN ('click', 'purchase') AS applied FROM events GROUP BY event_type")
@@ -303,9 +304,9 @@ def _readings(spark, d):
 WITH r AS ({_READINGS}),
 w AS (SELECT *, first_value(bytes) OVER x AS b0, first_value(taken_at) OVER x AS a0, count(*) OVER x AS n FROM r WINDOW x AS (PARTITION BY slot ORDER BY taken_at ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
 t AS (SELECT taken_at, bytes, slot, CASE WHEN n >= 2 AND taken_at > a0 THEN (bytes - b0)::DOUBLE / (taken_at - a0)::DOUBLE END AS trend FROM w)
-SELECT *, CASE WHEN trend < 0 THEN floor(bytes / -trend)::BIGINT END AS eta_seconds FROM t""")
+SELECT *, CASE WHEN trend < 0 THEN floor(bytes / -trend) END::DOUBLE AS eta_seconds FROM t""")
 def lag_trend_eta(spark, d):
-    return M.lag_trend(_readings(spark, d), slot="slot")
+    return _double(M.lag_trend(_readings(spark, d), slot="slot"), "eta_seconds")
 
 
 @_query(f"SELECT taken_at, CASE WHEN bytes = 0 THEN 'caught_up' WHEN bytes <= 500000 THEN 'ready' ELSE 'behind' END AS readiness FROM ({_READINGS})")
