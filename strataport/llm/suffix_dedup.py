@@ -13,7 +13,7 @@ suffix within its first 30 words; from there at least 21 words agree. That many
    stand next to its suffix: there the 50-grams around the suffixes of a key are compared too, for each of the 30 places
    where one can start.
 4. A key that a partition's first or last row has may go on in the next partition: of its 50-grams one row for each
-   partition goes to an aggregation over all partitions.
+   partition goes to an aggregation over all partitions: its least document there, and whether there are others.
 """
 
 from __future__ import annotations
@@ -138,7 +138,8 @@ def _fixed(x: np.ndarray) -> pa.Array:
 
 class _Compare:
     """Rows of a partition in order: repeats (kind 0: id, first and past-the-last word, whether an earlier document has
-    it), and 50-grams of keys that other partitions may have (kind 1: id, hash, first words)."""
+    it), and 50-grams of keys that other partitions may have (kind 1: id, hash, first words, whether other documents of
+    these rows have it)."""
 
     def __init__(self, least: int, span: int, rows: int = 20_000):
         self.least, self.span, self.rows = least, span, rows
@@ -201,7 +202,7 @@ class _Compare:
         group = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
         open_ = np.diff(edge) > 2  # in a group of two the neighbours are all there is
         whole = np.concatenate([back[:, ::-1], next_], axis=1)
-        sent = pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()))], ["id", "h", "firsts"])
+        sent = pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_())], ["id", "h", "firsts", "others"])
         for rest, edge_rows in ((np.flatnonzero(open_[group] & ~loose), False), (np.flatnonzero(loose), True)):
             h, who, start = self._grams(rest, whole, left, right, ids, at)
             if not len(h):
@@ -215,7 +216,7 @@ class _Compare:
                 one = who == low
                 many = np.add.reduceat(one.astype(np.int64), top)
                 places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(start[one]))
-                sent = pa.RecordBatch.from_arrays([pa.array(who[top]), pa.array(h[top].view(np.int64)), places], ["id", "h", "firsts"])
+                sent = pa.RecordBatch.from_arrays([pa.array(who[top]), pa.array(h[top].view(np.int64)), places, pa.array(two[top])], ["id", "h", "firsts", "others"])
         i, first, past, flag = (np.concatenate(x) for x in (i, first, past, flag))
         n0, n1 = len(i), len(sent)
         numbers = lambda x, empty: pa.array(np.concatenate([x, np.zeros(empty, x.dtype)]))
@@ -223,8 +224,9 @@ class _Compare:
             [
                 pa.array(np.repeat(np.array([0, 1], np.int8), [n0, n1])), pa.array(np.concatenate([i, sent.column("id").to_numpy()])), numbers(first, n1), numbers(past, n1), numbers(flag, n1),
                 pa.array(np.concatenate([np.zeros(n0, np.int64), sent.column("h").to_numpy()])), pa.concat_arrays([pa.nulls(n0, pa.list_(pa.int64())), sent.column("firsts")]),
+                pa.concat_arrays([pa.nulls(n0, pa.bool_()), sent.column("others")]),
             ],
-            ["kind", "id", "first", "past", "later", "h", "firsts"],
+            ["kind", "id", "first", "past", "later", "h", "firsts", "others"],
         )
 
     def _grams(self, rows, whole, left, right, ids, at) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -270,9 +272,9 @@ def repeats(documents: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     suffixes = docs.mapInArrow(_Suffixes(sent, least, gram, span), "key long, next binary, back binary, right short, left short, id long, at long")
     order = ["key", "next", "id", "at"]
     dealt = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
-    found, _ = written(dealt.mapInArrow(_Compare(least, span), "kind tinyint, id long, first long, past long, later boolean, h long, firsts array<long>"), "repeats")
-    loose = found.where("kind = 1").select("id", "h", "firsts")
-    shared = loose.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h", "a")
+    found, _ = written(dealt.mapInArrow(_Compare(least, span), "kind tinyint, id long, first long, past long, later boolean, h long, firsts array<long>, others boolean"), "repeats")
+    loose = found.where("kind = 1").select("id", "h", "firsts", "others")
+    shared = loose.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max("others").alias("others")).where("a < b or others").select("h", "a")
     span_of = F.transform("firsts", lambda x: F.struct(x.alias("first"), (x + least).alias("past")))
     none = F.array().cast("array<struct<first:long,past:long>>")
     rest = loose.join(shared, "h").select("id", span_of.alias("s"), F.when(F.col("id") > F.col("a"), span_of).otherwise(none).alias("t"))

@@ -1,6 +1,7 @@
 import random
 import re
 
+from strataport.llm import suffix_dedup
 from strataport.llm.suffix_dedup import repeats
 
 
@@ -52,3 +53,26 @@ def test_later_copies(spark):
     rows = [(4, text), (9, "before " + text + " after"), (9, "before " + text + " after"), (5, "nothing " * 70)]
     got = {r.doc_id: ([tuple(s) for s in r.spans], [tuple(s) for s in r.later_spans]) for r in repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {4: ([(0, 80)], []), 9: ([(1, 81)], [(1, 81)])}
+
+
+def test_a_key_over_several_stretches(spark, monkeypatch):
+    """The least document has a passage twice, in stretches of one hot key; another document has it in one of them."""
+    monkeypatch.setattr(suffix_dedup._Compare.__init__, "__defaults__", (3,))
+    docs, n = [], 0
+    for k in range(12):
+        hot, before = [f"h{k}x{j}" for j in range(8)], [f"b{k}x{j}" for j in range(5)]
+        own = lambda: [f"u{random.Random(len(docs)).random()}"]
+        docs.append((n, " ".join([*before, *hot, "aaa", "p", *before, *hot, "zzz"])))
+        docs.append((n + 1, " ".join([*before, *hot, "aaa"])))
+        for j in range(30):
+            docs.append((n + 2 + j, " ".join([*own(), *hot, f"m{k}x{j}"])))
+        n += 40
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = {r.doc_id: (r.n_repeated, r.n_spans) for r in repeats(df, least=12, gram=4, span=6).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert {i: m for i, (m, _) in got.items()} == brute(docs, 12)
+    assert all(got[40 * k][1] == 2 for k in range(12))
