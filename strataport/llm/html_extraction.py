@@ -3,7 +3,8 @@
 A page is cut into blocks at block-level tags. The first pass classifies each by itself: by its length, the share of its
 words that are stop words, and the share of its text inside links. Long blocks rich in stop words are good, blocks of
 links and blocks of menus, forms, adverts and the like are bad, and the rest is undecided. In the second pass undecided
-blocks take the label of the nearest decided neighbour in the same region of the page.
+blocks take the label of the nearest decided neighbour in the same region of the page. Menus, adverts and the like are
+regions of their own; what follows one belongs to the region that it interrupts.
 """
 
 from __future__ import annotations
@@ -71,7 +72,8 @@ def blocks(page: str) -> list[_Block]:
     """Blocks of a page in order, with the links' part of their text (characters) and where they stand."""
     out: list[_Block] = []
     n = len(page)
-    stack: list[tuple[str, bool, bool]] = []  # tag, bad, main; each includes what is above
+    # tag, bad and main, each including what is above, and the region that it interrupts if it is bad by itself
+    stack: list[tuple[str, bool, bool, int | None]] = []
     low = page.lower()
     if len(low) != n:  # some letters are longer in lower case
         low = page.translate(_LOWER)
@@ -84,7 +86,7 @@ def blocks(page: str) -> list[_Block]:
 
     parts: list[str] = []
     linked: list[str] = []
-    in_link, region, at = False, 0, 0
+    in_link, region, regions, at = False, 0, 0, 0
     bad = main = False
 
     def flush() -> None:
@@ -115,11 +117,17 @@ def blocks(page: str) -> list[_Block]:
                 in_link = False
             if tag in _BLOCK:
                 flush()
-            if tag in _CONTAINER and any(t == tag for t, _, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
-                bad, main = stack[-1][1:] if stack else (False, False)
-                region += tag in ("article", "main") or tag in _BAD
+            if tag in _CONTAINER and any(t == tag for t, *_ in stack):
+                top, back = "", None
+                while top != tag:
+                    top, _, _, outer = stack.pop()
+                    back = back if outer is None else outer
+                bad, main = stack[-1][1:3] if stack else (False, False)
+                if tag in ("article", "main") or (tag in _BAD and outer is None):
+                    regions += 1
+                    region = regions
+                elif back is not None:
+                    region = back
             continue
         if tag in _RAW:
             if not (m[3] or "").rstrip().endswith("/"):
@@ -138,9 +146,13 @@ def blocks(page: str) -> list[_Block]:
             if tag in _CONTAINER and closed(tag):
                 worse = _is_bad(tag, m[3] or "", main)
                 if worse or tag in ("article", "main"):
-                    region += 1
-                stack.append((tag, bad or worse, (main or tag in ("article", "main"))))
-                bad, main = stack[-1][1:]
+                    interrupted = region if worse else None
+                    regions += 1
+                    region = regions
+                else:
+                    interrupted = None
+                stack.append((tag, bad or worse, (main or tag in ("article", "main")), interrupted))
+                bad, main = stack[-1][1:3]
     flush()
     return out
 
@@ -168,19 +180,20 @@ def classify(found: list[_Block]) -> list[_Block]:
                 b.label = "bad"
     first = [b.label for b in found]
     n = len(found)
+    place, many = [0] * n, {}  # of each block in its region
+    for i, b in enumerate(found):
+        place[i] = many[b.region] = many.get(b.region, -1) + 1
     before, after = [None] * n, [None] * n
     for order, near in ((range(n), before), (range(n - 1, -1, -1), after)):
-        last = None
+        last: dict[int, int] = {}
         for i in order:
-            if last is not None and found[last].region != found[i].region:
-                last = None
-            near[i] = last
+            near[i] = last.get(found[i].region)
             if first[i] in ("good", "bad"):
-                last = i
+                last[found[i].region] = i
     for i, b in enumerate(found):
         if first[i] in ("good", "bad"):
             continue
-        sides = sorted((abs(j - i), first[j] != "good") for j in (before[i], after[i]) if j is not None)
+        sides = sorted((abs(place[j] - place[i]), first[j] != "good") for j in (before[i], after[i]) if j is not None)
         if sides:
             b.label = "bad" if sides[0][1] else "good"
         else:

@@ -18,6 +18,15 @@ def test_pages_without_an_article_go_by_density():
     assert PARA in text and "Yes." in text and "number 3" not in text
 
 
+def test_what_follows_an_advert_is_judged_as_if_it_were_not_there():
+    for ad in ('<div class="ad">Buy.</div>', '<div class="ad"><div><p>Buy.</div></div>', "<div class=share><section>Buy.</div>", "<aside>Buy.</aside>"):
+        assert main_text(f"<article><p>{PARA}</p>{ad}<p>Short.</p></article>").split("\n") == [PARA, "Short."]
+        assert main_text(f"<article>{ad}<p>One.</p><p>Two.</p><p>{PARA}</p></article>").split("\n") == ["One.", "Two.", PARA]
+        assert main_text(f"<div><p>{PARA}</p>{ad}<p>Short.</p></div>").split("\n") == [PARA, "Short."]
+    code = "x1 = y2 + z3; " * 7
+    assert main_text(f'<article><p>{PARA}</p><div class="ad">Buy.</div><p>{code}</p></article>').split("\n") == [PARA, code.strip()]
+
+
 def test_broken_markup():
     assert main_text(None) == "" and main_text("") == "" and main_text("<") == "" and main_text("<p class='x>") == ""
     assert main_text(f"<article><p>{PARA}<script>never closed {PARA}") == PARA
