@@ -8,6 +8,9 @@ forest of the links it found.
 
 Equal vectors are collapsed first and carry their number. A list is dealt by hash into blocks of about ``BLOCK``
 vectors and each pair of blocks is a task's unit, so a pivot near which a third of all vectors lie is spread out.
+
+Vectors of different dimensions are never compared: each dimension has pivots and lists of its own. All vectors of a
+dimension that has no more than a block are compared with each other.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from .components import components
 from .shared import ship, written
 
 NEAREST, SHARED = 8, 2
-#: The index is fitted on a sample: 4 sqrt(vectors) pivots, so many at least and at most.
+#: The index is fitted on a sample: of each dimension 4 sqrt(vectors) pivots, so many at least, and so many at most in
+#: all dimensions together as long as each has its least.
 LEAST_PIVOTS, MOST_PIVOTS = 32, 4096
 BLOCK = 256
 
@@ -52,17 +56,30 @@ def describe(vectors: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarra
 
 
 class _Describe:
-    """Adds the cells of the index that each vector is in."""
+    """Adds the cells of the index that each vector is in. ``pivots``: for each dimension the number of the first one, and
+    all. A dimension without pivots has ``shared`` cells of its own, with negative numbers, and each of its vectors is in
+    all of them."""
 
-    def __init__(self, pivots, nearest: int):
-        self.pivots, self.nearest = pivots, nearest
+    def __init__(self, pivots, nearest: int, shared: int):
+        self.pivots, self.nearest, self.shared = pivots, nearest, shared
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = self.pivots.value
         for b in batches:
-            v = np.array(b.column("v").to_pylist(), np.float64).reshape(len(b), pivots.shape[1])
-            perm = describe(v, pivots, self.nearest)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(perm.astype(np.int32).tolist(), pa.list_(pa.int32()))], [*b.schema.names, "perm"])
+            v = b.column("v").to_pylist()
+            by_dim: dict[int, list[int]] = {}
+            for i, x in enumerate(v):
+                by_dim.setdefault(len(x), []).append(i)
+            perm: list = [None] * len(v)
+            for d, rows in by_dim.items():
+                if d in pivots:
+                    first, some = pivots[d]
+                    cells = (first + describe(np.array([v[i] for i in rows], np.float64), some, self.nearest)).tolist()
+                else:
+                    cells = [[-1 - d * self.shared - k for k in range(self.shared)]] * len(rows)
+                for i, c in zip(rows, cells):
+                    perm[i] = c
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(perm, pa.list_(pa.int32()))], [*b.schema.names, "perm"])
 
 
 def count_links(left: tuple, right: tuple | None, pivot: int, shared: int, cosine: float):
@@ -125,14 +142,37 @@ class _Cells:
         yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(ids[root[some]])], ["id", "links", "root"])
 
 
+def _drawn(classes: DataFrame, pivots: int | None, seed: int) -> dict[int, tuple[int, np.ndarray]]:
+    """Pivots of each dimension of more than ``BLOCK`` vectors: the number of the first one, and all."""
+    dims = {r.d: r["count"] for r in classes.groupBy(F.size("v").alias("d")).count().where(F.col("count") > BLOCK).collect()}
+    if not dims:
+        return {}
+    most = {d: pivots or min(max(LEAST_PIVOTS, math.ceil(4 * math.sqrt(n))), MOST_PIVOTS) for d, n in dims.items()}
+    total = sum(most.values())
+    if not pivots and total > MOST_PIVOTS:
+        most = {d: max(LEAST_PIVOTS, m * MOST_PIVOTS // total) for d, m in most.items()}
+    # those of least luck, of somewhat more than are needed
+    share = F.create_map(*[F.lit(x) for d, m in most.items() for x in (d, (m + 6 * math.sqrt(m) + 8) / dims[d])])
+    luck = F.xxhash64(F.lit(seed), "h1", "h2")
+    some = classes.where(luck.cast("double") / 2.0**64 + 0.5 < F.coalesce(share[F.size("v")], F.lit(0.0))).select(luck.alias("luck"), "h1", "h2", "v").collect()
+    by_dim: dict[int, list] = {}
+    for r in sorted(some, key=lambda r: (r.luck, r.h1, r.h2)):
+        by_dim.setdefault(len(r.v), []).append(r.v)
+    out, first = {}, 0
+    for d, found in sorted(by_dim.items()):
+        out[d] = first, np.array(found[: most[d]], np.float64)
+        first += len(out[d][1])
+    return out
+
+
 def near_vectors(
     embeddings: DataFrame, *, id_col: str = "vec_id", vector: str = "embedding", cosine: float = 0.9, nearest: int = NEAREST, shared: int = SHARED, pivots: int | None = None, seed: int = 1,
 ) -> DataFrame:
     """(id_col, n_links, component_id, kept) for every row: other rows whose vectors' cosine is ``cosine`` or more, the
     least id reachable by such links, and whether that is the row's own id.
 
-    Vectors that are null, empty, zero or hold null or non-finite components link with nothing; so do vectors of another
-    dimension than most have, and rows with a null id (component null, kept false). Equal vectors link with each other.
+    Vectors that are null, empty, zero or hold null or non-finite components link with nothing; so do rows with a null
+    id (component null, kept false). Vectors of different dimensions don't link. Equal vectors link with each other.
     Rows of one id are one vertex. Recall against brute force is measured in the tests; no pair under ``cosine`` is
     linked. An empty table gives an empty result.
     """
@@ -141,21 +181,17 @@ def near_vectors(
     raw = embeddings.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
     rows = raw.mapInArrow(_unit, "id long, v array<double>").withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit("second"), "v")})
     valid = rows.where("v is not null")
-    dims = valid.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dim = dims[0].d if dims else 0
-    valid = valid.where(F.size("v") == dim)
     classes, _ = written(valid.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("many"), F.first("v").alias("v")), "vectors")
     n = classes.count()
-    m = pivots or min(max(LEAST_PIVOTS, math.ceil(4 * math.sqrt(n))), MOST_PIVOTS)
-    luck = F.xxhash64(F.lit(seed), "h1", "h2")
-    drawn = classes.orderBy(luck, "h1", "h2").limit(m).select("v").collect()  # <= MOST_PIVOTS vectors
-    if not drawn:
+    if not n:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    sent = spark.sparkContext.broadcast(np.array([r.v for r in drawn], np.float64))
+    drawn = _drawn(classes, pivots, seed)
+    count = sum(len(x) for _, x in drawn.values())
+    sent = spark.sparkContext.broadcast(drawn)
     named = classes.select("rep", "many", "v").withColumn("id", F.col("rep")).drop("rep")
-    index, _ = written(named.mapInArrow(_Describe(sent, nearest), "many long, v array<double>, id long, perm array<int>"), "permutations")
-    sizes = {r.pivot: -(-r.n // BLOCK) for r in index.select(F.explode("perm").alias("pivot")).groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each pivot
-    parts = F.element_at(F.lit(np.array([sizes.get(k, 1) for k in range(len(drawn))], np.int64)), F.col("pivot") + 1)
+    index, _ = written(named.mapInArrow(_Describe(sent, nearest, shared), "many long, v array<double>, id long, perm array<int>"), "permutations")
+    sizes = {r.pivot: -(-r.n // BLOCK) for r in index.select(F.explode("perm").alias("pivot")).where("pivot >= 0").groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each pivot
+    parts = F.element_at(F.lit(np.array([1, *(sizes.get(k, 1) for k in range(count))], np.int64)), F.greatest(F.col("pivot") + 1, F.lit(0)) + 1)
     posted = index.select("*", F.explode("perm").alias("pivot")).withColumn("parts", parts)
     posted = posted.withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     cells = posted.select("*", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("other"))
@@ -167,7 +203,7 @@ def near_vectors(
     member = keyed.join(classes.select("h1", "h2", "rep", "many"), ["h1", "h2"]).select("id", "rep", "many")
     label = components(linked.select(F.col("id").alias("a"), F.col("root").alias("b")).union(member.where("id != rep").select("id", "rep")))
     by_class = classes.select("h1", "h2", "rep", "many").join(counts, F.col("rep") == counts.id, "left").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("links"))
-    out = rows.select("id", "h1", "h2", (F.col("v").isNotNull() & (F.size("v") == dim)).alias("ok")).join(by_class, ["h1", "h2"], "left").join(label, "id", "left")
+    out = rows.select("id", "h1", "h2", F.col("v").isNotNull().alias("ok")).join(by_class, ["h1", "h2"], "left").join(label, "id", "left")
     component = F.coalesce("component", "id")
     return out.select(
         F.col("id").alias(id_col), F.when(F.col("ok"), F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),

@@ -97,3 +97,21 @@ def test_near_vectors(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
     nulls = near_vectors(spark.createDataFrame([(1, None)], "vec_id long, embedding array<double>")).collect()
     assert [tuple(r) for r in nulls] == [(1, 0, 1, True)]
+
+
+def test_every_dimension_is_compared_within_itself(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for dim, n, centres in ((6, 400, 80), (5, 300, 60), (3, 6, 2)):
+        c = rng.standard_normal((centres, dim))
+        rows += [(len(rows) + k, (c[k % centres] + 0.05 * rng.standard_normal(dim)).tolist()) for k in range(n)]
+        rows.append((len(rows), rows[-1][1]))
+    got = {r.vec_id: r for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for dim in (6, 5, 3):
+        mine = [(i, v) for i, v in rows if len(v) == dim]
+        e = np.array([np.array(v) / np.linalg.norm(v) for _, v in mine])
+        want = (e @ e.T >= 0.9).sum(1) - 1
+        links = np.array([got[i].n_links for i, _ in mine])
+        assert (links <= want).all() and links.sum() >= 0.9 * want.sum() > 0
+        assert dim > 3 or (links == want).all()
+        assert got[mine[-1][0]].n_links > 0 and got[mine[-1][0]].component_id in {i for i, _ in mine}
