@@ -5,6 +5,9 @@ words that are stop words, and the share of its text inside links. Long blocks r
 links and blocks of menus, forms, adverts and the like are bad, and the rest is undecided. In the second pass undecided
 blocks take the label of the nearest decided neighbour in the same region of the page. Menus, adverts and the like are
 regions of their own; what follows one belongs to the region that it interrupts.
+
+Stop words are of seven languages. Where they can't tell, length and links alone decide: in blocks that aren't in Latin
+letters, and on pages of which they recognise less than a quarter of the text.
 """
 
 from __future__ import annotations
@@ -32,7 +35,13 @@ STOP_WORDS = {
 #: Shares and lengths (characters) of the first pass.
 STOP_HIGH, STOP_LOW, LINKS, SHORT, LONG = 0.30, 0.12, 0.4, 70, 160
 
+#: Stop words judge the language of a page of which they recognise so large a part of the text.
+KNOWN = 0.25
+
 _STOP = [frozenset(w.split()) for w in STOP_WORDS.values()]
+_LETTERS, _NOT_LATIN = re.compile(r"[^\W\d_]"), re.compile(r"[^\W\d_\x00-\u024f\u1e00-\u1eff]")
+#: Letters of scripts without spaces, which say as much as two or more of others.
+_DENSE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>|<([a-zA-Z][a-zA-Z0-9:-]*)[^>]*>""", re.S)
 _RAW = frozenset("script style template noscript svg math iframe object canvas audio video textarea select title".split())
 _BLOCK = frozenset(
@@ -162,22 +171,37 @@ def _stop_share(text: str) -> float:
     return max(sum(w in s for w in words) for s in _STOP) / max(1, len(words))
 
 
+def _size(text: str) -> int:
+    """Characters, those of scripts without spaces twice."""
+    return len(text) if text.isascii() else len(text) + len(_DENSE.findall(text))
+
+
+def _is_latin(text: str) -> bool:
+    return text.isascii() or 2 * len(_NOT_LATIN.findall(text)) <= len(_LETTERS.findall(text))
+
+
 def classify(found: list[_Block]) -> list[_Block]:
     """Both passes; every block ends with the label good or bad."""
-    for b in found:
+    stops: dict[int, float] = {}  # of the blocks that are long enough
+    for i, b in enumerate(found):
         share = b.links / max(1, len(b.text))
         if b.bad or share > (0.9 if b.main else LINKS):
             b.label = "bad"
-        elif len(b.text) < SHORT:
+        elif _size(b.text) < SHORT:
             b.label = "short" if not b.links or b.main else "bad"
         else:
-            stop = _stop_share(b.text)
-            if stop >= STOP_HIGH or (stop >= STOP_LOW and (len(b.text) >= LONG or b.main)):
-                b.label = "good"
-            elif stop >= STOP_LOW or b.main:
-                b.label = "near"
-            else:
-                b.label = "bad"
+            stops[i] = _stop_share(b.text)
+    known = sum(len(found[i].text) for i, stop in stops.items() if stop >= STOP_LOW) >= KNOWN * sum(len(found[i].text) for i in stops)
+    for i, stop in stops.items():
+        b = found[i]
+        if stop < STOP_LOW and not (known and _is_latin(b.text)):
+            b.label = "good" if _size(b.text) >= LONG else "near"
+        elif stop >= STOP_HIGH or (stop >= STOP_LOW and (len(b.text) >= LONG or b.main)):
+            b.label = "good"
+        elif stop >= STOP_LOW or b.main:
+            b.label = "near"
+        else:
+            b.label = "bad"
     first = [b.label for b in found]
     n = len(found)
     place, many = [0] * n, {}  # of each block in its region

@@ -27,6 +27,19 @@ def test_what_follows_an_advert_is_judged_as_if_it_were_not_there():
     assert main_text(f'<article><p>{PARA}</p><div class="ad">Buy.</div><p>{code}</p></article>').split("\n") == [PARA, code.strip()]
 
 
+def test_languages_without_stop_words_go_by_length_and_links():
+    russian = "Кошка сидела на коврике, и всё было совсем не так, как они ей говорили, когда мы там были, но к тому времени остальные уже давно ушли домой, и никто не знал, когда они вернутся."
+    japanese = "猫は敷物の上に座っていたが、それは私たちがそこにいたときに彼らが彼女に言ったこととはまったく違っていた。しかしその頃には残りの人々はもう家に帰っていて、いつ戻るのか誰も知らなかった。"
+    polish = "Kot siedział na macie i wszystko było zupełnie inaczej, niż jej mówili, kiedy tam byliśmy, ale wtedy pozostali już dawno wyszli, więc nikt nie wiedział, kiedy wrócą z powrotem."
+    for text in (russian, japanese, polish):
+        links = "".join(f"<li><a href=/{i}>{text[:40]}</a></li>" for i in range(9))
+        page = f"<body><div><ul>{links}</ul></div><div class=ad>{text}</div><div><h2>{text[:9]}</h2><p>{text}</p><p>{text[:20]}</p><p>{text}</p></div><footer>{text}</footer>"
+        assert main_text(page).split("\n") == [text[:9].strip(), text, text[:20].strip(), text]
+    assert main_text(f"<body><div><p>{PARA}</p><p>{russian}</p></div>").split("\n") == [PARA, russian]
+    junk = "Widget alpha 12, gadget beta 99, gizmo gamma 7, " * 4
+    assert main_text(f"<body><div><p>{PARA} {PARA}</p></div><div>{junk}</div>") == f"{PARA} {PARA}"
+
+
 def test_broken_markup():
     assert main_text(None) == "" and main_text("") == "" and main_text("<") == "" and main_text("<p class='x>") == ""
     assert main_text(f"<article><p>{PARA}<script>never closed {PARA}") == PARA
