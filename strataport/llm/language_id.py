@@ -26,10 +26,10 @@ from .shared import ship, without
 
 SEGMENT = 128
 HIDDEN = 8
-#: Labelled rows of each language that the sample aims at, slices taken of each, and the most languages.
-SAMPLE_ROWS, SLICES, MOST_LANGUAGES = 600, 6, 64
+#: Labelled rows of each language that the sample aims at, slices taken of each, and rows that all languages share.
+SAMPLE_ROWS, SLICES, ALL_ROWS = 600, 6, 38_400
 STEPS, BATCH = 260, 192
-_GROUP = 4096  # segments that run side by side
+_GROUP = 4096  # segments that run side by side; fewer where there are more than 64 labels
 _LETTER = np.array([b > 127 or chr(b).isalpha() for b in range(256)])
 
 
@@ -139,10 +139,17 @@ class Network:
 
 
 def train(slices: list[bytes], labels: list[str], *, hidden: int = HIDDEN, steps: int = STEPS, batch: int = BATCH, seed: int = 1) -> Network:
-    """Fit a network by Adam; languages weigh the same, however many slices each has."""
+    """Fit a network by Adam; languages weigh the same, however many slices each has. Of more than ``batch`` / 3
+    languages each is still seen about three times ``steps`` times: batches grow, and where their memory would not stay
+    bounded, steps do."""
     names = sorted(set(labels))
     net = Network(names, hidden, seed)
-    y = np.array([names.index(x) for x in labels])
+    if 3 * len(names) > batch:
+        seen = 3 * len(names) * steps
+        batch = max(batch, min(3 * len(names), (1 << 18) // len(names)))
+        steps = -(-seen // batch)
+    number = {x: k for k, x in enumerate(names)}
+    y = np.array([number[x] for x in labels])
     seg = np.zeros((len(slices), SEGMENT), np.uint8)
     for i, s in enumerate(slices):
         seg[i, : len(s)] = np.frombuffer(s[:SEGMENT], np.uint8)
@@ -192,10 +199,11 @@ def pooled(net: Network, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     start = offsets[:-1][row] + k * SEGMENT
     length = np.minimum(offsets[1:][row] - start, SEGMENT)
     out = np.zeros((len(size), len(net.labels)))
-    for a in range(0, len(row), _GROUP):
-        s, n = start[a : a + _GROUP], length[a : a + _GROUP]
+    group = max(1, _GROUP * 64 // max(64, len(net.labels)))
+    for a in range(0, len(row), group):
+        s, n = start[a : a + group], length[a : a + group]
         order = np.argsort(-n, kind="stable")  # full segments first, so that short ones end early
-        s, n, to = s[order], n[order], row[a : a + _GROUP][order]
+        s, n, to = s[order], n[order], row[a : a + group][order]
         for lo, hi in _even(n):
             steps = int(n[lo])
             at = np.arange(steps)[:, None]
@@ -218,16 +226,19 @@ def _even(n: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def labelled(documents: DataFrame, *, text: str, lang: str, key, rows: int, slices: int) -> tuple[list[bytes], list[str]]:
     """The sample: of each language about ``rows`` rows, by a hash of their key, and of each ``slices`` slices of 128
-    bytes at hashed places of the whole text. Bounded by MOST_LANGUAGES x rows x slices x 128 bytes."""
+    bytes at hashed places of the whole text. Every language is in it. Where they would have more than ALL_ROWS rows
+    together, each aims at an equal part of these, a row at least."""
     t = F.col(f"`{text}`")
     df = documents.select(F.col(f"`{lang}`").cast("string").alias("lang"), key.cast("string").alias("key"), t.cast("binary").alias("text")).where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = df.select("lang").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    luck = F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1_000_000)) / 1_000_000
+    counts = df.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.min(luck).alias("least")).collect()  # a row for each language
     if not counts:
         return [], []
+    rows = min(rows, max(1, ALL_ROWS // len(counts)))
     share = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(min(1.0, rows / r["count"])))])
-    luck = F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1_000_000)) / 1_000_000
+    least = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(r.least))])
     at = [F.pmod(F.xxhash64(F.lit(i), "key"), F.greatest(F.length("text") - SEGMENT + 1, F.lit(1))) + 1 for i in range(slices)]
-    got = df.where(luck < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "key", F.array(*[F.substring("text", a.cast("int"), F.lit(SEGMENT)) for a in at]).alias("s"))
+    got = df.where((luck < share[F.col("lang")]) | (luck <= least[F.col("lang")])).select("lang", "key", F.array(*[F.substring("text", a.cast("int"), F.lit(SEGMENT)) for a in at]).alias("s"))
     picked = sorted(((r.lang, r.key or "", tuple(bytes(x) for x in r.s)) for r in got.collect()))
     return [x for _, _, s in picked for x in s], [lang for lang, _, s in picked for _ in s]
 
@@ -237,8 +248,8 @@ def identify(
 ) -> DataFrame:
     """Every row with held_out, lang_pred and score (the pooled probability of lang_pred).
 
-    A network is trained, unless one is given, on rows with a language whose crc32(id as text) mod 4 isn't 2; held_out
-    marks those with 2. Prediction uses the text alone. Null texts and texts without a letter: ``und``, score 0; so are
+    A network is trained, unless one is given, on rows with a language whose crc32(id as text) mod 4 isn't 2, and on every
+    language of these; held_out marks those with 2. Prediction uses the text alone. Null texts and texts without a letter: ``und``, score 0; so are
     all rows where there is nothing to learn from. A null id isn't held out. Repeated rows get equal results. Columns
     with the names above give way.
     """

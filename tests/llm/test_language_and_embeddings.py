@@ -115,3 +115,14 @@ def test_every_dimension_is_compared_within_itself(spark):
         assert (links <= want).all() and links.sum() >= 0.9 * want.sum() > 0
         assert dim > 3 or (links == want).all()
         assert got[mine[-1][0]].n_links > 0 and got[mine[-1][0]].component_id in {i for i, _ in mine}
+
+
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(5)
+    pairs = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopq"]
+    rows = [(pair, " ".join(rng.choice([pair, pair[::-1], pair * 2], 20))) for k, pair in enumerate(pairs) for _ in range(20 + (k < 64))]
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = identify(df, keep=["doc_id", "lang"], rows=20, slices=2).where("held_out").collect()
+    rare = [r.lang_pred == r.lang for r in got if r.lang in pairs[64:]]
+    assert len(pairs) == 70 and len(rare) > 15 and np.mean(rare) > 0.8
+    assert np.mean([r.lang_pred == r.lang for r in got]) > 0.8
