@@ -8,6 +8,9 @@ regions of their own; what follows one belongs to the region that it interrupts.
 
 Stop words are of seven languages. Where they can't tell, length and links alone decide: in blocks that aren't in Latin
 letters, and on pages of which they recognise less than a quarter of the text.
+
+Inside an article a linked heading is undecided, and a linked block that stands alone is good between good neighbours;
+runs of linked blocks are lists of links and bad.
 """
 
 from __future__ import annotations
@@ -48,6 +51,7 @@ _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _CONTAINER = frozenset("article aside blockquote body center details dialog div dl fieldset figure footer form head header main menu nav ol section table ul button".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _BAD = frozenset("nav header footer aside form menu dialog fieldset head button".split())
 _NAMED = re.compile(
     r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I
@@ -61,10 +65,10 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 class _Block:
-    __slots__ = ("bad", "label", "links", "main", "region", "text")
+    __slots__ = ("bad", "heading", "label", "links", "main", "region", "text")
 
-    def __init__(self, text: str, links: int, bad: bool, main: bool, region: int):
-        self.text, self.links, self.bad, self.main, self.region, self.label = text, links, bad, main, region, None
+    def __init__(self, text: str, links: int, bad: bool, main: bool, region: int, heading: bool):
+        self.text, self.links, self.bad, self.main, self.region, self.heading, self.label = text, links, bad, main, region, heading, None
 
 
 def _is_bad(tag: str, attributes: str, in_main: bool) -> bool:
@@ -96,7 +100,7 @@ def blocks(page: str) -> list[_Block]:
     parts: list[str] = []
     linked: list[str] = []
     in_link, region, regions, at = False, 0, 0, 0
-    bad = main = False
+    bad = main = heading = False
 
     def flush() -> None:
         nonlocal in_link
@@ -104,7 +108,7 @@ def blocks(page: str) -> list[_Block]:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             if text:
                 links = len(" ".join(html_lib.unescape("".join(linked)).split())) if linked else 0
-                out.append(_Block(text, links, bad, main, region))
+                out.append(_Block(text, links, bad, main, region, heading))
             parts.clear()
             linked.clear()
 
@@ -126,6 +130,7 @@ def blocks(page: str) -> list[_Block]:
                 in_link = False
             if tag in _BLOCK:
                 flush()
+                heading = False
             if tag in _CONTAINER and any(t == tag for t, *_ in stack):
                 top, back = "", None
                 while top != tag:
@@ -150,6 +155,7 @@ def blocks(page: str) -> list[_Block]:
             in_link = True
         elif tag in _BLOCK:
             flush()
+            heading = tag in _HEADINGS
             if tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "div"):
                 in_link = False
             if tag in _CONTAINER and closed(tag):
@@ -183,9 +189,15 @@ def _is_latin(text: str) -> bool:
 def classify(found: list[_Block]) -> list[_Block]:
     """Both passes; every block ends with the label good or bad."""
     stops: dict[int, float] = {}  # of the blocks that are long enough
+    runs: dict[int, _Block] = {}  # the last block of each region
     for i, b in enumerate(found):
         share = b.links / max(1, len(b.text))
-        if b.bad or share > (0.9 if b.main else LINKS):
+        last, runs[b.region] = runs.get(b.region), b
+        if b.main and not b.bad and share > 0.9:
+            b.label = "short" if b.heading else "linked"
+            if last and b.label == "linked" and last.label in ("linked", "bad"):
+                last.label = b.label = "bad"
+        elif b.bad or share > (0.9 if b.main else LINKS):
             b.label = "bad"
         elif _size(b.text) < SHORT:
             b.label = "short" if not b.links or b.main else "bad"
@@ -218,7 +230,9 @@ def classify(found: list[_Block]) -> list[_Block]:
         if first[i] in ("good", "bad"):
             continue
         sides = sorted((abs(place[j] - place[i]), first[j] != "good") for j in (before[i], after[i]) if j is not None)
-        if sides:
+        if first[i] == "linked":
+            b.label = "good" if sides and not any(x for _, x in sides) else "bad"
+        elif sides:
             b.label = "bad" if sides[0][1] else "good"
         else:
             b.label = "good" if b.main or first[i] == "near" else "bad"

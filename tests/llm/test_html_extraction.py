@@ -40,6 +40,13 @@ def test_languages_without_stop_words_go_by_length_and_links():
     assert main_text(f"<body><div><p>{PARA} {PARA}</p></div><div>{junk}</div>") == f"{PARA} {PARA}"
 
 
+def test_linked_headings_and_single_links_of_an_article():
+    links = "".join(f"<li><a href=/{i}>Some page of the site number {i}</a></li>" for i in range(4))
+    page = f"<article><h2><a href=/t>Title</a></h2><p>{PARA}</p><p><a href=/x>A source</a></p><p>{PARA}</p><ul>{links}</ul></article>"
+    assert main_text(page).split("\n") == ["Title", PARA, "A source", PARA]
+    assert main_text(f"<div><h2><a href=/t>Title</a></h2><p>{PARA}</p></div>") == PARA
+
+
 def test_broken_markup():
     assert main_text(None) == "" and main_text("") == "" and main_text("<") == "" and main_text("<p class='x>") == ""
     assert main_text(f"<article><p>{PARA}<script>never closed {PARA}") == PARA
