@@ -31,7 +31,8 @@ from .tokens import default_path, encoder
 LENGTH = 1024
 #: Tokens in which every queue gets its share once.
 WINDOW = 64 * LENGTH
-#: Sources above this many are hashed into as many queues; their documents are packed all the same.
+#: Of more sources than this, the largest have half of so many queues, one each, and the others are hashed into the other
+#: half; their documents are packed all the same.
 MOST_QUEUES = 4096
 
 
@@ -168,7 +169,8 @@ def pack(
     sequence_id, offset, and with ``with_ids`` the ids as little-endian unsigned 32-bit integers.
 
     ``targets``: a share for each source (those left out come last); by default what each source holds, so that the
-    mixture is even from first to last. Null or empty text: the end id alone. A null source is the queue "". Repeated
+    mixture is even from first to last. Of more than ``most_queues`` sources those with targets, or else the half as
+    many largest, keep to their own share; the others do so in hashed groups. Null or empty text: the end id alone. A null source is the queue "". Repeated
     rows are packed as often as they occur. Columns with the names above give way. An empty table gives no pieces.
     """
     spark = documents.sparkSession
@@ -179,8 +181,13 @@ def pack(
     name = F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(""))
     if documents.select(name.alias("q")).distinct().limit(most_queues + 1).count() > most_queues:
         if targets is not None:
-            raise ValueError(f"targets need at most {most_queues} sources")
-        name = F.pmod(F.xxhash64(name), F.lit(most_queues)).cast("string")
+            large = list(targets)
+        else:
+            sizes = documents.groupBy(name.alias("q")).agg(F.sum(F.coalesce(F.length(f"`{text}`"), F.lit(0)) + 1).alias("n"))
+            large = [r.q for r in sizes.orderBy(F.desc("n"), "q").limit(most_queues // 2).collect()]
+        bucket = F.pmod(F.xxhash64(name), F.lit(max(1, most_queues - max(len(large), most_queues // 2)))).cast("string")
+        name = F.when(name.isin(large), F.concat(F.lit("s:"), name)).otherwise(F.concat(F.lit("h:"), bucket))
+        targets = None if targets is None else {f"s:{q}": x for q, x in targets.items()}
     df = documents.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], name.alias("queue"), F.col(f"`{text}`").alias("text"))
     types = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in df.drop("text").schema), "ids binary, part long, at long, n long"])
     rows, _ = written(df.mapInArrow(_Encode(tokenizer, end_id), types), "packing-ids")

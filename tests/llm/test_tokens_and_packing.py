@@ -107,3 +107,19 @@ def test_targets_hold_until_a_source_ends():
     assert first[2][2] == 50 and abs(first[2][0] - 3 * first[2][1]) <= 3
     places = sorted(p + k for q, n in enumerate(totals) for p, m in s.runs(q, 0, n) for k in range(m))
     assert places == list(range(sum(totals)))
+
+
+def test_large_sources_keep_their_own_queue(spark):
+    docs = [(i, "word " * 40, "big") for i in range(60)] + [(100 + i, "word " * 40, "large") for i in range(60)] + [(200 + i, "few words", f"s{i}") for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
+    out = pack(df, keep=["doc_id", "source"], length=64, window=256, most_queues=4).collect()
+    check_pieces(docs, out, 64)
+    total = sum(p.length for p in out)
+    for source in ("big", "large"):
+        mine = [p for p in out if p.source == source]
+        first = sum(min(p.length, max(0, total // 2 - p.sequence_id * 64 - p.offset)) for p in mine)
+        assert abs(first - sum(p.length for p in mine) / 2) < 256
+    aimed = pack(df, keep=["doc_id", "source"], length=64, window=256, most_queues=4, targets={"big": 3, "large": 1}).collect()
+    check_pieces(docs, aimed, 64)
+    first = [p for p in aimed if p.sequence_id < 16]
+    assert abs(sum(p.length for p in first if p.source == "big") - 768) <= 1 and {p.source for p in first} == {"big", "large"}
