@@ -126,3 +126,20 @@ def test_every_language_is_learned(spark):
     rare = [r.lang_pred == r.lang for r in got if r.lang in pairs[64:]]
     assert len(pairs) == 70 and len(rare) > 15 and np.mean(rare) > 0.8
     assert np.mean([r.lang_pred == r.lang for r in got]) > 0.8
+
+
+def test_recall_of_the_defaults_near_the_threshold(spark):
+    """Pairs planted at cosines of 0.90 to 0.92 in 64 dimensions."""
+    rng = np.random.default_rng(6)
+    n = 1500
+    a, b = (rng.standard_normal((n, 64)) for _ in range(2))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    c = rng.uniform(0.9001, 0.92, n)[:, None]
+    rows = [(i, x.tolist()) for i, x in enumerate(np.concatenate([a, c * a + np.sqrt(1 - c * c) * b]))]
+    got = {r.vec_id: r for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    recall = np.mean([got[n + i].component_id == i and got[i].n_links == 1 for i in range(n)])
+    print("recall", recall)
+    assert recall >= 0.95
+    assert all(r.n_links <= 1 for r in got.values())
