@@ -14,6 +14,7 @@ suffix within its first 30 words; from there at least 21 words agree. That many
    where one can start.
 4. A key that a partition's first or last row has may go on in the next partition: of its 50-grams one row for each
    partition goes to an aggregation over all partitions: its least document there, and whether there are others.
+5. A document's spans are merged where they are found, before they leave the task, and again once they are together.
 """
 
 from __future__ import annotations
@@ -26,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .decontamination import _merged
 from .shared import ship, written
 
 LEAST, GRAM, SPAN = 50, 8, 30
 #: Bits of the map of repeated keys: 8 MB.
 KEY_BITS = 26
 _CHUNKS = 64
+#: Kinds of rows that a stretch of the suffix array gives.
+ANY, GRAMS, LATER = 0, 1, 2
 
 
 def retained(w: K.Words, least: int, gram: int, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,10 +138,53 @@ def _fixed(x: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * size).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(x).tobytes())])
 
 
+def merged(ids: np.ndarray, first: np.ndarray, past: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of each id in order, those that overlap or touch made one."""
+    if not len(ids):
+        return ids, first, past
+    order = np.lexsort((first, ids))
+    ids, first, past = ids[order], first[order], past[order]
+    rank = np.cumsum(np.concatenate([[0], ids[1:] != ids[:-1]]))
+    reach = np.maximum.accumulate(rank * (past.max() + 1) + past) - rank * (past.max() + 1)  # within each id
+    new = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (first[1:] > reach[:-1])]))
+    return ids[new], first[new], reach[np.concatenate([new[1:], [len(ids)]]) - 1]
+
+
+def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each id, from its spans of both kinds in the order of ids; of an id that goes on in the next batch only
+    merged spans are held."""
+    held: list[tuple] = []  # ids, first and past of each kind
+    for b in batches:
+        if not len(b):
+            continue
+        kind, *rows = (b.column(c).to_numpy() for c in ("kind", "id", "first", "past"))
+        new = [merged(*(np.concatenate([h, x[kind == k]]) for h, x in zip(old, rows))) for k, old in zip((ANY, LATER), held or [(rows[0][:0],) * 3] * 2)]
+        last = rows[0][-1]
+        yield _rows(*(tuple(x[ids != last] for x in (ids, *rest)) for ids, *rest in new))
+        held = [tuple(x[ids == last] for x in (ids, *rest)) for ids, *rest in new]
+    if held:
+        yield _rows(*held)
+
+
+def _rows(every: tuple, later: tuple) -> pa.RecordBatch:
+    ids, top = np.unique(every[0], return_index=True)
+    if len(ids):
+        words = np.add.reduceat(every[2] - every[1], top)
+    else:
+        words = ids
+
+    def spans(of: tuple) -> pa.Array:
+        ends = np.concatenate([np.searchsorted(of[0], ids), [len(of[0])]]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(of[1]), pa.array(of[2])], ["first", "past"]))
+
+    n = np.diff(np.concatenate([top, [len(every[0])]])).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(words), spans(every), spans(later)], ["id", "n_spans", "n_repeated", "spans", "later_spans"])
+
+
 class _Compare:
-    """Rows of a partition in order: repeats (kind 0: id, first and past-the-last word, whether an earlier document has
-    it), and 50-grams of keys that other partitions may have (kind 1: id, hash, first words, whether other documents of
-    these rows have it)."""
+    """Rows of a partition in order: repeats (kind ANY: id, first and past-the-last word, merged), those of them that an
+    earlier document has (kind LATER), and 50-grams of keys that other partitions may have (kind GRAMS: id, hash, first
+    words, whether other documents of these rows have it)."""
 
     def __init__(self, least: int, span: int, rows: int = 20_000):
         self.least, self.span, self.rows = least, span, rows
@@ -173,20 +218,6 @@ class _Compare:
 
     def _done(self, rows: list, opened, going_on) -> pa.RecordBatch:
         key, next_, back, right, left, ids, at = rows
-        n = len(key)
-        reach, before, later = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
-        total = np.zeros(n, np.int64)
-        near = (key[1:] == key[:-1]) & (ids[1:] != ids[:-1])
-        a = np.flatnonzero(near)
-        if len(a):
-            r = _agree(next_[a], next_[a + 1], np.minimum(right[a], right[a + 1]))
-            l_ = _agree(back[a], back[a + 1], np.minimum(left[a], left[a + 1]))
-            ok = r + l_ >= self.least
-            for me, other in ((a, a + 1), (a + 1, a)):
-                better = me[(r + l_ > total[me]) & ok]
-                pick = np.flatnonzero((r + l_ > total[me]) & ok)
-                total[better], reach[better], before[better] = (r + l_)[pick], r[pick], l_[pick]
-                np.logical_or.at(later, me[ok], (ids[other] < ids[me])[ok])
         i, first, past, flag = [], [], [], []
 
         def put(i_, first_, past_, flag_) -> None:
@@ -195,8 +226,13 @@ class _Compare:
             past.append(past_)
             flag.append(flag_)
 
-        done = total > 0
-        put(ids[done], (at - before)[done], (at + reach)[done], later[done])
+        near = np.flatnonzero((key[1:] == key[:-1]) & (ids[1:] != ids[:-1]))
+        reach = _agree(next_[near], next_[near + 1], np.minimum(right[near], right[near + 1]))
+        before = _agree(back[near], back[near + 1], np.minimum(left[near], left[near + 1]))
+        ok = reach + before >= self.least
+        near, reach, before = near[ok], reach[ok], before[ok]
+        for me, other in ((near, near + 1), (near + 1, near)):
+            put(ids[me], at[me] - before, at[me] + reach, ids[other] < ids[me])
         loose = (key == opened) | (key == going_on) if going_on is not None else key == opened
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         group = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
@@ -218,16 +254,22 @@ class _Compare:
                 places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(start[one]))
                 sent = pa.RecordBatch.from_arrays([pa.array(who[top]), pa.array(h[top].view(np.int64)), places, pa.array(two[top])], ["id", "h", "firsts", "others"])
         i, first, past, flag = (np.concatenate(x) for x in (i, first, past, flag))
+        spans = [(kind, *merged(i[some], first[some], past[some])) for kind, some in ((ANY, slice(None)), (LATER, flag))]
+        kinds, i, first, past = (np.concatenate(x) for x in zip(*((np.full(len(i), kind), i, first, past) for kind, i, first, past in spans)))
         n0, n1 = len(i), len(sent)
-        numbers = lambda x, empty: pa.array(np.concatenate([x, np.zeros(empty, x.dtype)]))
+        empty = np.zeros(n1, np.int64)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.repeat(np.array([0, 1], np.int8), [n0, n1])), pa.array(np.concatenate([i, sent.column("id").to_numpy()])), numbers(first, n1), numbers(past, n1), numbers(flag, n1),
-                pa.array(np.concatenate([np.zeros(n0, np.int64), sent.column("h").to_numpy()])), pa.concat_arrays([pa.nulls(n0, pa.list_(pa.int64())), sent.column("firsts")]),
+                pa.array(np.concatenate([kinds, empty + GRAMS]).astype(np.int8)),
+                pa.array(np.concatenate([i, sent.column("id").to_numpy()])),
+                pa.array(np.concatenate([first, empty])),
+                pa.array(np.concatenate([past, empty])),
+                pa.array(np.concatenate([np.zeros(n0, np.int64), sent.column("h").to_numpy()])),
+                pa.concat_arrays([pa.nulls(n0, pa.list_(pa.int64())), sent.column("firsts")]),
                 pa.concat_arrays([pa.nulls(n0, pa.bool_()), sent.column("others")]),
             ],
-            ["kind", "id", "first", "past", "later", "h", "firsts", "others"],
-        )
+            ["kind", "id", "first", "past", "h", "firsts", "others"],
+        )
 
     def _grams(self, rows, whole, left, right, ids, at) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, document and first word of each 50-gram around some suffixes, once each, by these."""
@@ -272,15 +314,12 @@ def repeats(documents: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     suffixes = docs.mapInArrow(_Suffixes(sent, least, gram, span), "key long, next binary, back binary, right short, left short, id long, at long")
     order = ["key", "next", "id", "at"]
     dealt = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
-    found, _ = written(dealt.mapInArrow(_Compare(least, span), "kind tinyint, id long, first long, past long, later boolean, h long, firsts array<long>, others boolean"), "repeats")
-    loose = found.where("kind = 1").select("id", "h", "firsts", "others")
+    found, _ = written(dealt.mapInArrow(_Compare(least, span), "kind tinyint, id long, first long, past long, h long, firsts array<long>, others boolean"), "repeats")
+    loose = found.where(F.col("kind") == GRAMS).select("id", "h", "firsts", "others")
     shared = loose.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max("others").alias("others")).where("a < b or others").select("h", "a")
-    span_of = F.transform("firsts", lambda x: F.struct(x.alias("first"), (x + least).alias("past")))
-    none = F.array().cast("array<struct<first:long,past:long>>")
-    rest = loose.join(shared, "h").select("id", span_of.alias("s"), F.when(F.col("id") > F.col("a"), span_of).otherwise(none).alias("t"))
-    one = F.array(F.struct("first", "past"))
-    every = found.where("kind = 0").select("id", one.alias("s"), F.when(F.col("later"), one).otherwise(none).alias("t")).union(rest)
-    by_doc = every.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("s"), F.array_distinct(F.flatten(F.collect_list("t"))).alias("t"))
-    out = by_doc.select("id", _merged(F.col("s")).alias("spans"), _merged(F.col("t")).alias("later_spans"))
-    words = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["past"] - s["first"])
-    return out.select(F.col("id").alias(id_col), F.size("spans").cast("long").alias("n_spans"), words.alias("n_repeated"), "spans", "later_spans")
+    kinds = F.when(F.col("id") > F.col("a"), F.array(F.lit(ANY), F.lit(LATER))).otherwise(F.array(F.lit(ANY)))
+    rest = loose.join(shared, "h").select("id", F.explode("firsts").alias("first"), kinds.alias("kinds")).select(F.explode(F.col("kinds").cast("array<tinyint>")).alias("kind"), "id", "first", (F.col("first") + least).alias("past"))
+    every = found.where(F.col("kind") != GRAMS).select("kind", "id", "first", "past").union(rest)
+    by_doc = every.repartition("id").sortWithinPartitions("id")
+    out = by_doc.mapInArrow(_report, "id long, n_spans long, n_repeated long, spans array<struct<first:long,past:long>>, later_spans array<struct<first:long,past:long>>")
+    return out.withColumnRenamed("id", id_col)

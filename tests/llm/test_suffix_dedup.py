@@ -48,6 +48,48 @@ def test_equals_brute_force(spark):
     assert repeats(df.limit(0)).count() == 0
 
 
+def brute_later(docs, least):
+    """Merged spans of what a document with a lesser id has too."""
+    words = {i: [w.lower() for w in re.findall("[0-9A-Za-z\x80-\U0010ffff]+", t)] for i, t in docs}
+    first = {}
+    for i in sorted(words):
+        for k in range(len(words[i]) - least + 1):
+            first.setdefault(tuple(words[i][k : k + least]), i)
+    out = {}
+    for i, w in words.items():
+        hit = sorted({j for k in range(len(w) - least + 1) if first[tuple(w[k : k + least])] < i for j in range(k, k + least)})
+        out[i] = [(a, b + 1) for a, b in zip([x for x in hit if x - 1 not in set(hit)], [x for x in hit if x + 1 not in set(hit)])]
+    return out
+
+
+def test_equals_brute_force_as_registered(spark):
+    """50 words, grams of 8, windows of 30: passages of 49, 50, 51 and more words, some within others, in up to 12 documents."""
+    rng = random.Random(11)
+    passages = [[f"p{k}x{j}" for j in range(n)] for k, n in enumerate((49, 50, 50, 51, 60, 79, 80, 120, 300))]
+    docs = []
+    for i in range(90):
+        w = [f"d{i}a{j}" for j in range(rng.randrange(40))]
+        for _ in range(rng.randrange(3)):
+            p = rng.choice(passages)
+            a = rng.randrange(3) if len(p) > 55 and rng.random() < 0.6 else 0
+            b = len(p) - (rng.randrange(30) if len(p) > 100 else 0)
+            w += p[a:b] + [f"d{i}b{rng.random()}" for _ in range(rng.randrange(1, 30))]
+        docs.append((i, " ".join(w)))
+    rows = repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: r.n_repeated for r in rows} == brute(docs, 50)
+    later = brute_later(docs, 50)
+    assert {r.doc_id: [tuple(s) for s in r.later_spans] for r in rows} == {r.doc_id: later[r.doc_id] for r in rows}
+    assert all(r.n_spans == len(r.spans) and r.n_repeated == sum(s.past - s.first for s in r.spans) for r in rows)
+
+
+def test_a_longer_agreement_with_a_later_document(spark):
+    """What two later documents share beyond the first one's passage is no later copy in the first of them."""
+    p = [f"w{j}" for j in range(90)]
+    docs = [(1, " ".join(p[:55])), (2, " ".join(p)), (3, " ".join(p))]
+    got = {r.doc_id: [tuple(s) for s in r.later_spans] for r in repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [(0, 55)], 3: [(0, 90)]} == brute_later(docs, 50)
+
+
 def test_later_copies(spark):
     text = " ".join(f"w{i}" for i in range(80))
     rows = [(4, text), (9, "before " + text + " after"), (9, "before " + text + " after"), (5, "nothing " * 70)]
