@@ -6,9 +6,11 @@ row's columns, each with a flag of whether it was sent; I and U send all.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 KINDS = ("I", "U", "P", "D")
 
 
@@ -26,32 +28,16 @@ def route(log: DataFrame, plans: list[str], by: str) -> tuple[DataFrame, DataFra
 def transactions(log: DataFrame, is_commit: Column, lsn: str = "lsn", segment: str | None = None) -> DataFrame:
     """Changes with txn (from 0) and commit_lsn; a tail without a commit is left out.
 
-    A log file ends with whole transactions or goes on in the next one of its stream; ``segment`` names a column of
-    independent streams, which are numbered apart. Without it the commits, one row each, are put in order, and each change
-    finds its commit by its place among them: only commits meet in one task, not the log.
+    ``segment`` names a column of independent streams, which are numbered apart. The log is shuffled once, by ranges of
+    its positions; neither the whole log nor one stream meets in a task.
     """
-    if segment:
-        w = Window.partitionBy(segment).orderBy(lsn)
-        txn = F.coalesce(F.sum(is_commit.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        commit = F.first(F.when(is_commit, F.col(lsn)), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-        return log.withColumns({"txn": txn.cast("long"), "commit_lsn": commit}).where("commit_lsn is not null")
-    part = log.repartitionByRange(lsn).withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part").orderBy(lsn)
-    local = part.withColumns({
-        "_before": F.coalesce(F.sum(is_commit.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "_next": F.first(F.when(is_commit, F.col(lsn)), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
-    })
-    by_part = local.groupBy("_part").agg(F.sum(is_commit.cast("long")).alias("c"), F.min(F.when(is_commit, F.col(lsn))).alias("f"))
-    order = Window.orderBy("_part")  # a row for each partition
-    ends = by_part.select("_part", F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.first("f", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
-    out = local.join(ends, "_part").withColumns({"txn": F.col("_base") + F.col("_before"), "commit_lsn": F.coalesce("_next", "_after")})
-    return out.where("commit_lsn is not null").drop("_part", "_before", "_next", "_base", "_after")
+    out = running(log, [lsn], segment, txn=("sum", is_commit.cast("long")), commit_lsn=("next", F.when(is_commit, F.col(lsn))))
+    return out.where("commit_lsn is not null")
 
 
 def relation_as_of(log: DataFrame, relation: str, is_relation: Column, version: Column, lsn: str = "lsn") -> DataFrame:
     """Each change with the latest version of its relation at or before it, null before the first."""
-    w = Window.partitionBy(relation).orderBy(lsn).rowsBetween(Window.unboundedPreceding, 0)
-    return log.withColumn("relation_version", F.last(F.when(is_relation, version), ignorenulls=True).over(w))
+    return running(log, [lsn], relation, relation_version=("last", F.when(is_relation, version)))
 
 
 def compact(log: DataFrame, key: list[str], columns: list[str], lsn: str = "lsn", op: str = "op", sent: dict[str, Column] | None = None, base: DataFrame | None = None) -> DataFrame:

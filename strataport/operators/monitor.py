@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 
 def lag_trend(readings: DataFrame, at: str = "taken_at", lag: str = "bytes", slot: str | None = None, window: int = 10) -> DataFrame:
     """Readings with trend (bytes a second over the last ``window`` readings; null for fewer than two or no time between)
@@ -24,7 +26,7 @@ def readiness(lag: Column, threshold: int) -> Column:
 
 def acknowledged(log: DataFrame, lsn: Column, order: str, by: str) -> DataFrame:
     """The log with ack, the greatest position so far of each stream ``by``."""
-    return log.withColumn("ack", F.max(lsn).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    return running(log, [order], by, ack=("max", lsn))
 
 
 def batch_stats(batches: DataFrame, by: str = "table_name") -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 
 def after_key(key: list[str], last: list) -> Column:
     """Rows after a key. A compound key is written out, so that the file scan can skip row groups by it."""
@@ -25,16 +27,9 @@ def page(df: DataFrame, key: list[str], size: int, last: list | None = None, col
 
 
 def numbered(df: DataFrame, key: list[str], name: str = "rn") -> DataFrame:
-    """Rows with their number in key order from 1, without a task that sees all of them.
-
-    Rows are range-partitioned by key once and written down to their keys; a number is its place in its partition plus
-    the count of all partitions before it.
-    """
-    dealt = df.repartitionByRange(*key).withColumn("_part", F.spark_partition_id())
-    local = dealt.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*key)))
-    counts = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row for each partition
-    return local.join(before, "_part").withColumn(name, F.col("_local") + F.col("_base")).drop("_part", "_local", "_base")
+    """Rows with their number in key order from 1, without a task that sees all of them: a number is a row's place in its
+    range of keys plus the count of all ranges before it."""
+    return running(df, key, **{name: ("sum", F.lit(1).cast("long"))}).withColumn(name, F.col(name) + 1)
 
 
 def pages(df: DataFrame, key: str, size: int) -> DataFrame:
