@@ -40,23 +40,44 @@ def relation_as_of(log: DataFrame, relation: str, is_relation: Column, version:
     return running(log, [lsn], relation, relation_version=("last", F.when(is_relation, version)))
 
 
-def compact(log: DataFrame, key: list[str], columns: list[str], lsn: str = "lsn", op: str = "op", sent: dict[str, Column] | None = None, base: DataFrame | None = None) -> DataFrame:
-    """The final row of each live key: what applying the changes one by one gives, in one aggregation.
+#: Positions of what isn't a change: a row of the target, one that a copy brought, a default.
+BASE, COPIED, DEFAULT = -1, -2, -10
 
-    Per key, changes after its last delete count; it lives if one of them is a full row; each column has the value of the
-    latest change that sent it. A ``base`` row is a full change before all others. Sums of maxima combine on the map side,
-    so a key with a third of the log sends one row from each task.
-    """
-    sent = sent or {}
-    full = F.col(op).isin("I", "U")
-    log = log.select(*key, F.col(lsn).alias("_lsn"), F.col(op).alias("_op"), *[F.struct(F.col(c).alias("v")).alias(f"_{c}") for c in columns], *[(full | (sent[c] & (F.col(op) == "P")) if c in sent else F.col(op) != "D").alias(f"_s_{c}") for c in columns])
+
+def states(log: DataFrame, key: list[str], columns: list[str], lsn: str = "lsn", op: str = "op", sent: dict[str, Column] | None = None, place: dict[str, Column] | None = None) -> DataFrame:
+    """Each change as the state that it gives its key: the position if it deletes (gone) or is a full row (full), and each
+    column's value with its position where it was sent. ``sent``: for a partial update whether it sent a column (all,
+    for columns that aren't named); ``place``: another position for a column's value."""
+    sent, place, full, at = sent or {}, place or {}, F.col(op).isin("I", "U"), F.col(lsn).cast("long")
+    gives = lambda c: (full | (sent[c] & (F.col(op) == "P"))) if c in sent else F.col(op) != "D"
+    return log.select(*key, F.when(F.col(op) == "D", at).alias("gone"), F.when(full, at).alias("full"), *[F.when(gives(c), F.struct(place.get(c, at).alias("at"), F.col(c).alias("v"))).alias(c) for c in columns])
+
+
+def row_states(rows: DataFrame, key: list[str], columns: list[str], at: int = BASE) -> DataFrame:
+    """Rows as states that were there before all changes."""
+    place = F.lit(at).cast("long")
+    return rows.select(*key, F.lit(None).cast("long").alias("gone"), place.alias("full"), *[F.struct(place.alias("at"), F.col(c).alias("v")).alias(c) for c in columns])
+
+
+def merged(each: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """One state for each key: the latest of everything. Merging states of parts gives the states of the whole. Maxima
+    combine on the map side, so a key with a third of the log sends one row from each task."""
+    return each.groupBy(*key).agg(F.max("gone").alias("gone"), F.max("full").alias("full"), *[F.max_by(c, F.col(c)["at"]).alias(c) for c in columns])
+
+
+def living(state: DataFrame, key: list[str], columns: list[str], order: list[str] | None = None) -> DataFrame:
+    """The rows that states leave: a key lives if a full row came after its last delete."""
+    alive = state.where(F.col("full") > F.coalesce("gone", F.lit(DEFAULT)))
+    return alive.select(*key, *[F.col(c)["v"].alias(c) for c in columns]).select(*(order or [*key, *columns]))
+
+
+def compact(log: DataFrame, key: list[str], columns: list[str], lsn: str = "lsn", op: str = "op", sent: dict[str, Column] | None = None, base: DataFrame | None = None) -> DataFrame:
+    """The final row of each live key: what applying the changes one by one gives, in one aggregation. A ``base`` row is a
+    full change before all others."""
+    each = states(log, key, columns, lsn, op, sent)
     if base is not None:
-        log = log.unionByName(base.select(*key, F.lit(-1).cast("long").alias("_lsn"), F.lit("I").alias("_op"), *[F.struct(F.col(c).alias("v")).alias(f"_{c}") for c in columns], *[F.lit(True).alias(f"_s_{c}") for c in columns]))
-    full = F.col("_op").isin("I", "U")
-    latest = lambda c: F.max_by(F.when(F.col(f"_s_{c}"), F.struct("_lsn", f"_{c}")), F.when(F.col(f"_s_{c}"), F.col("_lsn")))
-    state = log.groupBy(*key).agg(F.max(F.when(F.col("_op") == "D", F.col("_lsn"))).alias("gone"), F.max(F.when(full, F.col("_lsn"))).alias("full"), *[latest(c).alias(c) for c in columns])
-    alive = state.where(F.col("full") > F.coalesce("gone", F.lit(-2)))
-    return alive.select(*key, *[F.col(f"{c}._{c}.v").alias(c) for c in columns])
+        each = each.unionByName(row_states(base, key, columns))
+    return living(merged(each, key, columns), key, columns)
 
 
 def op_counts(log: DataFrame, key: list[str], lsn: str = "lsn", op: str = "op") -> DataFrame:

@@ -56,23 +56,29 @@ def sequence_plan(tables: dict[str, tuple[DataFrame, str, int]], buffer: int = 1
     return reduce(DataFrame.unionByName, each).withColumn("target_value", F.greatest("last_value", "max_key") + F.lit(buffer).cast("long"))
 
 
-def cutover_report(counts: DataFrame, sequences: DataFrame, lag: int | None = 0) -> DataFrame:
-    """Counts and sequences of each table, passed (all counts equal) and lag_drained, over all tables."""
+def cutover_report(counts: DataFrame, sequences: DataFrame, lag: int | None = None) -> DataFrame:
+    """Counts and sequences of each table, passed (all counts equal) and lag_drained (null if nobody looked), over all
+    tables."""
     everything = Window.partitionBy(F.lit(0))  # a row for each table
-    return counts.join(sequences.select("table_name", "target_value"), "table_name", "left").withColumns({"passed": F.every("equal").over(everything), "lag_drained": F.lit(not lag)})
+    return counts.join(sequences.select("table_name", "target_value"), "table_name", "left").withColumns({"passed": F.every("equal").over(everything), "lag_drained": F.lit(None if lag is None else lag == 0).cast("boolean")})
 
 
 # --- preflight ---------------------------------------------------------------------------------------------------------
 
 
-def preflight(spark: SparkSession, facts: list[dict]) -> DataFrame:
+def preflight(spark: SparkSession, facts: list[dict], setting: dict | None = None) -> DataFrame:
     """Checks in order: (ord, table_name, label, status, detail) for tables of which ``facts`` has: spec, exists, key,
-    identity (d, f, i, n), target_exists, force, columns (name to internal type), failing (column to count)."""
+    identity (d, f, i, n), target_exists, force, columns (name to internal type), failing (column to count), rows.
+    ``setting``: slot, slot_exists, resume, log, log_readable, batch_size, rows_per_second."""
     rows: list[tuple] = []
 
     def add(table: str, label: str, status: str, detail: str = "") -> None:
         rows.append((len(rows), table, label, status, detail))
 
+    if setting:
+        add("", "change log", "info" if setting["log"] is None else "pass" if setting["log_readable"] else "fail", setting["log"] or "none: a copy without changes")
+        good = setting["slot_exists"] == setting["resume"]
+        add("", "slot", "pass" if good else "fail", f"{setting['slot']} {'exists' if setting['slot_exists'] else 'is free'}")
     for f in facts:
         spec: TableSpec = f["spec"]
         t = spec.name
@@ -97,9 +103,19 @@ def preflight(spark: SparkSession, facts: list[dict]) -> DataFrame:
             add(t, f"cast {c}", status, safety if not failing else f"{failing} rows fail")
         for a in spec.add_columns:
             add(t, f"add {a.name}", "pass" if T.is_known(a.type) else "fail", a.type)
+        if setting and f.get("rows") is not None:
+            batches, minutes = copy_estimate(f["rows"], setting["batch_size"], setting["rows_per_second"])
+            add(t, "copy", "info", f"{f['rows']} rows, {batches} pages, about {minutes} min")
     return spark.createDataFrame(rows, "ord int, table_name string, label string, status string, detail string")
 
 
+def copy_estimate(rows: int, batch_size: int, rows_per_second: int | None = None) -> tuple[int, int]:
+    """Pages and minutes (at least one) that a copy takes: at its rate limit, else at 100 pages a minute."""
+    batches = -(-rows // batch_size)
+    minutes = -(-rows // (60 * rows_per_second)) if rows_per_second else -(-batches // 100)
+    return batches, max(minutes, 1)
+
+
 def preflight_summary(items: DataFrame) -> DataFrame:
     """Counts by status, and passed: nothing failed."""
     count = lambda s: F.count_if(F.col("status") == s).alias(f"{s}_count")
@@ -146,7 +162,7 @@ def readiness(both: DataFrame, spec: TableSpec) -> DataFrame:
     lost = F.array_intersect(columns, drops)
     moved = F.filter(columns, lambda c: renamed[c].isNotNull())
     pairs = F.array_join(F.transform(moved, lambda c: F.concat(c, F.lit("->"), renamed[c])), ", ")
-    review = F.when(F.size(lost) > 0, F.concat(F.lit("references dropped column(s): "), F.array_join(lost, ", "), F.lit(" — not recreated"))).when(F.size(moved) > 0, F.concat(F.lit("references renamed column(s): "), pairs, F.lit(" — regenerate manually")))
+    review = F.when(F.size(lost) > 0, F.concat(F.lit("needs "), F.array_join(lost, ", "), F.lit(", which the spec drops"))).when(F.size(moved) > 0, F.concat(F.lit("rewrite for "), pairs))
     kind = F.when(F.col("kind") == "f", "foreign key").when(F.col("kind") == "u", "unique constraint").when(F.col("kind") == "c", "check constraint")
     constraint = F.concat(F.lit("ALTER TABLE "), table, F.lit(" ADD CONSTRAINT "), X.quote_ident(F.col("name")), F.lit(" "), F.col("definition"), F.lit(";"))
     index = F.concat(X.concurrently(F.col("definition")), F.lit(";"))
@@ -166,10 +182,10 @@ def readiness(both: DataFrame, spec: TableSpec) -> DataFrame:
     )
     out = out.withColumn("status", status)
     s = F.col("status")
-    ddl = F.when(s.isin("present", "info"), none).when(s == "needs_review", F.concat(F.lit("-- "), review, F.lit("\n-- "), F.when(c == "index", F.concat(F.col("definition"), F.lit(";"))).otherwise(constraint))).when(c == "index", index).when(c == "constraint", F.concat(constraint, F.when(F.col("kind") == "f", "  -- run after all referenced tables are loaded").otherwise(""))).when(c == "owner", owner).when(c == "grant", grant).when(c == "comment", comment)
+    ddl = F.when(s.isin("present", "info"), none).when(s == "needs_review", F.concat(F.lit("-- "), review, F.lit("\n-- "), F.when(c == "index", F.concat(F.col("definition"), F.lit(";"))).otherwise(constraint))).when(c == "index", index).when(c == "constraint", F.concat(constraint, F.when(F.col("kind") == "f", "  -- once the tables it points to are there").otherwise(""))).when(c == "owner", owner).when(c == "grant", grant).when(c == "comment", comment)
     detail = (
-        F.when(c == "sequence", F.concat(F.col("kind"), F.lit(" column — restored automatically at cutover"))).when(c == "grant", listed).when(c == "comment", X.shortened(F.col("definition")))
-        .when(c == "owner", F.concat(F.when(present, "owner already ").otherwise("set owner to "), F.col("name"))).when(s == "present", "already on target").when(s == "needs_review", review)
+        F.when(c == "sequence", F.concat(F.col("kind"), F.lit(": cutover sets it"))).when(c == "grant", listed).when(c == "comment", X.shortened(F.col("definition")))
+        .when(c == "owner", F.concat(F.lit("role "), F.col("name"))).when(s == "present", "found by name").when(s == "needs_review", review)
         .when(c == "index", F.when(F.col("is_unique"), "unique index").otherwise("index")).otherwise(kind)
     )
     return out.select("table_name", "category", "name", "status", detail.alias("detail"), ddl.alias("ddl"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.schema import catalog
 from ..plans.spec import TableSpec, table_spec
 
+# The columns of the demo's three tables, in their order; the padding figures depend on them.
 USERS = [("id", "integer", False), ("is_admin", "boolean", False, "false"), ("email", "varchar(255)", False), ("first_name", "varchar(100)"), ("last_name", "varchar(100)"), ("created_at", "timestamp", False, "now()")]
 AGENTS = [("id", "integer", False), ("user_id", "integer", False), ("license_number", "varchar(50)"), ("active", "boolean", False, "true"), ("commission_rate", "numeric(5,4)", False, "0.0300"), ("hired_at", "date"), ("created_at", "timestamp", False, "now()")]
 LISTINGS = [

@@ -7,6 +7,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+from ..errors import SetupError
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -19,8 +21,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where that is unset and
+    everything runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise SetupError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="strataport-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -1,48 +1,116 @@
-"""Structured Streaming: a change log applied to a snapshot store, whole transactions at a time."""
+"""Structured Streaming: change logs applied to a snapshot store, whole transactions at a time."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.changelog import compact, reject_truncate
+from ..errors import LogError
+from ..operators import changelog as C
+from ..operators import changes as H
+from ..sources import wal
 from ..sources.store import SnapshotStore
 
+MESSAGES = "seq long, message binary"
+
 
 def log_stream(spark: SparkSession, folder: str, schema: str, max_files: int = 100) -> DataFrame:
     """A stream of a log folder's JSON files, at most ``max_files`` to a batch (backpressure)."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(folder)
 
 
-class LogApplier:
-    """foreachBatch sink. A batch is one version of the table; what comes after its last commit waits for the next batch
-    in the store itself, so a version never has half a transaction. A batch that was applied before is skipped by its
-    id and position; a TRUNCATE fails the batch before anything is written."""
+def message_stream(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
+    """A stream of a folder's binary log: Parquet files of (seq, message), at most ``max_files`` to a batch."""
+    return spark.readStream.schema(MESSAGES).option("maxFilesPerTrigger", max_files).parquet(folder)
 
-    def __init__(self, store: SnapshotStore, table: str, key: list[str], columns: list[str], commit: str = "is_commit", sent: dict | None = None):
-        self.store, self.table, self.key, self.columns, self.commit, self.sent = store, table, key, columns, commit, sent
-        self.held = f"{table}__held"
+
+class _Applier:
+    """foreachBatch sink. A batch adds one delta for each table that it changes, all in one step; what comes after its last
+    commit waits for the next batch in the store itself, so no version ever has half a transaction. A batch that was
+    applied before is skipped by its id, and a message by its position. A TRUNCATE of a followed table fails the batch
+    before anything is written. ``copying``: asks whether a copy is still under way."""
+
+    position = "lsn"
+
+    def __init__(self, store: SnapshotStore, copying: Callable[[], bool] = lambda: False):
+        self.store, self.copying = store, copying
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         m = self.store.manifest()
         if batch_id <= m["batch_id"]:
             return
-        log = batch
-        if self.held in m["tables"]:
-            log = self.store.read(self.held).unionByName(batch, allowMissingColumns=True)
-        log = reject_truncate(log, "op", "op").where(F.col("lsn") > m["max_lsn"]).dropDuplicates(["lsn"])
-        last = log.where(F.col(self.commit)).agg(F.max("lsn")).first()[0]
+        at, held = self.position, self.store.held()
+        log = batch if held is None else held.unionByName(batch, allowMissingColumns=True)
+        log = log.where(F.col(at) > m["max_lsn"]).dropDuplicates([at])
+        last = log.where(self.is_commit()).agg(F.max(at)).first()[0]
         if last is None:
-            self.store.publish({self.held: log}, batch_id=batch_id)
+            self.store.hold(log, batch_id)
             return
-        whole, rest = log.where(F.col("lsn") <= last), log.where(F.col("lsn") > last)
-        base = self.store.read(self.table) if self.table in m["tables"] else None
-        state = compact(whole.where(F.col("op").isin("I", "U", "P", "D")), self.key, self.columns, sent=self.sent, base=base)
-        self.store.publish({self.table: state, self.held: rest}, max_lsn=last, batch_id=batch_id)
+        deltas, more = self.deltas(log.where(F.col(at) <= last), m)
+        self.store.apply(deltas, last, batch_id, self.copying(), log.where(F.col(at) > last), **more)
         self.store.prune()
 
+    def is_commit(self) -> Column:
+        raise NotImplementedError
+
+    def deltas(self, log: DataFrame, manifest: dict) -> tuple[dict[str, tuple[DataFrame, list[str], list[str]]], dict]:
+        """States of each table (see SnapshotStore.apply), and what else the manifest should remember."""
+        raise NotImplementedError
+
+
+class LogApplier(_Applier):
+    """Applies a log of one table that is decoded already: key, lsn, op, columns and a commit flag."""
+
+    def __init__(self, store: SnapshotStore, table: str, key: list[str], columns: list[str], commit: str = "is_commit", sent: dict | None = None):
+        super().__init__(store)
+        self.table, self.key, self.columns, self.commit, self.sent = table, key, columns, commit, sent
+
+    def is_commit(self) -> Column:
+        return F.col(self.commit)
 
-def apply_available(stream: DataFrame, applier: LogApplier, checkpoint: str, timeout: float | None = None) -> bool:
+    def deltas(self, log, manifest):
+        changes = C.reject_truncate(log, "op", "op").where(F.col("op").isin("I", "U", "P", "D"))
+        states = C.merged(C.states(changes, self.key, self.columns, sent=self.sent), self.key, self.columns)
+        return {self.table: (states, self.key, [*self.key, *self.columns])}, {}
+
+
+class ChangeApplier(_Applier):
+    """Applies a binary log (seq, message) to all tables that have a plan, each under its spec. Row messages of other
+    tables are skipped. Relations outlive the batch that announced them in the manifest."""
+
+    position = "seq"
+
+    def __init__(self, store: SnapshotStore, plans: list[H.TablePlan], copying: Callable[[], bool] = lambda: False):
+        super().__init__(store, copying)
+        self.plans = plans
+
+    def is_commit(self) -> Column:
+        return F.substring("message", 1, 1) == F.lit(b"C")
+
+    def deltas(self, log, manifest):
+        known = [wal.Relation(*r[:4], tuple(r[4])) for r in manifest.get("relations", [])]
+        versions = wal.relation_versions(log, known)
+        now = [wal.Relation(r.relation, r.namespace, r.name, r.identity, tuple(r["columns"])) for r in versions.where("until is null").collect()]  # a row for each table
+        self._refuse_truncate(log, versions)
+        decoded = wal.decode(log, known)
+        out = {}
+        for p in self.plans:
+            out[p.spec.name] = (H.change_states(H.table_changes(decoded, p), p), p.target_key, p.target_columns)
+        return out, {"relations": [[*r[:4], list(r.columns)] for r in now]}
+
+    def _refuse_truncate(self, log: DataFrame, versions: DataFrame) -> None:
+        followed = {(p.namespace, p.spec.name) for p in self.plans}
+        cut = wal.decode(log.where(F.substring("message", 1, 1) == F.lit(b"T"))).select("seq", F.explode("relations").alias("relation"))
+        held = (F.col("seq") >= F.col("since")) & (F.col("until").isNull() | (F.col("seq") < F.col("until")))
+        named = cut.join(versions.withColumnRenamed("relation", "r"), (F.col("relation") == F.col("r")) & held).select("namespace", "name").distinct()
+        hit = sorted(f"{r.namespace}.{r.name}" for r in named.collect() if (r.namespace, r.name) in followed)  # names of tables
+        if hit:
+            raise LogError(f"TRUNCATE on {', '.join(hit)} can't be applied")
+
+
+def apply_available(stream: DataFrame, applier: _Applier, checkpoint: str, timeout: float | None = None) -> bool:
     """Apply all that the log has now and stop; whether that was done within ``timeout`` seconds."""
     query = stream.writeStream.foreachBatch(applier).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     done = query.awaitTermination(timeout) if timeout else (query.awaitTermination() or True)
@@ -51,3 +119,8 @@ def apply_available(stream: DataFrame, applier: LogApplier, checkpoint: str, tim
     if (error := query.exception()) is not None:
         raise error
     return bool(done)
+
+
+def follow(stream: DataFrame, applier: _Applier, checkpoint: str, every: str = "1 second"):
+    """Apply the log as it grows, in the background: the query, with ``stop``, ``exception`` and ``processAllAvailable``."""
+    return stream.writeStream.foreachBatch(applier).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
