@@ -31,9 +31,9 @@ from .tokens import default_path, encoder
 LENGTH = 1024
 #: Tokens in which every queue gets its share once.
 WINDOW = 64 * LENGTH
-#: Of more sources than this, the largest have half of so many queues, one each, and the others are hashed into the other
-#: half; their documents are packed all the same.
-MOST_QUEUES = 4096
+#: A source with at least this part of the text, or with a target, has a queue of its own; there are at most as many of
+#: the first kind. The documents of the smaller ones go through shared queues, of which each source always has the same.
+OWN_SHARE, SHARED_QUEUES = 4096, 256
 
 
 class Schedule:
@@ -163,38 +163,37 @@ class _Cut:
 
 def pack(
     documents: DataFrame, *, text: str = "text", source: str = "source", keep: list[str] | None = None, targets: dict[str, float] | None = None, tokenizer: str | None = None,
-    end_id: int = 0, length: int = LENGTH, window: int = WINDOW, most_queues: int = MOST_QUEUES, with_ids: bool = False,
+    end_id: int = 0, length: int = LENGTH, window: int = WINDOW, own_share: int = OWN_SHARE, with_ids: bool = False,
 ) -> DataFrame:
     """Pieces of documents in sequences: the columns ``keep`` (all but the text), start, length, ids_crc32, doc_tokens,
     sequence_id, offset, and with ``with_ids`` the ids as little-endian unsigned 32-bit integers.
 
     ``targets``: a share for each source (those left out come last); by default what each source holds, so that the
-    mixture is even from first to last. Of more than ``most_queues`` sources those with targets, or else the half as
-    many largest, keep to their own share; the others do so in hashed groups. Null or empty text: the end id alone. A null source is the queue "". Repeated
-    rows are packed as often as they occur. Columns with the names above give way. An empty table gives no pieces.
+    mixture is even from first to last. Each source with a target, or with 1 / ``own_share`` of all text or more, keeps to
+    its own share; smaller ones do so in groups. Null or empty text: the end id alone. A null source is a source of its
+    own. Repeated rows are packed as often as they occur. Columns with the names above give way. An empty table gives no pieces.
     """
     spark = documents.sparkSession
     ship(spark)
     tokenizer = tokenizer or default_path()
     own = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
     kept = without(documents.drop(text) if keep is None else documents.select(*[f"`{c}`" for c in keep]), *own).columns
-    name = F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(""))
-    if documents.select(name.alias("q")).distinct().limit(most_queues + 1).count() > most_queues:
-        if targets is not None:
-            large = list(targets)
-        else:
-            sizes = documents.groupBy(name.alias("q")).agg(F.sum(F.coalesce(F.length(f"`{text}`"), F.lit(0)) + 1).alias("n"))
-            large = [r.q for r in sizes.orderBy(F.desc("n"), "q").limit(most_queues // 2).collect()]
-        bucket = F.pmod(F.xxhash64(name), F.lit(max(1, most_queues - max(len(large), most_queues // 2)))).cast("string")
-        name = F.when(name.isin(large), F.concat(F.lit("s:"), name)).otherwise(F.concat(F.lit("h:"), bucket))
-        targets = None if targets is None else {f"s:{q}": x for q, x in targets.items()}
+    of = F.col(f"`{source}`").cast("string")
+    named = F.coalesce(F.concat(F.lit("s:"), of), F.lit("null"))
+    sizes = documents.rollup(named.alias("q")).agg(F.sum(F.coalesce(F.octet_length(f"`{text}`"), F.lit(0)) + 1).alias("n"))
+    top = sizes.orderBy(F.desc("n"), "q").limit(own_share + 1).collect()  # all that can have such a share, and the total
+    total = max((r.n or 0 for r in top if r.q is None), default=0)
+    own_queue = {r.q for r in top if r.q is not None and r.n * own_share >= total} | {f"s:{q}" for q in targets or ()}
+    lane = F.concat(F.lit("h:"), F.pmod(F.xxhash64(named), F.lit(SHARED_QUEUES)).cast("string"))
+    name = F.when(named.isin(sorted(own_queue)), named).otherwise(lane) if own_queue else lane
+    targets = None if targets is None else {f"s:{q}": x for q, x in targets.items()}
     df = documents.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], name.alias("queue"), F.col(f"`{text}`").alias("text"))
     types = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in df.drop("text").schema), "ids binary, part long, at long, n long"])
     rows, _ = written(df.mapInArrow(_Encode(tokenizer, end_id), types), "packing-ids")
     by_part = rows.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases, _ = written(by_part.select("queue", "part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "packing-bases")
-    found = sorted((r.queue, r.n) for r in bases.groupBy("queue").agg(F.sum("n").alias("n")).collect())  # <= most_queues
+    found = sorted((r.queue, r.n) for r in bases.groupBy("queue").agg(F.sum("n").alias("n")).collect())  # <= own_share + SHARED_QUEUES, and targets
     queues, totals = [q for q, _ in found], [n for _, n in found]
     shares = None if targets is None else [targets.get(q, 0) for q in queues]
     cut = _Cut(queues, totals, shares, window, length, with_ids)

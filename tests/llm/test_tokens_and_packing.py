@@ -71,8 +71,8 @@ def test_pack(spark):
     whole = sequences(out, 64).orderBy("sequence_id").collect()
     assert all(len(r.ids) == 256 for r in whole) and all(r.n_tokens == 64 for r in whole[:-1])
     assert pack(df.limit(0), keep=["doc_id"]).count() == 0
-    many = pack(df, keep=["doc_id"], length=64, most_queues=1).collect()
-    check_pieces(DOCS, many, 64)
+    for share in (1, 3, 10_000):  # none, some and all sources have a queue of their own
+        check_pieces(DOCS, pack(df, keep=["doc_id"], length=64, own_share=share).collect(), 64)
 
 
 def robin(totals, share, window):
@@ -112,14 +112,14 @@ def test_targets_hold_until_a_source_ends():
 def test_large_sources_keep_their_own_queue(spark):
     docs = [(i, "word " * 40, "big") for i in range(60)] + [(100 + i, "word " * 40, "large") for i in range(60)] + [(200 + i, "few words", f"s{i}") for i in range(30)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
-    out = pack(df, keep=["doc_id", "source"], length=64, window=256, most_queues=4).collect()
+    out = pack(df, keep=["doc_id", "source"], length=64, window=256, own_share=4).collect()
     check_pieces(docs, out, 64)
     total = sum(p.length for p in out)
     for source in ("big", "large"):
         mine = [p for p in out if p.source == source]
         first = sum(min(p.length, max(0, total // 2 - p.sequence_id * 64 - p.offset)) for p in mine)
         assert abs(first - sum(p.length for p in mine) / 2) < 256
-    aimed = pack(df, keep=["doc_id", "source"], length=64, window=256, most_queues=4, targets={"big": 3, "large": 1}).collect()
+    aimed = pack(df, keep=["doc_id", "source"], length=64, window=256, own_share=4, targets={"big": 3, "large": 1}).collect()
     check_pieces(docs, aimed, 64)
     first = [p for p in aimed if p.sequence_id < 16]
     assert abs(sum(p.length for p in first if p.source == "big") - 768) <= 1 and {p.source for p in first} == {"big", "large"}
