@@ -10,7 +10,12 @@ Stop words are of seven languages. Where they can't tell, length and links alone
 letters, and on pages of which they recognise less than a quarter of the text.
 
 Inside an article a linked heading is undecided, and a linked block that stands alone is good between good neighbours;
-runs of linked blocks are lists of links and bad.
+runs of linked blocks are lists of links and bad. Preformatted blocks are undecided: code has no stop words.
+
+A container whose class or id names a menu, an advert or the like is bad, unless the page shows that the name says
+something else: names such as ``has-sidebar`` are of a layout, a container around the page's first article or around most
+of a page without an article is the page, and names that articles use for parts of their own (header, legal, ...) only
+vote: inside an article a block under one is good if its words are an article's.
 """
 
 from __future__ import annotations
@@ -61,32 +66,48 @@ _BAD_NAME = re.compile(
 )
 
 
+#: Names that parts of an article have too.
+_WEAK = re.compile(r"^(?:header|masthead|legal|copyright|widget|tags?|toolbar|login|search|banner|notice)$", re.I)
+#: Names of what readers write, which may be longer than the article and have articles of its own.
+_TALK = re.compile(r"^(?:comments?|comment-?list|respond|disqus|replies|related|recommended)$", re.I)
+#: A name that starts so says what a page or its layout has.
+_LAYOUT = re.compile(r"^(?:has|with|without|no|not|is|hide|show|layout|page|theme|js)[-_]", re.I)
+
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+class _Named:
+    """A container with a bad name: whether it is about readers' words, whether its name only votes inside an article, how
+    much text it holds, and whether the name holds."""
+
+    __slots__ = ("held", "holds", "talk", "weak")
+
+    def __init__(self, talk: bool, weak: bool):
+        self.talk, self.weak, self.held, self.holds = talk, weak, 0, True
+
+
 class _Block:
-    __slots__ = ("bad", "heading", "label", "links", "main", "region", "text")
+    __slots__ = ("bad", "code", "doubt", "heading", "label", "links", "main", "named", "region", "text")
 
-    def __init__(self, text: str, links: int, bad: bool, main: bool, region: int, heading: bool):
-        self.text, self.links, self.bad, self.main, self.region, self.heading, self.label = text, links, bad, main, region, heading, None
+    def __init__(self, text: str, links: int, bad: bool, main: bool, region: int, heading: bool, code: bool, named: tuple[_Named, ...]):
+        self.text, self.links, self.bad, self.main, self.region, self.heading, self.code, self.named = text, links, bad, main, region, heading, code, named
+        self.doubt, self.label = False, None
 
 
-def _is_bad(tag: str, attributes: str, in_main: bool) -> bool:
-    if tag in _BAD:
-        return not (tag == "header" and in_main)
-    if attributes and tag not in ("body", "html", "article", "main"):
-        for m in _NAMED.finditer(attributes):
-            if _BAD_NAME.search(m[1] or m[2] or m[3] or ""):
-                return True
-    return False
+def _name(attributes: str) -> _Named | None:
+    """What the names of a container say against it."""
+    words = [w.group(0).strip(" _-\t\n\r\f") for m in _NAMED.finditer(attributes) for name in (m[1] or m[2] or m[3] or "").split() if not _LAYOUT.match(name) for w in _BAD_NAME.finditer(name)]
+    if not words:
+        return None
+    return _Named(any(map(_TALK.match, words)), all(map(_WEAK.match, words)))
 
 
 def blocks(page: str) -> list[_Block]:
     """Blocks of a page in order, with the links' part of their text (characters) and where they stand."""
     out: list[_Block] = []
     n = len(page)
-    # tag, bad and main, each including what is above, and the region that it interrupts if it is bad by itself
-    stack: list[tuple[str, bool, bool, int | None]] = []
+    # tag, bad and main, each including what is above, the region that it interrupts if it is bad by itself, and names
+    stack: list[tuple[str, bool, bool, int | None, tuple[_Named, ...]]] = []
     low = page.lower()
     if len(low) != n:  # some letters are longer in lower case
         low = page.translate(_LOWER)
@@ -100,7 +121,8 @@ def blocks(page: str) -> list[_Block]:
     parts: list[str] = []
     linked: list[str] = []
     in_link, region, regions, at = False, 0, 0, 0
-    bad = main = heading = False
+    bad = main = heading = code = seen = False
+    named: tuple[_Named, ...] = ()
 
     def flush() -> None:
         nonlocal in_link
@@ -108,7 +130,7 @@ def blocks(page: str) -> list[_Block]:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             if text:
                 links = len(" ".join(html_lib.unescape("".join(linked)).split())) if linked else 0
-                out.append(_Block(text, links, bad, main, region, heading))
+                out.append(_Block(text, links, bad, main, region, heading, code, named))
             parts.clear()
             linked.clear()
 
@@ -130,13 +152,13 @@ def blocks(page: str) -> list[_Block]:
                 in_link = False
             if tag in _BLOCK:
                 flush()
-                heading = False
-            if tag in _CONTAINER and any(t == tag for t, *_ in stack):
+                heading = code = False
+            if tag in _CONTAINER and any(t[0] == tag for t in stack):
                 top, back = "", None
                 while top != tag:
-                    top, _, _, outer = stack.pop()
+                    top, _, _, outer, _ = stack.pop()
                     back = back if outer is None else outer
-                bad, main = stack[-1][1:3] if stack else (False, False)
+                bad, main, named = (stack[-1][1], stack[-1][2], stack[-1][4]) if stack else (False, False, ())
                 if tag in ("article", "main") or (tag in _BAD and outer is None):
                     regions += 1
                     region = regions
@@ -155,23 +177,48 @@ def blocks(page: str) -> list[_Block]:
             in_link = True
         elif tag in _BLOCK:
             flush()
-            heading = tag in _HEADINGS
+            heading, code = tag in _HEADINGS, tag == "pre"
             if tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "div"):
                 in_link = False
             if tag in _CONTAINER and closed(tag):
-                worse = _is_bad(tag, m[3] or "", main)
-                if worse or tag in ("article", "main"):
-                    interrupted = region if worse else None
+                whole = tag in ("article", "main")
+                if whole and not seen:
+                    seen = not any(x.talk for x in named)
+                    for x in named:
+                        x.holds = x.holds and x.talk
+                by_tag = tag in _BAD and not (tag == "header" and main)
+                name = _name(m[3]) if m[3] and not by_tag and tag not in ("body", "html", "article", "main", "header") else None
+                worse = by_tag or name is not None
+                interrupted = region if worse else None
+                if worse or whole:
                     regions += 1
                     region = regions
-                else:
-                    interrupted = None
-                stack.append((tag, bad or worse, (main or tag in ("article", "main")), interrupted))
-                bad, main = stack[-1][1:3]
+                stack.append((tag, bad or by_tag, main or whole, interrupted, (*named, name) if name else named))
+                _, bad, main, _, named = stack[-1]
     flush()
+    _judge_names(out)
     return out
 
 
+def _judge_names(found: list[_Block]) -> None:
+    """Whether names hold for the blocks under them."""
+    if not any(b.named for b in found):
+        return
+    for b in found:
+        for x in b.named:
+            x.held += len(b.text)
+    total = sum(len(b.text) for b in found)
+    against = lambda b: [x for x in b.named if x.holds]
+    if not any(b.main and not b.bad and not against(b) for b in found):
+        for b in found:
+            for x in b.named:
+                x.holds = x.holds and (x.talk or 2 * x.held <= total)
+    for b in found:
+        if not b.bad and (names := against(b)):
+            b.doubt = b.main and all(x.weak for x in names)
+            b.bad = not b.doubt
+
+
 def _stop_share(text: str) -> float:
     words = [w.strip(".,;:!?()[]\"'%*#$&|«»-").lower() for w in text.split()]
     return max(sum(w in s for w in words) for s in _STOP) / max(1, len(words))
@@ -199,8 +246,12 @@ def classify(found: list[_Block]) -> list[_Block]:
                 last.label = b.label = "bad"
         elif b.bad or share > (0.9 if b.main else LINKS):
             b.label = "bad"
+        elif b.doubt and not b.heading and (_size(b.text) < SHORT or (_is_latin(b.text) and _stop_share(b.text) < STOP_LOW)):
+            b.label = "bad"
         elif _size(b.text) < SHORT:
             b.label = "short" if not b.links or b.main else "bad"
+        elif b.code:
+            b.label = "near"
         else:
             stops[i] = _stop_share(b.text)
     known = sum(len(found[i].text) for i, stop in stops.items() if stop >= STOP_LOW) >= KNOWN * sum(len(found[i].text) for i in stops)

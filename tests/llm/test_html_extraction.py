@@ -1,3 +1,5 @@
+import random
+
 from strataport.llm.html_extraction import extract, main_text
 
 PARA = "The cat sat on the mat and it was not at all what they had said to her when we were there, but by then the rest of them had been out."
@@ -40,6 +42,48 @@ def test_languages_without_stop_words_go_by_length_and_links():
     assert main_text(f"<body><div><p>{PARA} {PARA}</p></div><div>{junk}</div>") == f"{PARA} {PARA}"
 
 
+def test_names_that_say_something_else():
+    code = "for (i = 0; i < n; i++) { total += price[i] * amount[i]; } return total / n;"
+    terms = "The terms of this contract are as they were when it was made, and it can be said that they have not been of use to all of us."
+    for page in (
+        f'<div class="layout has-sidebar"><article><p>{PARA}</p></article><div class="sidebar"><p>{PARA}</p></div></div>', f'<div class="content-sidebar-wrap"><main><p>{PARA}</p></main></div>',
+        f'<div id="page" class="widget-page"><p>{PARA}</p></div><div class="footer">{PARA[:50]}</div>', f'<article><p>{PARA}</p></article><div id="comments"><article><p>{PARA}</p></article></div>',
+        f'<div id="comments"><article><p>{PARA}</p></article></div><article><p>{PARA}</p></article>', f'<article><p>{PARA}</p><div class="notice">Old.</div><div class="share-buttons"><p>{PARA}</p></div></article>',
+    ):
+        assert main_text(page) == PARA, page
+    assert main_text(f'<article><div class="entry-header"><h1>Title</h1></div><p>{PARA}</p><section id="legal"><p>{terms}</p></section></article>').split("\n") == ["Title", PARA, terms]
+    assert main_text(f"<article><p>{PARA}</p><pre>{code}</pre><p>{PARA}</p></article>").split("\n") == [PARA, code, PARA]
+    assert main_text(f"<div><p>{PARA}</p><pre>{code}</pre><p>{PARA}</p></div>").split("\n") == [PARA, code, PARA]
+
+
+def labelled():
+    """Pages of several makes with their article's lines."""
+    words = "the of and to in is it that was for on with as at by from had not but what all were when there can an each which do how if will up about out many then them these so some would make like into has look two more write go see number no way could people".split()
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choice([*words, f"word{rng.randrange(500)}"]) for _ in range(n)).capitalize() + "."
+    menu = lambda: "<ul>" + "".join(f'<li><a href="/{i}">{say(rng.randrange(1, 5))}</a></li>' for i in range(rng.randrange(3, 12))) + "</ul>"
+    frames = ["<article>{}</article>", '<main id="content">{}</main>', '<div class="content">{}</div>', '<div class="page with-sidebar"><article>{}</article></div>', '<div class="post-wrap"><div class="entry">{}</div></div>', "<table><tr><td>{}</td></tr></table>"]
+    junk = [lambda: f"<nav>{menu()}</nav>", lambda: f'<div class="sidebar">{menu()}</div>', lambda: f"<footer><p>{say(15)}</p></footer>", lambda: f'<div class="cookie-notice"><p>{say(25)}</p></div>', lambda: f'<div id="comments"><p>{say(60)}</p><p>{say(30)}</p></div>', lambda: f'<div class="ad-slot"><p>{say(12)}</p></div>', lambda: f"<form><label>{say(3)}</label><input></form>", lambda: f"<script>var x = '{say(9)}';</script>"]
+    for _ in range(120):
+        lines = [say(5).rstrip(".")] + [say(rng.choice([6, 40, 60, 90])) for _ in range(rng.randrange(2, 7))] + [say(60)]
+        body = f"<h1>{lines[0]}</h1>" + "".join(f"<p>{x}</p>" + (rng.choice(junk[5:])() if rng.random() < 0.2 else "") for x in lines[1:])
+        around = [rng.choice(junk)() for _ in range(6)]
+        yield "<html><body>" + "".join(around[:3]) + rng.choice(frames).format(body) + "".join(around[3:]) + "</body></html>", lines
+
+
+def test_precision_and_recall_on_labelled_pages():
+    right = got = want = 0
+    for page, lines in labelled():
+        found = main_text(page).split("\n")
+        right, got, want = right + len(set(found) & set(lines)), got + len(found), want + len(lines)
+    assert right / got >= 0.98 and right / want >= 0.98, (right / got, right / want)
+
+
+def test_very_long_pages():
+    page = f"<article>{f'<p>{PARA}</p>' * 20_000}</article>" + "<div class=ad>" * 20_000
+    assert main_text(page) == "\n".join([PARA] * 20_000)
+
+
 def test_linked_headings_and_single_links_of_an_article():
     links = "".join(f"<li><a href=/{i}>Some page of the site number {i}</a></li>" for i in range(4))
     page = f"<article><h2><a href=/t>Title</a></h2><p>{PARA}</p><p><a href=/x>A source</a></p><p>{PARA}</p><ul>{links}</ul></article>"
