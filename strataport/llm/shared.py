@@ -22,16 +22,25 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where that is unset and
+    everything runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="strataport-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+#: Paths of tables and files that this process has written and not removed.
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/strataport/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/strataport/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -44,10 +53,24 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(schema).parquet(path), path
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a written table that nothing reads any more."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete written tables that nothing reads any more."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if path in _made:
+            _made.remove(path)
+
+
+def mark() -> int:
+    """The point up to which paths have been made."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, but: tuple[str, ...] = ()) -> None:
+    """Delete what was written since a mark, once the results that were computed from it are written or done with: a
+    result reads the tables that its operator wrote until then."""
+    remove(spark, *[p for p in _made[since:] if p not in but])
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

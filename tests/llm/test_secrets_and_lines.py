@@ -1,3 +1,5 @@
+import hashlib
+import pathlib
 import random
 import re
 
@@ -23,6 +25,7 @@ def test_base_spans_equal_regular_expressions(spark):
     for r in got.collect():
         kept = ",".join(s for s in r.spans.split(",") if s and not s.startswith("owned"))
         assert kept == base(dict((i, t) for i, t, _ in rows)[r.doc_id] or ""), r
+        assert r.base_sha256 == hashlib.sha256(kept.encode()).hexdigest()
         assert r.n_assign + r.n_access + r.n_hex == len([x for x in kept.split(",") if x])
 
 
@@ -35,6 +38,25 @@ def test_ownership(spark):
     assert scan_secrets(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_repositories_of_one_owner(spark):
+    """One place, several repositories of one owner, several owners."""
+    one, spread, copied = "Zq8xK1vN4mTt7LpW2sYd9R", "Hh3Jj5Kk7Ll9Mm1Nn2Pp4Q", "Aa1Bb2Cc3Dd4Ee5Ff6Gg7H"
+    rows = [(1, one, "x", "r1"), (2, one, "x", "r1"), (3, f"token={spread}", "x", "r1"), (4, spread, "x", "r2"), (5, copied, "x", "r1"), (6, copied, "y", "r3"), (7, copied, "y", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    got = {r.doc_id: (r.n_live, r.n_spread, r.n_copied) for r in scan_secrets(df, repository="repo").collect()}
+    assert got == {1: (1, 0, 0), 2: (1, 0, 0), 3: (1, 1, 0), 4: (1, 1, 0), 5: (0, 0, 1), 6: (0, 0, 1), 7: (0, 0, 1)}
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    for path in pathlib.Path(base).glob("strataport/secrets-*"):  # no value is written in plain text
+        kept = str(spark.read.parquet(str(path)).collect())
+        assert not any(v in kept for v in (one, spread, copied))
+
+
+def test_a_very_long_text(spark):
+    text = "word " * 400_000 + "password=abcdef123 " * 300 + "x" * 100_000
+    r = scan_secrets(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).first()
+    assert r.n_assign == 300 and r.base_sha256 == hashlib.sha256(base(text).encode()).hexdigest()
+
+
 def brute_lines(docs):
     first, out = {}, []
     for i, t in sorted({d for d in docs if d[1] is not None}, key=lambda d: (d[0] is not None, d[0] or 0)):
