@@ -6,8 +6,9 @@ the end can move without passing an occurrence. Where it says zero, the bucket o
 that may end there, and direct comparison confirms them, first by the hashes of all words, then by their bytes.
 
 The scan runs many cursors in lockstep, one for each 64 words of a group of documents, so the skipping is vectorised.
-Nothing is shuffled: the compiled patterns are sent to the tasks in blocks of at most ``block_bytes`` of test text, and
-a second block passes over the rows that come out of the first.
+Nothing is shuffled: the driver compiles the test items in blocks of at most ``block_bytes`` of text into arrays (about
+six bytes for each of text), once, and these are sent to the tasks; a second block passes over the rows that come out of
+the first.
 """
 
 from __future__ import annotations
@@ -29,24 +30,28 @@ _LANE = 64
 
 
 class _Length:
-    """Tables for the windows of one length. ``seen``: hashes of each window, in one row."""
+    """Tables for the windows of one length. ``first``: the first word of each among the items' words; ``items``: a list
+    of items for each, as numbers."""
 
-    def __init__(self, texts: list[bytes], seen: np.ndarray):
-        self.texts, self.m = texts, seen.shape[1]
-        self.block = min(2, self.m)
+    def __init__(self, of: K.Words, m: int, first: np.ndarray, items: tuple[np.ndarray, np.ndarray]):
+        self.m, self.block = m, min(2, m)
+        seen = lambda j: of.hash[first + j]
         self.shift = np.full(1 << _BITS, self.m - self.block + 1, np.int16)
         for end in range(self.block - 1, self.m):
-            np.minimum.at(self.shift, self._index(seen[:, end - self.block + 1 : end + 1].T), self.m - 1 - end)
-        suffix = self._index(seen[:, self.m - self.block :].T)
-        self.order = np.argsort(suffix, kind="stable")
-        self.seen = seen[self.order]
-        self.bucket = np.searchsorted(suffix[self.order], np.arange((1 << _BITS) + 1))
+            np.minimum.at(self.shift, self._index([seen(j) for j in range(end - self.block + 1, end + 1)]), self.m - 1 - end)
+        suffix = self._index([seen(j) for j in range(self.m - self.block, self.m)])
+        order = np.argsort(suffix, kind="stable")
+        self.first = first[order].astype(np.int32)
+        self.bucket = np.searchsorted(suffix[order], np.arange((1 << _BITS) + 1)).astype(np.int32)
+        size = np.diff(items[0])[order]
+        self.ends = np.concatenate([[0], np.cumsum(size)])
+        self.items = items[1][np.repeat(items[0][:-1][order] - self.ends[:-1], size) + np.arange(self.ends[-1])].astype(np.int32)
 
     def _index(self, block) -> np.ndarray:
         h = block[0] if self.block == 1 else K.mixed(block[0] * K.STEP + block[1])
         return (h >> K.U(64 - _BITS)).astype(np.int64)
 
-    def find(self, w: K.Words) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, w: K.Words, of: K.Words) -> tuple[np.ndarray, np.ndarray]:
         """First words of the occurrences in ``w`` and the windows that occur there."""
         n, h = len(w), w.hash
         at = np.arange(self.block - 1, n, _LANE)
@@ -65,46 +70,58 @@ class _Length:
         inside = end < w.first[row + 1]
         first, end = first[inside], end[inside]
         k = self._index(h[end][None] if self.block == 1 else np.stack([h[end - 1], h[end]]))
-        lo, many = self.bucket[k], self.bucket[k + 1] - self.bucket[k]
+        lo, many = self.bucket[k].astype(np.int64), (self.bucket[k + 1] - self.bucket[k]).astype(np.int64)
         first = np.repeat(first, many)
         which = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
         for j in range(self.m):
-            same = h[first + j] == self.seen[which, j]
+            same = h[first + j] == of.hash[self.first[which] + j]
             first, which = first[same], which[same]
-        which = self.order[which]
-        same = np.fromiter((w.text(f, f + self.m) == self.texts[p] for f, p in zip(first, which)), bool, len(first))
+        same = np.fromiter((w.text(f, f + self.m) == of.text(p, p + self.m) for f, p in zip(first, self.first[which].tolist())), bool, len(first))
         return first[same], which[same]
 
 
 class Patterns:
-    """Compiled windows of some items, and the items of each window."""
-
-    def __init__(self, items: list[tuple[object, bytes]], window: int = WINDOW):
-        whose: dict[bytes, dict] = defaultdict(dict)
-        hashes: dict[bytes, np.ndarray] = {}
-        for item, text in items:
-            w = K.words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), K.ALNUM)
-            m = min(window, len(w))
-            for i in range(len(w) - m + 1 if m else 0):
-                key = w.text(i, i + m)
-                whose[key][item] = None
-                hashes[key] = w.hash[i : i + m]
-        by = defaultdict(list)
-        for key, h in hashes.items():
-            by[len(h)].append(key)
-        self.lengths = [_Length(keys, np.stack([hashes[k] for k in keys])) for m, keys in sorted(by.items())]
-        self.items = [[list(whose[k]) for k in length.texts] for length in self.lengths]
+    """Compiled windows of some items, and the items of each window. Arrays alone, so that sending them is cheap."""
+
+    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
+        self.names = [i for i, _ in items]
+        w = K.words(np.frombuffer(b"".join(t for _, t in items), np.uint8), np.concatenate([[0], np.cumsum([len(t) for _, t in items], dtype=np.int64)]), K.ALNUM)
+        self.words = K.Words(w.data, w.start.astype(np.int32), w.end.astype(np.int32), w.hash, w.first)
+        size = np.diff(w.first)
+        self.lengths = []
+        for m in np.unique(np.minimum(size, window)).tolist():
+            if m:
+                rows = np.flatnonzero(np.minimum(size, window) == m)
+                many = size[rows] - m + 1
+                first = np.repeat(w.first[rows], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                self.lengths.append(self._length(m, first, np.repeat(rows, many)))
+
+    def _length(self, m: int, first: np.ndarray, item: np.ndarray) -> _Length:
+        """Windows of equal text are one; hashes only bring them together."""
+        g = K.grams(self.words.hash, m)[first]
+        order = np.lexsort((first, g))
+        g, first, item = g[order], first[order], item[order]
+        edge = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
+        window = np.repeat(edge[:-1], np.diff(edge))  # each window by its first place
+        for lo, hi in zip(edge[:-1][np.diff(edge) > 1].tolist(), edge[1:][np.diff(edge) > 1].tolist()):
+            known: dict[bytes, int] = {}
+            for k in range(lo, hi):
+                window[k] = known.setdefault(self.words.text(int(first[k]), int(first[k]) + m), k)
+        by = np.unique(np.stack([window, item]), axis=1)
+        top = np.flatnonzero(np.concatenate([[True], by[0][1:] != by[0][:-1]]))
+        return _Length(self.words, m, first[by[0][top]], (np.concatenate([top, [by.shape[1]]]), by[1]))
 
     def search(self, w: K.Words) -> tuple[np.ndarray, dict[int, set]]:
         """For each word whether an occurrence covers it, and the items found in each row that has any."""
         edge = np.zeros(len(w) + 1, np.int64)
         found: dict[int, set] = defaultdict(set)
-        for length, items in zip(self.lengths, self.items):
-            first, which = length.find(w)
+        for length in self.lengths:
+            first, which = length.find(w, self.words)
             np.add.at(edge, first, 1)
             np.add.at(edge, first + length.m, -1)
-            for row, p in zip(np.searchsorted(w.first, first, "right") - 1, which):
-                found[int(row)].update(items[p])
+            row = np.searchsorted(w.first, first, "right") - 1
+            for r, p in np.unique(np.stack([row, which]), axis=1).T.tolist():
+                found[r].update(self.names[k] for k in length.items[length.ends[p] : length.ends[p + 1]].tolist())
         return np.cumsum(edge[:-1]) > 0, found
 
 
@@ -144,11 +161,11 @@ def decontaminate(
     schema = df.schema
     blocks = 0
     for block in _blocks(benchmark, item_id, item_text, block_bytes):
-        sent = spark.sparkContext.broadcast([("null" if i is None else str(i), t) for i, t in block])  # <= block_bytes
-        df = df.mapInArrow(_Search(sent, window), schema)
+        sent = spark.sparkContext.broadcast(Patterns([("null" if i is None else str(i), t) for i, t in block], window))  # a few times block_bytes
+        df = df.mapInArrow(_Search(sent), schema)
         blocks += 1
     if not blocks:
-        df = df.mapInArrow(_Search(None, window), schema)
+        df = df.mapInArrow(_Search(None), schema)
     spans = F.col("spans")
     if blocks > 1:
         spans = _merged(spans)
@@ -173,11 +190,11 @@ def _merged(spans):
 
 
 class _Search:
-    def __init__(self, sent, window: int):
-        self.sent, self.window = sent, window
+    def __init__(self, sent):
+        self.sent = sent
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = Patterns(self.sent.value if self.sent else [], self.window)
+        patterns = self.sent.value if self.sent else Patterns([])
         for b in batches:
             raw, offsets = K.buffers(b.column("text"))
             n, spans, items = [], b.column("spans").to_pylist(), b.column("items").to_pylist()
