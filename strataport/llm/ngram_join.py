@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .shared import ship, written
+from .shared import mark, release, ship, written
 
 WORDS, PERCENT = 5, 75
-BLOCK, SHORT, SLAB, LEADERS = 256, 32, 4096, 8
+BLOCK, SHORT, SLAB, LEADERS, SALTS = 256, 32, 4096, 8, 16
 #: Counters of the sketch: 16 MB. Its noise is shingles / counters.
 SKETCH_BITS = 22
 CHUNKS = 64
@@ -96,13 +96,27 @@ class _Sketch:
             yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([i], pa.int32()), pa.array([few.tobytes()], pa.binary())], names)
 
 
-def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The tasks' counters added up, a chunk at a time; they stop at the largest 32-bit number."""
-    total: dict[int, np.ndarray] = {}
-    for b in batches:
-        for i, c in zip(b.column("chunk").to_pylist(), b.column("counts").to_pylist()):
-            total[i] = np.minimum(total.get(i, 0) + np.frombuffer(c, np.uint16).astype(np.int64), 0xFFFFFFFF)
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.astype(np.uint32).tobytes() for c in total.values()], pa.binary())], ["chunk", "counts"])
+class _Total:
+    """Counters added up, a chunk at a time; they stop at the largest 32-bit number. ``kind``: of the numbers that come."""
+
+    def __init__(self, kind: str):
+        self.kind = kind
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, c in zip(b.column("chunk").to_pylist(), b.column("counts").to_pylist()):
+                total[i] = np.minimum(total.get(i, 0) + np.frombuffer(c, self.kind).astype(np.int64), 0xFFFFFFFF)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.astype(np.uint32).tobytes() for c in total.values()], pa.binary())], ["chunk", "counts"])
+
+
+def in_two_steps(chunks: DataFrame, first, last) -> DataFrame:
+    """Chunks that every task gives, merged by groups of tasks and then all: no reducer reads a chunk of every task. How
+    many groups there are follows from the session's shuffle partitions."""
+    spark, schema = chunks.sparkSession, chunks.schema
+    groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // CHUNKS)
+    some = chunks.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(groups))).repartition("chunk", "g").drop("g").mapInArrow(first, schema) if groups > 1 else None
+    return (chunks if some is None else some).repartition("chunk").mapInArrow(first if some is None else last, schema)
 
 
 class _First:
@@ -307,7 +321,7 @@ def _compare(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataF
     """Links found in the products of some cells, of which ``members`` has (id, cells)."""
     spark = docs.sparkSession
     members, _ = written(members, "members")
-    marks = members.select("id").mapInArrow(_Marks(), "chunk int, counts binary").repartition(CHUNKS, "chunk").mapInArrow(_either, "chunk int, counts binary")
+    marks = in_two_steps(members.select("id").mapInArrow(_Marks(), "chunk int, counts binary"), _either, _either)
     got = {r.chunk: bytes(r.counts) for r in marks.collect()}
     size = (1 << MARK_BITS) // 8 // CHUNKS
     sieve = _Sieve(spark.sparkContext.broadcast(np.frombuffer(b"".join(got.get(i, bytes(size)) for i in range(CHUNKS)), np.uint8)))  # of fixed size
@@ -326,8 +340,9 @@ def join_ngrams(documents: DataFrame, *, id_col: str = "doc_id", text: str = "te
     spark = documents.sparkSession
     ship(spark)
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    seen, _ = written(docs.mapInArrow(_Sketch(k, sketch_bits), "id long, n long, h1 long, h2 long, chunk int, counts binary"), "shingles")
-    counts = seen.where("chunk is not null").select("chunk", "counts").repartition(CHUNKS, "chunk").mapInArrow(_total, "chunk int, counts binary")
+    since = mark()
+    seen, shingles = written(docs.mapInArrow(_Sketch(k, sketch_bits), "id long, n long, h1 long, h2 long, chunk int, counts binary"), "shingles")
+    counts = in_two_steps(seen.where("chunk is not null").select("chunk", "counts"), _Total("<u2"), _Total("<u4"))
     sketch = np.zeros((CHUNKS, (1 << sketch_bits) // CHUNKS), np.uint32)
     for r in counts.collect():
         sketch[r.chunk] = np.frombuffer(r.counts, np.uint32)
@@ -363,7 +378,10 @@ def join_ngrams(documents: DataFrame, *, id_col: str = "doc_id", text: str = "te
     mixed = listed.groupBy("h", "component").agg(F.min("sub").alias("low"), F.max("sub").alias("high")).where("low != high").select("h", "component")
     lists = listed.select("h", "component", "block", F.when(F.col("large"), F.col("sub")).alias("sub")).distinct().join(mixed, ["h", "component"])
     together = F.coalesce(F.col("l.sub") == F.col("r.sub"), F.lit(False))
-    across = lists.alias("l").join(lists.alias("r"), (F.col("l.h") == F.col("r.h")) & (F.col("l.component") == F.col("r.component")) & (F.col("l.block") <= F.col("r.block")) & ~together)
+    left_lists = lists.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a hot list's pairs of blocks are made in many tasks
+    right_lists = lists.withColumn("s", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int"))
+    same = (F.col("l.h") == F.col("r.h")) & (F.col("l.component") == F.col("r.component")) & (F.col("l.s") == F.col("r.s"))
+    across = left_lists.alias("l").join(right_lists.alias("r"), same & (F.col("l.block") <= F.col("r.block")) & ~together)
     named = brief.union(across.select(F.col("l.block").alias("x"), F.col("r.block").alias("y"))).distinct()
     apart = named.where("x != y")
     alone = named.where("x = y").join(apart.select("x").union(apart.select(F.col("y").alias("x"))).distinct(), "x", "left_anti").select("x", "y")
@@ -371,7 +389,8 @@ def join_ngrams(documents: DataFrame, *, id_col: str = "doc_id", text: str = "te
     far = _compare(docs, state.join(sides, "block").groupBy("id").agg(F.collect_list("cell").alias("cells")), k, percent)
     classes = some.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("many"))
     copies = some.join(classes.where("many > 1").drop("many"), ["h1", "h2", "n"]).where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    found, _ = written(near.union(far).union(copies), "links")
+    found, links = written(near.union(far).union(copies), "links")
+    release(spark, since, (shingles, links))  # all that the links were made of
     label = components(found)
     return rows.select("id", "n").join(label, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 

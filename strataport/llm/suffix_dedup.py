@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .ngram_join import CHUNKS, _either, in_two_steps
 from .shared import ship, written
 
 LEAST, GRAM, SPAN = 50, 8, 30
 #: Bits of the map of repeated keys: 8 MB.
 KEY_BITS = 26
-_CHUNKS = 64
 #: Kinds of rows that a stretch of the suffix array gives.
 ANY, GRAMS, LATER = 0, 1, 2
 
@@ -84,23 +84,15 @@ class _Marks:
         mark = np.zeros(1 << KEY_BITS, bool)
         for b in batches:
             mark[_slot(b.column("key").to_numpy().view(K.U))] = True
-        for i, c in enumerate(np.split(np.packbits(mark), _CHUNKS)):
+        for i, c in enumerate(np.split(np.packbits(mark), CHUNKS)):
             if c.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([c.tobytes()], pa.binary())], ["chunk", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([c.tobytes()], pa.binary())], ["chunk", "counts"])
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
     return (K.mixed(keys) >> K.U(64 - KEY_BITS)).astype(np.int64)
 
 
-def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for b in batches:
-        for i, c in zip(b.column("chunk").to_pylist(), b.column("bits").to_pylist()):
-            total[i] = total.get(i, np.uint8(0)) | np.frombuffer(c, np.uint8)
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["chunk", "bits"])
-
-
 class _Suffixes:
     """Retained suffixes whose key may be repeated, with the words around them."""
 
@@ -307,10 +299,10 @@ def repeats(documents: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     ship(spark)
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null")
     keys = docs.mapInArrow(_Keys(least, gram, span), "key long, id long").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key")
-    marks = keys.mapInArrow(_Marks(), "chunk int, bits binary").repartition(_CHUNKS, "chunk").mapInArrow(_either, "chunk int, bits binary")
-    got = {r.chunk: bytes(r.bits) for r in marks.collect()}  # of fixed size
-    size = (1 << KEY_BITS) // 8 // _CHUNKS
-    sent = spark.sparkContext.broadcast(np.frombuffer(b"".join(got.get(i, bytes(size)) for i in range(_CHUNKS)), np.uint8))
+    marks = in_two_steps(keys.mapInArrow(_Marks(), "chunk int, counts binary"), _either, _either)
+    got = {r.chunk: bytes(r.counts) for r in marks.collect()}  # of fixed size
+    size = (1 << KEY_BITS) // 8 // CHUNKS
+    sent = spark.sparkContext.broadcast(np.frombuffer(b"".join(got.get(i, bytes(size)) for i in range(CHUNKS)), np.uint8))
     suffixes = docs.mapInArrow(_Suffixes(sent, least, gram, span), "key long, next binary, back binary, right short, left short, id long, at long")
     order = ["key", "next", "id", "at"]
     dealt = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
