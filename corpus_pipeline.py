@@ -14,7 +14,7 @@ from strataport.llm.language_id import identify
 from strataport.llm.line_dedup import dedup_lines
 from strataport.llm.ngram_join import join_ngrams
 from strataport.llm.packing import pack
-from strataport.llm.shared import written
+from strataport.llm.shared import mark, release, written
 
 #: Below this pooled probability a text is in none of the learned languages.
 LEAST_SCORE = 0.4
@@ -66,8 +66,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of ``sf_dir``. What a stage wrote on its way goes once its result is written."""
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for name, stage in STAGES[:-1]:
-        docs, _ = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, since, (path,))
     return STAGES[-1][1](spark, docs, sf_dir)
