@@ -143,8 +143,8 @@ def write_token_files(
 ) -> TokenFiles:
     """Encode every whole text and write the ids, with ``end_id`` after each document, in ascending id order.
 
-    Null and empty texts have the end id alone; a null id comes first; rows of one id are ordered by text (their files'
-    content doesn't depend on the input's order). Only the id and text columns are read. An empty table gives an index
+    Null and empty texts have the end id alone; a null id comes first; rows of one id are ordered by a hash of their text
+    (by which they are dealt to several tasks, if they are many) and by it, so content doesn't depend on the input's order. Only the id and text columns are read. An empty table gives an index
     without partitions.
     """
     spark = documents.sparkSession
@@ -154,7 +154,7 @@ def write_token_files(
     fs, base = _fs(folder)
     fs.create_dir(base, recursive=True)
     df = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    dealt = df.repartitionByRange("id").sortWithinPartitions("id", "text")
+    dealt = df.withColumn("th", F.xxhash64(F.coalesce("text", F.lit("")))).repartitionByRange("id", "th").sortWithinPartitions("id", "th", "text").drop("th")
     index, _ = written(dealt.mapInArrow(_Write(folder, tokenizer, end_id), "partition long, name string, documents long, tokens long, width int"), "token-index")
     parts, doc, token, width = [], 0, 0, 2
     for r in sorted(index.collect(), key=lambda r: r.partition):  # a row for each partition

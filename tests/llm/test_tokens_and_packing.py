@@ -5,6 +5,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+import xxhash
 
 from strataport.llm.packing import Schedule, pack, sequences
 from strataport.llm.token_files import TokenFiles, write_token_files
@@ -31,7 +32,8 @@ def test_files(spark):
     files = write_token_files(df)
     got = [tuple(r) for r in TokenFiles.open(files.folder).read(spark).orderBy("start").collect()]
     want, start = [], 0
-    for i, t in sorted(((d[0], d[1]) for d in DOCS), key=lambda d: (d[0] is not None, d[0] or 0, d[1] or "")):
+    hashed = lambda t: np.uint64(xxhash.xxh64_intdigest((t or "").encode(), 42)).astype(np.int64)
+    for i, t in sorted(((d[0], d[1]) for d in DOCS), key=lambda d: (d[0] is not None, d[0] or 0, hashed(d[1]))):
         x = np.array(ids(t), "<u4")
         want.append((i, start, len(x), zlib.crc32(x.tobytes())))
         start += len(x)
@@ -64,6 +66,17 @@ def check_pieces(docs, pieces, length):
                 at += p.length
 
 
+def test_one_repeated_id_fills_several_files(spark):
+    rows = [(7, f"text {i}", "s") for i in range(400)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would join such small ones
+    try:
+        files = write_token_files(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = TokenFiles.open(files.folder).read(spark).orderBy("start").collect()
+    assert len(got) == 400 and len(files.parts) > 1 and sum(r.n_tokens for r in got) == got[-1].start + got[-1].n_tokens
+
+
 def test_pack(spark):
     df = spark.createDataFrame(DOCS, "doc_id long, text string, source string").withColumnRenamed("source", "source").repartition(3)
     out = pack(df, keep=["doc_id"], length=64, window=256, with_ids=True).cache()
