@@ -1,9 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strataport.llm import kernels as K
 from strataport.llm.embedding_dedup import NEAREST, SHARED, describe, near_vectors, unit
-from strataport.llm.language_id import Network, identify, pooled, train
+from strataport.llm.language_id import SEGMENT, Network, identify, labelled, pooled, train
 
 WORDS = {"en": "the of and with that this from which their would".split(), "de": "der die und nicht mit für über werden auch eine".split(), "fr": "les des une dans pour est avec être où ça".split()}
 
@@ -149,6 +150,31 @@ def test_recall_of_the_index_by_size(n):
     assert (shared >= SHARED).mean() >= 0.95
 
 
+def test_the_sample_is_bounded_whatever_the_ids(spark):
+    """One id for all rows, and one row for all."""
+    ids = spark.range(4000).select(F.lit(5).alias("k"), F.concat(F.lit("some words "), F.col("id") % 2000).alias("t"), F.lit("en").alias("l"))
+    seen, _ = labelled(ids, text="t", lang="l", key=F.col("k"), rows=50, slices=2)
+    assert 2 * 20 < len(seen) < 2 * 120
+    one = spark.range(4000).select(F.lit(5).alias("k"), F.lit("the same").alias("t"), F.lit("en").alias("l"))
+    assert len(labelled(one, text="t", lang="l", key=F.col("k"), rows=50, slices=2)[0]) == 2
+
+
+def test_pooling_equals_a_loop_over_bytes():
+    """Every byte's probabilities, one step of each direction at a time, summed over letters."""
+    rng = np.random.default_rng(2)
+    net = Network(["a", "b", "c"], hidden=4)
+    texts = [("ab é1 " * 60).encode(), b"", b"x", b"1 2 3", bytes(rng.integers(97, 122, 300).astype(np.uint8))]
+    raw, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = pooled(net, raw, offsets)
+    for k, t in enumerate(texts):
+        want = np.zeros(3)
+        for lo in range(0, len(t), SEGMENT):
+            part = np.frombuffer(t[lo : lo + SEGMENT], np.uint8)
+            p = net.probabilities(part[:, None].copy(), np.array([len(part)]))[:, 0]
+            want += p[[chr(x).isalpha() if x < 128 else True for x in part]].sum(axis=0)
+        assert np.allclose(got[k], want, rtol=1e-4, atol=1e-4)
+
+
 def test_every_language_is_learned(spark):
     rng = np.random.default_rng(5)
     pairs = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopq"]
