@@ -22,8 +22,8 @@ def copy_table(
     """Copy page by page after the last page recorded: completed or interrupted. Rows that the target has already win,
     and so do all changes.
 
-    The bounds of all pages are found in one pass over the keys. A stride is one page at first and becomes twice as many
-    as long as that makes the copy faster; it is read by its range of keys, by which the scan is pruned, and written
+    The bounds of all pages are found in one pass over the keys. A stride is one page at first and becomes four times
+    as many as long as that makes the copy faster; it is read by its range of keys, by which the scan is pruned, and written
     once, so a source that isn't clustered by its key is scanned a logarithmic number of times. With a rate, a stride is
     a page. ``unique``: the caller knows that no key is repeated; else repeated keys count once.
     """
@@ -46,9 +46,9 @@ def copy_table(
         rows = apply_spec(rows.where(~after_key(key, end)), spec)
         store.append_pages(spec.name, number + len(pages), rows if unique else rows.dropDuplicates(spec.target_key(key)), spec.target_key(key))
         took = time.time() - began
-        for first, last, size in pages:  # noqa: B007
+        progress.record(spec.name, [(number + i, *p, max(1, int(took * 1000 * p[2] / n))) for i, p in enumerate(pages, 1)])
+        for _, last, size in pages:
             number += 1
-            progress.record(spec.name, number, first, last, size, max(1, int(took * 1000 * size / n)))
             on_batch({"batch_no": number, "rows": size, "end_key": last})
         if rows_per_second:
             wait = max(n / rows_per_second - took, 0)
@@ -57,7 +57,7 @@ def copy_table(
                 wait -= 0.1
         elif misses < 3:
             faster = n / took > 1.1 * best
-            many, best, misses = many * 2 if faster else many, max(best, n / took), 0 if faster else misses + 1
+            many, best, misses = many * 4 if faster else many, max(best, n / took), 0 if faster else misses + 1
     return "interrupted"
 
 

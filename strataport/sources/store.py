@@ -324,10 +324,13 @@ class Progress:
     def set(self, **values) -> None:
         self.files.replace(f"{self.root}/progress.json", json.dumps(self.metadata() | values))
 
-    def record(self, table: str, batch_no: int, start_key: list, end_key: list, row_count: int, duration_ms: int) -> None:
-        line = {"table_name": table, "batch_no": batch_no, "start_key": json.dumps(start_key), "end_key": json.dumps(end_key), "row_count": row_count, "duration_ms": duration_ms}
-        self.files.create(f"{self.root}/batches/{table}-{batch_no:012d}.json", json.dumps(line), True)
-        self.set(**{f"last:{table}": {"batch_no": batch_no, "end_key": end_key}})
+    def record(self, table: str, pages: list[tuple]) -> None:
+        """Pages that were copied together: batch_no, first and last key, rows and milliseconds of each."""
+        names = ("batch_no", "start_key", "end_key", "row_count", "duration_ms")
+        lines = [json.dumps({"table_name": table} | dict(zip(names, p)) | {"start_key": json.dumps(p[1], default=str), "end_key": json.dumps(p[2], default=str)}) for p in pages]
+        number, _, end, *_ = pages[-1]
+        self.files.create(f"{self.root}/batches/{table}-{number:012d}.json", "\n".join(lines), True)
+        self.set(**{f"last:{table}": {"batch_no": number, "end_key": end}})
 
     def last(self, table: str) -> tuple[int, list] | None:
         found = self.metadata().get(f"last:{table}")

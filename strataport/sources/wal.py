@@ -331,6 +331,12 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([out[f.name] for f in _SCHEMA], schema=_SCHEMA)
 
 
+def parse(messages: DataFrame) -> DataFrame:
+    """Messages (seq, message) decoded but for the names of row messages, which other messages have."""
+    ship(messages.sparkSession)
+    return messages.select("seq", "message").mapInArrow(_parse, f"seq long, {MESSAGE}")
+
+
 _VERSION = "relation long, namespace string, name string, identity string, columns array<string>"
 
 
@@ -338,8 +344,7 @@ def relation_versions(messages: DataFrame, relations: list[Relation] = ()) -> Da
     """Every definition of each relation with the positions [since, until) in which it holds (until null: to the end);
     a relation that is announced again as it was makes no version. ``relations``: those announced before. There are as
     many rows as changes of definitions."""
-    ship(messages.sparkSession)
-    seen = messages.select("seq", "message").where(F.substring("message", 1, 1) == F.lit(b"R")).mapInArrow(_parse, f"seq long, {MESSAGE}").select("seq", *[c.split()[0] for c in _VERSION.split(", ")])
+    seen = parse(messages.where(F.substring("message", 1, 1) == F.lit(b"R"))).select("seq", *[c.split()[0] for c in _VERSION.split(", ")])
     known = messages.sparkSession.createDataFrame([(-(1 << 62), *r[:4], list(r[4])) for r in relations], f"seq long, {_VERSION}")
     order = Window.partitionBy("relation").orderBy("seq")
     what = F.struct("namespace", "name", "identity", "columns")
@@ -347,13 +352,12 @@ def relation_versions(messages: DataFrame, relations: list[Relation] = ()) -> Da
     return every.withColumnRenamed("seq", "since").withColumn("until", F.lead("since").over(Window.partitionBy("relation").orderBy("since")))
 
 
-def decode(messages: DataFrame, relations: list[Relation] = ()) -> DataFrame:
+def decode(messages: DataFrame, relations: list[Relation] = (), versions: DataFrame | None = None) -> DataFrame:
     """Messages (seq, message) decoded, with the names of each row's relation as of its position; columns beyond those
     announced are named col_0, col_1, ... by their place. A row whose relation wasn't announced is an error, and so is a
-    message that can't be read. ``relations``: those announced before."""
-    ship(messages.sparkSession)
-    parsed = messages.select("seq", "message").mapInArrow(_parse, f"seq long, {MESSAGE}")
-    v = relation_versions(messages, relations).select(*[F.col(c).alias(f"v_{c}") for c in ("relation", "namespace", "name", "columns", "since", "until")])
+    message that can't be read. ``relations``: those announced before; ``versions``: all, where they are known."""
+    parsed = parse(messages)
+    v = (relation_versions(messages, relations) if versions is None else versions).select(*[F.col(c).alias(f"v_{c}") for c in ("relation", "namespace", "name", "columns", "since", "until")])
     row = F.col("kind").isin("I", "U", "D")
     held = (F.col("seq") >= F.col("v_since")) & (F.col("v_until").isNull() | (F.col("seq") < F.col("v_until")))
     joined = parsed.join(v, row & (F.col("relation") == F.col("v_relation")) & held, "left")

@@ -22,7 +22,8 @@ def log_stream(spark: SparkSession, folder: str, schema: str, max_files: int = 1
 
 
 def message_stream(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
-    """A stream of a folder's binary log: Parquet files of (seq, message), at most ``max_files`` to a batch."""
+    """A stream of a folder's binary log: Parquet files of (seq, message), at most ``max_files`` to a batch. Files come in
+    the order of their times, so a log has to be written in its order, a file after another."""
     return spark.readStream.schema(MESSAGES).option("maxFilesPerTrigger", max_files).parquet(folder)
 
 
@@ -43,14 +44,17 @@ class _Applier:
             return
         at, held = self.position, self.store.held()
         log = batch if held is None else held.unionByName(batch, allowMissingColumns=True)
-        log = log.where(F.col(at) > m["max_lsn"]).dropDuplicates([at])
-        last = log.where(self.is_commit()).agg(F.max(at)).first()[0]
-        if last is None:
-            self.store.hold(log, batch_id)
-            return
-        deltas, more = self.deltas(log.where(F.col(at) <= last), m)
-        self.store.apply(deltas, last, batch_id, self.copying(), log.where(F.col(at) > last), **more)
-        self.store.prune()
+        log = log.where(F.col(at) > m["max_lsn"]).dropDuplicates([at]).persist()  # read several times; as large as a batch
+        try:
+            last = log.where(self.is_commit()).agg(F.max(at)).first()[0]
+            if last is None:
+                self.store.hold(log, batch_id)
+                return
+            deltas, more = self.deltas(log.where(F.col(at) <= last), m)
+            self.store.apply(deltas, last, batch_id, self.copying(), log.where(F.col(at) > last), **more)
+            self.store.prune()
+        finally:
+            log.unpersist()
 
     def is_commit(self) -> Column:
         raise NotImplementedError
@@ -71,7 +75,9 @@ class LogApplier(_Applier):
         return F.col(self.commit)
 
     def deltas(self, log, manifest):
-        changes = C.reject_truncate(log, "op", "op").where(F.col("op").isin("I", "U", "P", "D"))
+        if not log.where("op = 'T'").isEmpty():
+            raise LogError(f"TRUNCATE on {self.table} can't be applied")
+        changes = log.where(F.col("op").isin("I", "U", "P", "D"))
         states = C.merged(C.states(changes, self.key, self.columns, sent=self.sent), self.key, self.columns)
         return {self.table: (states, self.key, [*self.key, *self.columns])}, {}
 
@@ -92,22 +98,22 @@ class ChangeApplier(_Applier):
     def deltas(self, log, manifest):
         known = [wal.Relation(*r[:4], tuple(r[4])) for r in manifest.get("relations", [])]
         versions = wal.relation_versions(log, known)
-        now = [wal.Relation(r.relation, r.namespace, r.name, r.identity, tuple(r["columns"])) for r in versions.where("until is null").collect()]  # a row for each table
-        self._refuse_truncate(log, versions)
-        decoded = wal.decode(log, known)
-        out = {}
-        for p in self.plans:
-            out[p.spec.name] = (H.change_states(H.table_changes(decoded, p), p), p.target_key, p.target_columns)
-        return out, {"relations": [[*r[:4], list(r.columns)] for r in now]}
-
-    def _refuse_truncate(self, log: DataFrame, versions: DataFrame) -> None:
+        found = versions.collect()  # a row for each definition of a table
+        now = [[r.relation, r.namespace, r.name, r.identity, list(r["columns"])] for r in found if r.until is None]
+        versions = log.sparkSession.createDataFrame(found, versions.schema)
+        self._refuse_truncate(log, found)
+        decoded = wal.decode(log, versions=versions)
+        deltas = {p.spec.name: (H.change_states(H.table_changes(decoded, p), p), p.target_key, p.target_columns) for p in self.plans}
+        return deltas, {"relations": now}
+
+    def _refuse_truncate(self, log: DataFrame, versions: list) -> None:
         followed = {(p.namespace, p.spec.name) for p in self.plans}
-        cut = wal.decode(log.where(F.substring("message", 1, 1) == F.lit(b"T"))).select("seq", F.explode("relations").alias("relation"))
-        held = (F.col("seq") >= F.col("since")) & (F.col("until").isNull() | (F.col("seq") < F.col("until")))
-        named = cut.join(versions.withColumnRenamed("relation", "r"), (F.col("relation") == F.col("r")) & held).select("namespace", "name").distinct()
-        hit = sorted(f"{r.namespace}.{r.name}" for r in named.collect() if (r.namespace, r.name) in followed)  # names of tables
-        if hit:
-            raise LogError(f"TRUNCATE on {', '.join(hit)} can't be applied")
+        cut = wal.parse(log.where(F.substring("message", 1, 1) == F.lit(b"T"))).select(F.explode("relations").alias("r"), "seq")
+        hit = set()
+        for r in cut.groupBy("r").agg(F.min("seq").alias("first"), F.max("seq").alias("last")).collect():  # a row for each table
+            hit |= {(v.namespace, v.name) for v in versions if v.relation == r.r and v.since <= r.last and (v.until is None or r.first < v.until)}
+        if hit & followed:
+            raise LogError(f"TRUNCATE on {', '.join(sorted(map('.'.join, hit & followed)))} can't be applied")
 
 
 def apply_available(stream: DataFrame, applier: _Applier, checkpoint: str, timeout: float | None = None) -> bool:
