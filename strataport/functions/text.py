@@ -71,3 +71,24 @@ def bytes_text(n: Column) -> Column:
 def duration_text(seconds: Column) -> Column:
     whole = lambda x: F.ceil(x).cast("string")
     return F.when(seconds < 60, F.concat(seconds.cast("string"), F.lit("s"))).when(seconds < 3600, F.concat(whole(seconds / 60.0), F.lit("m"))).otherwise(F.concat(whole(seconds / 3600.0), F.lit("h")))
+
+
+def count_text(n: Column) -> Column:
+    """A whole number with its thousands apart: 1,234,567."""
+    return F.format_number(n, 0)
+
+
+def scale_text(size: Column) -> Column:
+    """Bytes as MB or, from 1024 MB on, as GB, with a decimal."""
+    mb = size / 1048576.0
+    return F.when(mb >= 1024, F.concat(F.format_string("%.1f", F.round(mb / 1024.0, 1)), F.lit(" GB"))).otherwise(F.concat(F.format_string("%.1f", F.round(mb, 1)), F.lit(" MB")))
+
+
+def redacted(value: Column) -> Column:
+    """A value as a report shows it: NULL, or at most 60 characters."""
+    return F.when(value.isNull(), "NULL").when(F.length(value) > 60, F.concat(F.substring(value, 1, 57), F.lit("..."))).otherwise(value)
+
+
+def listed(text: Column) -> Column:
+    """Names separated by commas as an array; none in an empty text."""
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(text, ","))

@@ -105,15 +105,14 @@ def preflight(spark: SparkSession, facts: list[dict], setting: dict | None = Non
             add(t, f"add {a.name}", "pass" if T.is_known(a.type) else "fail", a.type)
         if setting and f.get("rows") is not None:
             batches, minutes = copy_estimate(f["rows"], setting["batch_size"], setting["rows_per_second"])
-            add(t, "copy", "info", f"{f['rows']} rows, {batches} pages, about {minutes} min")
+            add(t, "copy", "info", f"{f['rows']} rows, {batches} pages, about {minutes if minutes < 60 else round(minutes / 60, 1)} {'min' if minutes < 60 else 'h'}")
     return spark.createDataFrame(rows, "ord int, table_name string, label string, status string, detail string")
 
 
-def copy_estimate(rows: int, batch_size: int, rows_per_second: int | None = None) -> tuple[int, int]:
-    """Pages and minutes (at least one) that a copy takes: at its rate limit, else at 100 pages a minute."""
+def copy_estimate(rows: int, batch_size: int, rows_per_second: int | None = None) -> tuple[int, float]:
+    """Pages and minutes (one decimal) that a copy takes: at its rate limit, else at 100 pages a minute."""
     batches = -(-rows // batch_size)
-    minutes = -(-rows // (60 * rows_per_second)) if rows_per_second else -(-batches // 100)
-    return batches, max(minutes, 1)
+    return batches, round(rows / (60 * rows_per_second), 1) if rows_per_second else (batches + 5) // 10 / 10
 
 
 def preflight_summary(items: DataFrame) -> DataFrame:

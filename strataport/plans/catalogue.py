@@ -515,6 +515,17 @@ def quote_ident_suite(spark, d):
     return spark.createDataFrame([(n,) for n in _NAMES], "name string").withColumn("quoted", X.quote_ident(F.col("name")))
 
 
+@_query("""
+SELECT event_id, printf('%,d', event_id * 7919) AS counted, CASE WHEN event_id % 7 = 0 THEN 'NULL' WHEN length(repeat(event_type, 1 + event_id % 20)) > 60 THEN left(repeat(event_type, 1 + event_id % 20), 57) || '...' ELSE repeat(event_type, 1 + event_id % 20) END AS shown,
+  CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 + event_id % 3 END AS names FROM events""")
+def report_texts(spark, d):
+    """Counts, values and lists as reports show them."""
+    e, i = _t(spark, d, "events"), F.col("event_id")
+    value = F.when(i % 7 != 0, F.expr("repeat(event_type, cast(1 + event_id % 20 as int))"))
+    names = F.when(i % 3 == 0, "").otherwise(F.expr("substring(repeat('a,', cast(1 + event_id % 3 as int)), 1, cast(1 + 2 * (event_id % 3) as int))"))
+    return e.select("event_id", X.count_text(i * 7919).alias("counted"), X.redacted(value).alias("shown"), F.size(X.listed(names)).alias("names"))
+
+
 # --- reconciliation ----------------------------------------------------------------------------------------------------
 
 
@@ -721,11 +732,11 @@ def catalog_readiness(spark, d):
     return R.readiness(source.unionByName(target), TableSpec("any")).groupBy("category", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query("SELECT o_orderkey, (o_orderkey * 1000 + 9999) // 10000 AS pages, greatest(((o_orderkey * 1000 + 9999) // 10000 + 99) // 100, 1) AS minutes FROM orders WHERE o_orderkey <= 200")
+@_query("SELECT o_orderkey, (o_orderkey * 1000 + 9999) // 10000 AS pages, round(((o_orderkey * 1000 + 9999) // 10000) / 100.0, 1)::DOUBLE AS minutes FROM orders WHERE o_orderkey <= 200")
 def copy_estimates(spark, d):
     """Planning estimates for tables of some sizes."""
     sizes = range(201)
-    known = spark.createDataFrame([(k, *R.copy_estimate(k * 1000, 10_000)) for k in sizes], "o_orderkey long, pages long, minutes long")
+    known = spark.createDataFrame([(k, *R.copy_estimate(k * 1000, 10_000)) for k in sizes], "o_orderkey long, pages long, minutes double")
     return known.join(_t(spark, d, "orders").select("o_orderkey"), "o_orderkey", "left_semi")
 
 

@@ -149,6 +149,11 @@ def test_texts(spark):
     assert tuple(row) == ("1/3FA2C100", 0x1_3FA2C100, None, "1.5 KB", "12 B", "2m", "timestamp", "char(2)", "y" * 37 + "...", 'public."select"')
 
 
+def test_report_texts(spark):
+    row = spark.range(1).select(X.count_text(F.lit(1234567)), X.scale_text(F.lit(1_600_000)), X.scale_text(F.lit(3 << 30)), X.redacted(F.lit(None).cast("string")), X.redacted(F.lit("z" * 61)), X.listed(F.lit("a,b")), X.listed(F.lit(""))).first()
+    assert list(row) == ["1,234,567", "1.5 MB", "3.0 GB", "NULL", "z" * 57 + "...", ["a", "b"], []]
+
+
 def test_numbering_and_throttle(spark):
     df = spark.createDataFrame([(i * 13 % 101,) for i in range(101)], "k long").repartition(5)
     assert all(r.rn == r.k + 1 for r in paging.numbered(df, ["k"]).collect())
