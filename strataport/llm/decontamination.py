@@ -152,7 +152,10 @@ def decontaminate(
     """
     spark = documents.sparkSession
     ship(spark)
-    own = {"n_words": "long", "n_hit": "long", "n_items": "long", "item_ids": "array<string>", "hit_spans": "array<struct<first:long,past:long>>", "items_sha256": "string", "contaminated": "boolean"}
+    own = {
+        "n_words": "long", "n_hit": "long", "n_items": "long", "item_ids": "array<string>", "hit_spans": "array<struct<first:long,past:long>>",
+        "items_sha256": "string", "contaminated": "boolean"
+    }
     kept = without(documents if keep is None else documents.select(*[f"`{c}`" for c in keep]), *own).columns
     df = documents.select(
         *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.col(f"`{text}`").cast("binary").alias("text"),
@@ -184,7 +187,10 @@ def _merged(spans):
     def add(done, s):
         top = F.element_at(done, -1)
         join = F.struct(top["first"].alias("first"), F.greatest(top["past"], s["past"]).alias("past"))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["past"] >= s["first"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(join))).otherwise(F.concat(done, F.array(s)))
+        return F.when(
+            (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["past"] >= s["first"]),
+            F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(join))
+        ).otherwise(F.concat(done, F.array(s)))
 
     return F.aggregate(F.array_sort(spans), zero, add)
 

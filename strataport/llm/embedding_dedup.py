@@ -74,7 +74,13 @@ def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = np.repeat(ok, np.diff(offsets) * width)
         lengths = np.where(ok, np.diff(offsets) * width, 0)
         ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        raw = pa.Array.from_buffers(pa.binary(), len(ok), [pa.py_buffer(np.packbits(ok, bitorder="little").tobytes()), pa.py_buffer(ends.tobytes()), pa.py_buffer(data[int(offsets[0]) * width : int(offsets[-1]) * width][kept].tobytes())])
+        raw = pa.Array.from_buffers(
+            pa.binary(), len(ok),
+            [
+                pa.py_buffer(np.packbits(ok, bitorder="little").tobytes()), pa.py_buffer(ends.tobytes()),
+                pa.py_buffer(data[int(offsets[0]) * width : int(offsets[-1]) * width][kept].tobytes())
+            ]
+        )
         yield pa.RecordBatch.from_arrays([b.column("id"), raw, pa.array(np.diff(offsets).astype(np.int32), mask=~ok)], ["id", "v", "d"])
 
 
@@ -265,9 +271,13 @@ def near_vectors(
     keyed = valid.select("id", "h1", "h2")
     member = keyed.join(classes.select("h1", "h2", "rep", "many"), ["h1", "h2"]).select("id", "rep", "many")
     label = components(linked.select(F.col("id").alias("a"), F.col("root").alias("b")).union(member.where("id != rep").select("id", "rep")))
-    by_class = classes.select("h1", "h2", "rep", "many").join(counts, F.col("rep") == counts.id, "left").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("links"))
+    by_class = classes.select("h1", "h2", "rep", "many").join(counts, F.col("rep") == counts.id, "left").select(
+        "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("links")
+    )
     out = rows.select("id", "h1", "h2", F.col("v").isNotNull().alias("ok")).join(by_class, ["h1", "h2"], "left").join(label, "id", "left")
     component = F.coalesce("component", "id")
     return out.select(
-        F.col("id").alias(id_col), F.when(F.col("ok"), F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
+        F.col("id").alias(id_col), F.when(
+            F.col("ok"), F.coalesce("links", F.lit(0))
+        ).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
     )

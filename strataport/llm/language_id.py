@@ -54,7 +54,10 @@ class Network:
 
         self.w = {}
         for d in "fb":
-            self.w |= {"Xg" + d: make(256, 2 * hidden, scale=0.3), "Xn" + d: make(256, hidden, scale=0.5), "Ug" + d: make(hidden, 2 * hidden, scale=0.3), "Un" + d: make(hidden, hidden, scale=0.3), "c" + d: make(hidden, scale=0.0)}
+            self.w |= {
+                "Xg" + d: make(256, 2 * hidden, scale=0.3), "Xn" + d: make(256, hidden, scale=0.5), "Ug" + d: make(hidden, 2 * hidden, scale=0.3),
+                "Un" + d: make(hidden, hidden, scale=0.3), "c" + d: make(hidden, scale=0.0)
+            }
         self.w |= {"V": make(2 * hidden, len(labels), scale=0.3), "b": make(len(labels), scale=0.0)}
 
     def _run(self, d: str, seg: np.ndarray, keep: list | None = None, many: np.ndarray | None = None) -> np.ndarray:
@@ -229,7 +232,9 @@ def labelled(documents: DataFrame, *, text: str, lang: str, key, rows: int, slic
     bytes at hashed places of the whole text. Every language is in it. Where they would have more than ALL_ROWS rows
     together, each aims at an equal part of these, a row at least."""
     t = F.col(f"`{text}`")
-    df = documents.select(F.col(f"`{lang}`").cast("string").alias("lang"), key.cast("string").alias("key"), t.cast("binary").alias("text")).where(F.col("lang").isNotNull() & (F.length("text") > 0)).withColumn("th", F.xxhash64("text"))
+    df = documents.select(
+        F.col(f"`{lang}`").cast("string").alias("lang"), key.cast("string").alias("key"), t.cast("binary").alias("text")
+    ).where(F.col("lang").isNotNull() & (F.length("text") > 0)).withColumn("th", F.xxhash64("text"))
     luck = F.pmod(F.xxhash64(F.lit("sample"), "key", "th"), F.lit(1 << 40)) / float(1 << 40)
     counts = df.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.min(luck).alias("least")).collect()  # a row for each language
     if not counts:
@@ -238,7 +243,9 @@ def labelled(documents: DataFrame, *, text: str, lang: str, key, rows: int, slic
     share = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(min(1.0, rows / r["count"])))])
     least = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(r.least))])
     at = [F.pmod(F.xxhash64(F.lit(i), "key", "th"), F.greatest(F.length("text") - SEGMENT + 1, F.lit(1))) + 1 for i in range(slices)]
-    got = df.where((luck < share[F.col("lang")]) | (luck <= least[F.col("lang")])).select("lang", "key", F.array(*[F.substring("text", a.cast("int"), F.lit(SEGMENT)) for a in at]).alias("s")).distinct()
+    got = df.where((luck < share[F.col("lang")]) | (luck <= least[F.col("lang")])).select(
+        "lang", "key", F.array(*[F.substring("text", a.cast("int"), F.lit(SEGMENT)) for a in at]).alias("s")
+    ).distinct()
     picked = sorted(((r.lang, r.key or "", tuple(bytes(x) for x in r.s)) for r in got.collect()))
     return [x for _, _, s in picked for x in s], [lang for lang, _, s in picked for _ in s]
 

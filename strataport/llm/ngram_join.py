@@ -241,7 +241,10 @@ class _Chains:
         yield self._rows(2, i[row_big], h[row_big], np.ones(int(row_big.sum()), np.int64), np.ones(int(row_big.sum()), np.int64))
 
     def _rows(self, kind: int, a, b, need, count) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b), pa.array(need.astype(np.int32)), pa.array(count.astype(np.int32))], ["kind", "a", "b", "need", "c"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b), pa.array(need.astype(np.int32)), pa.array(count.astype(np.int32))],
+            ["kind", "a", "b", "need", "c"]
+        )
 
 
 def product(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -329,7 +332,10 @@ def _compare(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataF
     return texts.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(_Products(k, percent), "a long, b long")
 
 
-def join_ngrams(documents: DataFrame, *, id_col: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT, sketch_bits: int = SKETCH_BITS, block_rows: int = BLOCK, short: int = SHORT) -> DataFrame:
+def join_ngrams(
+    documents: DataFrame, *, id_col: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT, sketch_bits: int = SKETCH_BITS,
+    block_rows: int = BLOCK, short: int = SHORT
+) -> DataFrame:
     """(id_col, n_shingles, component_id) for every row; documents link when 100 * intersection >= percent * union of
     their sets, and component_id is the least id reachable by links, itself included.
 
@@ -356,7 +362,9 @@ def join_ngrams(documents: DataFrame, *, id_col: str = "doc_id", text: str = "te
     chains, _ = written(posted.repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(_Chains(percent, short), "kind tinyint, a long, b long, need int, c int"), "chains")
     in_long = chains.where("kind = 2").select("a", "b").distinct().groupBy("a").agg(F.count(F.lit(1)).alias("l"))
     counted = chains.where("kind = 1").groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("c").alias("c"))
-    both = counted.where("c < need").join(in_long.withColumnRenamed("l", "la"), "a").join(in_long.select(F.col("a").alias("b"), F.col("l").alias("lb")), "b").where("c + least(la, lb) >= need")
+    both = counted.where("c < need").join(in_long.withColumnRenamed("l", "la"), "a").join(
+        in_long.select(F.col("a").alias("b"), F.col("l").alias("lb")), "b"
+    ).where("c + least(la, lb) >= need")
     pairs, _ = written(counted.where("c >= need").select("a", "b").union(both.select("a", "b")), "pairs")
     group = components(pairs.union(chains.where("kind = 0").select("a", "b")))
     sizes = group.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
@@ -370,7 +378,9 @@ def join_ngrams(documents: DataFrame, *, id_col: str = "doc_id", text: str = "te
     of = blocks.join(sub, "id", "left").withColumn("sub", F.coalesce("sub", "id"))
     of = of.join(of.groupBy("sub").agg(F.count(F.lit(1)).alias("many")), "sub")
     large = F.col("many") >= block_rows // 2
-    block = F.when(large, F.xxhash64(F.lit("large"), "sub", F.pmod(luck, F.ceil(F.col("many") / block_rows)))).otherwise(F.xxhash64(F.lit("small"), "component", F.pmod(luck, F.col("parts"))))
+    block = F.when(
+        large, F.xxhash64(F.lit("large"), "sub", F.pmod(luck, F.ceil(F.col("many") / block_rows)))
+    ).otherwise(F.xxhash64(F.lit("small"), "component", F.pmod(luck, F.col("parts"))))
     state, _ = written(of.select("id", "component", "sub", block.alias("block"), large.alias("large")), "states")
     left, right = (state.select(F.col("id").alias(s), F.col("sub").alias(f"s{s}"), F.col("block").alias(f"b{s}")) for s in "ab")
     brief = pairs.join(left, "a").join(right, "b").where("sa != sb").select(F.least("ba", "bb").alias("x"), F.greatest("ba", "bb").alias("y"))

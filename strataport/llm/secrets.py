@@ -39,7 +39,10 @@ def _spans(kind: int, text: Column, pieces: Column, pattern: str) -> Column:
     def add(a, x):
         start = a["at"] + x["gap"]
         past = start + F.length(x["m"])
-        return F.struct(past.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), past.alias("past"), x["m"].alias("value")))).alias("out"))
+        return F.struct(
+            past.alias("at"),
+            F.concat(a["out"], F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), past.alias("past"), x["m"].alias("value")))).alias("out")
+        )
 
     return F.when(F.size(pieces) > 1, F.aggregate(found, zero, add)["out"]).otherwise(F.array().cast(_SPAN))
 
@@ -68,7 +71,10 @@ def scan_secrets(
     own = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_owned", "n_live", "n_copied", "n_spread"]
     kept = without(documents.drop(text) if keep is None else documents.select(*[f"`{c}`" for c in keep]), *own).columns
     repo = F.col(f"`{repository or id_col}`").cast("string")
-    df = documents.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.col(f"`{id_col}`").alias("id"), F.col(f"`{owner}`").cast("string").alias("owner"), repo.alias("repo"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    df = documents.select(
+        *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.col(f"`{id_col}`").alias("id"),
+        F.col(f"`{owner}`").cast("string").alias("owner"), repo.alias("repo"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")
+    )
     t, low = F.col("t"), F.lower("t")
     some = F.lit(False)
     for word in ("passw", "secret", "token", "apikey", "api_key"):
@@ -85,14 +91,20 @@ def scan_secrets(
     mixed = F.filter("wide", lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(s["value"], ""))) >= SIGNS))
     apart = F.filter(mixed, lambda s: ~F.exists("base", lambda b: (b["start"] < s["past"]) & (s["start"] < b["past"])))
     secret = lambda x: F.when(x["kind"] == 0, value(x["value"], ASSIGN, 2)).otherwise(x["value"])
-    hashed = lambda spans: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["past"].alias("past"), F.sha2(secret(x), 256).alias("h")))
-    spans = {c: F.when(F.size(c) > 0, hashed(x)).otherwise(F.array().cast("array<struct<start:int,kind:int,past:int,h:string>>")) for c, x in (("base", F.col("base")), ("wide", apart))}
+    hashed = lambda spans: F.transform(
+        spans, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["past"].alias("past"), F.sha2(secret(x), 256).alias("h"))
+    )
+    spans = {c: F.when(F.size(c) > 0, hashed(x)).otherwise(F.array().cast("array<struct<start:int,kind:int,past:int,h:string>>")) for c, x in (
+        ("base", F.col("base")), ("wide", apart)
+    )}
     found, _ = written(df.select(*[c for c in df.columns if c not in spans], *[x.alias(c) for c, x in spans.items()]), "secrets")
     each = found.select("id", "th", "owner", "repo", F.explode(F.concat("base", "wide")).alias("s")).withColumn("h", F.col("s.h"))
     seen = each.select("h", "owner", "repo").distinct().groupBy("h", "owner").agg(F.count(F.lit(1)).alias("repos"))
     owned = seen.groupBy("h").agg(F.count(F.lit(1)).alias("owners"), F.max("repos").alias("repos"))
     live = F.col("owners") <= owners
-    judged = each.join(owned, "h").select("id", "th", F.struct("s.start", "s.kind", "s.past", live.alias("live"), (live & (F.col("repos") > repositories)).alias("spread")).alias("s"))
+    judged = each.join(owned, "h").select(
+        "id", "th", F.struct("s.start", "s.kind", "s.past", live.alias("live"), (live & (F.col("repos") > repositories)).alias("spread")).alias("s")
+    )
     by_doc = judged.groupBy("id", "th").agg(F.collect_set("s").alias("s"))
     out = found.alias("f").join(by_doc.alias("j"), F.col("f.id").eqNullSafe(F.col("j.id")) & (F.col("f.th") == F.col("j.th")), "left")
     s = F.coalesce("j.s", F.array().cast("array<struct<start:int,kind:int,past:int,live:boolean,spread:boolean>>"))

@@ -120,7 +120,10 @@ class _Suffixes:
                 next_[np.arange(least) >= right[:, None]] = 0
                 back[np.arange(span - 1) >= left[:, None]] = 0
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), _fixed(next_), _fixed(back), pa.array(right.astype(np.int16)), pa.array(left.astype(np.int16)), b.column("id").take(pa.array(i + row)), pa.array((at - w.first[row]).astype(np.int64))],
+                    [
+                        pa.array(keys.view(np.int64)), _fixed(next_), _fixed(back), pa.array(right.astype(np.int16)), pa.array(left.astype(np.int16)),
+                        b.column("id").take(pa.array(i + row)), pa.array((at - w.first[row]).astype(np.int64))
+                    ],
                     ["key", "next", "back", "right", "left", "id", "at"],
                 )
 
@@ -310,7 +313,9 @@ def repeats(documents: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     loose = found.where(F.col("kind") == GRAMS).select("id", "h", "firsts", "others")
     shared = loose.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max("others").alias("others")).where("a < b or others").select("h", "a")
     kinds = F.when(F.col("id") > F.col("a"), F.array(F.lit(ANY), F.lit(LATER))).otherwise(F.array(F.lit(ANY)))
-    rest = loose.join(shared, "h").select("id", F.explode("firsts").alias("first"), kinds.alias("kinds")).select(F.explode(F.col("kinds").cast("array<tinyint>")).alias("kind"), "id", "first", (F.col("first") + least).alias("past"))
+    rest = loose.join(shared, "h").select("id", F.explode("firsts").alias("first"), kinds.alias("kinds")).select(
+        F.explode(F.col("kinds").cast("array<tinyint>")).alias("kind"), "id", "first", (F.col("first") + least).alias("past")
+    )
     every = found.where(F.col("kind") != GRAMS).select("kind", "id", "first", "past").union(rest)
     by_doc = every.repartition("id").sortWithinPartitions("id")
     out = by_doc.mapInArrow(_report, "id long, n_spans long, n_repeated long, spans array<struct<first:long,past:long>>, later_spans array<struct<first:long,past:long>>")

@@ -118,7 +118,10 @@ class _Write:
         if n:
             _save(self.folder, f"offsets-{name}.bin", [x.astype("<i8").tobytes() for x in offsets])
             _save(self.folder, f"ids-{name}.bin", [x.tobytes() for x in ids])
-            yield pa.RecordBatch.from_pydict({"partition": pa.array([TaskContext.get().partitionId()], pa.int64()), "name": [name], "documents": pa.array([n], pa.int64()), "tokens": pa.array([total], pa.int64()), "width": pa.array([enc.dtype.itemsize], pa.int32())})
+            yield pa.RecordBatch.from_pydict({
+                "partition": pa.array([TaskContext.get().partitionId()], pa.int64()), "name": [name], "documents": pa.array([n], pa.int64()),
+                "tokens": pa.array([total], pa.int64()), "width": pa.array([enc.dtype.itemsize], pa.int32())
+            })
 
 
 class _Read:
@@ -135,7 +138,10 @@ class _Read:
                     o = at[i : i + 10_001]
                     crc = [zlib.crc32(tokens[s:e].astype("<u4").tobytes()) for s, e in zip(o[:-1], o[1:])]
                     some = ids[i : i + 10_000]
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(some, pa.int64(), mask=some == NULL_ID), "start": pa.array(r["base_token"] + o[:-1], pa.int64()), "n_tokens": pa.array(np.diff(o), pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+                    yield pa.RecordBatch.from_pydict({
+                        "doc_id": pa.array(some, pa.int64(), mask=some == NULL_ID), "start": pa.array(r["base_token"] + o[:-1], pa.int64()),
+                        "n_tokens": pa.array(np.diff(o), pa.int64()), "ids_crc32": pa.array(crc, pa.int64())
+                    })
 
 
 def write_token_files(

@@ -62,8 +62,17 @@ def labelled():
     rng = random.Random(4)
     say = lambda n: " ".join(rng.choice([*words, f"word{rng.randrange(500)}"]) for _ in range(n)).capitalize() + "."
     menu = lambda: "<ul>" + "".join(f'<li><a href="/{i}">{say(rng.randrange(1, 5))}</a></li>' for i in range(rng.randrange(3, 12))) + "</ul>"
-    frames = ["<article>{}</article>", '<main id="content">{}</main>', '<div class="content">{}</div>', '<div class="page with-sidebar"><article>{}</article></div>', '<div class="post-wrap"><div class="entry">{}</div></div>', "<table><tr><td>{}</td></tr></table>"]
-    junk = [lambda: f"<nav>{menu()}</nav>", lambda: f'<div class="sidebar">{menu()}</div>', lambda: f"<footer><p>{say(15)}</p></footer>", lambda: f'<div class="cookie-notice"><p>{say(25)}</p></div>', lambda: f'<div id="comments"><p>{say(60)}</p><p>{say(30)}</p></div>', lambda: f'<div class="ad-slot"><p>{say(12)}</p></div>', lambda: f"<form><label>{say(3)}</label><input></form>", lambda: f"<script>var x = '{say(9)}';</script>"]
+    frames = [
+        "<article>{}</article>", '<main id="content">{}</main>', '<div class="content">{}</div>',
+        '<div class="page with-sidebar"><article>{}</article></div>', '<div class="post-wrap"><div class="entry">{}</div></div>',
+        "<table><tr><td>{}</td></tr></table>"
+    ]
+    junk = [
+        lambda: f"<nav>{menu()}</nav>", lambda: f'<div class="sidebar">{menu()}</div>', lambda: f"<footer><p>{say(15)}</p></footer>",
+        lambda: f'<div class="cookie-notice"><p>{say(25)}</p></div>', lambda: f'<div id="comments"><p>{say(60)}</p><p>{say(30)}</p></div>',
+        lambda: f'<div class="ad-slot"><p>{say(12)}</p></div>', lambda: f"<form><label>{say(3)}</label><input></form>",
+        lambda: f"<script>var x = '{say(9)}';</script>"
+    ]
     for _ in range(120):
         lines = [say(5).rstrip(".")] + [say(rng.choice([6, 40, 60, 90])) for _ in range(rng.randrange(2, 7))] + [say(60)]
         body = f"<h1>{lines[0]}</h1>" + "".join(f"<p>{x}</p>" + (rng.choice(junk[5:])() if rng.random() < 0.2 else "") for x in lines[1:])

@@ -6,7 +6,10 @@ from strataport.llm import kernels as K
 from strataport.llm.embedding_dedup import NEAREST, SHARED, describe, near_vectors, unit
 from strataport.llm.language_id import SEGMENT, Network, identify, labelled, pooled, train
 
-WORDS = {"en": "the of and with that this from which their would".split(), "de": "der die und nicht mit für über werden auch eine".split(), "fr": "les des une dans pour est avec être où ça".split()}
+WORDS = {
+    "en": "the of and with that this from which their would".split(), "de": "der die und nicht mit für über werden auch eine".split(),
+    "fr": "les des une dans pour est avec être où ça".split()
+}
 
 
 def text(rng, lang, n):
@@ -85,8 +88,13 @@ def test_near_vectors(spark):
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((8, 4))
     rows = [(i, (centres[i % 8] + 0.15 * rng.standard_normal(4)).tolist()) for i in range(300)]
-    rows += [(300, rows[0][1]), (301, rows[0][1]), (302, None), (303, []), (304, [0.0] * 4), (305, [1.0, None, 0.0, 0.0]), (306, [float("nan")] * 4), (307, [float("inf"), 1.0, 1.0, 1.0]), (None, rows[0][1]), (308, [1.0, 2.0]), (309, [1e200, 0.0, 0.0, 0.0]), (310, [1e-200, 0.0, 0.0, 0.0])]
-    got = {r.vec_id: r for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as kept"), pivots=24, nearest=12, shared=1).collect()}
+    rows += [
+        (300, rows[0][1]), (301, rows[0][1]), (302, None), (303, []), (304, [0.0] * 4), (305, [1.0, None, 0.0, 0.0]), (306, [float("nan")] * 4),
+        (307, [float("inf"), 1.0, 1.0, 1.0]), (None, rows[0][1]), (308, [1.0, 2.0]), (309, [1e200, 0.0, 0.0, 0.0]), (310, [1e-200, 0.0, 0.0, 0.0])
+    ]
+    got = {r.vec_id: r for r in near_vectors(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as kept"), pivots=24, nearest=12, shared=1
+    ).collect()}
     want = brute(rows)
     assert len(got) == len(rows)
     found = sum(got[i].n_links for i in want)

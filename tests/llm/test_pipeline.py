@@ -10,7 +10,11 @@ EN = "the of and with that this from which their would be in a for on as by"
 def documents(spark):
     base = " ".join(EN.split() * 5)
     other = " ".join(reversed(EN.split() * 6)) + " unlike the first of them"
-    rows = [(1, base, "en", "a", 1), (2, base + " tail", "en", "b", 1), (3, None, "en", None, None), (4, "", None, "a", 0), (5, "12 %%", "en", "a", 5), (6, other, "en", "a", 2), (7, f"x with\ny of\nz and\n{other} seven", "en", "b", 3), (8, "x with\ny of\nz and\nthe end of that with which", "en", "b", 3)]
+    rows = [
+        (1, base, "en", "a", 1), (2, base + " tail", "en", "b", 1), (3, None, "en", None, None), (4, "", None, "a", 0), (5, "12 %%", "en", "a", 5),
+        (6, other, "en", "a", 2), (7, f"x with\ny of\nz and\n{other} seven", "en", "b", 3),
+        (8, "x with\ny of\nz and\nthe end of that with which", "en", "b", 3)
+    ]
     rows += [(i, f"{' '.join(EN.split()[i % 5 :])} number {i} of the and with a{i} b{i} c{i} d{i} e{i}", "en", "a", 1) for i in range(20, 90)]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 

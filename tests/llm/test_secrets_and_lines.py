@@ -19,7 +19,10 @@ def base(text):
 
 def test_base_spans_equal_regular_expressions(spark):
     rng = random.Random(4)
-    bits = ["password", "Secret", "TOKEN", "api_key", "apikey", ": ", " = ", '"', "'", "abcdef", "abc", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "é😀", " ", "\n", "token: abcdefgh", "."]
+    bits = [
+        "password", "Secret", "TOKEN", "api_key", "apikey", ": ", " = ", '"', "'", "abcdef", "abc", "AKIA", "ABCDEFGH12345678", "0123456789abcdef",
+        "é😀", " ", "\n", "token: abcdefgh", "."
+    ]
     rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(14))), "s") for i in range(400)] + [(400, None, None), (401, "", "s"), (402, "secret=token: abcdefgh", "s")]
     got = scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "0 as spans"))
     for r in got.collect():
@@ -31,7 +34,10 @@ def test_base_spans_equal_regular_expressions(spark):
 
 def test_ownership(spark):
     mine, copied = "Zq8xK1vN4mTt7LpW2sYd9R", "Aa1Bb2Cc3Dd4Ee5Ff6Gg7H"
-    rows = [(1, f"use {mine} here", "x"), (1, f"use {mine} here", "x"), (2, f"as {mine}", "x"), (3, copied, "x"), (4, copied, "y"), (5, "nothing", "y"), (None, f"{mine} {copied}", "x")]
+    rows = [
+        (1, f"use {mine} here", "x"), (1, f"use {mine} here", "x"), (2, f"as {mine}", "x"), (3, copied, "x"), (4, copied, "y"), (5, "nothing", "y"),
+        (None, f"{mine} {copied}", "x")
+    ]
     got = sorted(((r.doc_id, r.spans, r.n_owned, r.n_copied) for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()), key=str)
     want = [(1, "owned:4:26", 1, 0), (1, "owned:4:26", 1, 0), (2, "owned:3:25", 1, 0), (3, "", 0, 1), (4, "", 0, 1), (5, "", 0, 0), (None, "owned:0:22", 1, 1)]
     assert got == sorted(want, key=str)
@@ -41,7 +47,10 @@ def test_ownership(spark):
 def test_repositories_of_one_owner(spark):
     """One place, several repositories of one owner, several owners."""
     one, spread, copied = "Zq8xK1vN4mTt7LpW2sYd9R", "Hh3Jj5Kk7Ll9Mm1Nn2Pp4Q", "Aa1Bb2Cc3Dd4Ee5Ff6Gg7H"
-    rows = [(1, one, "x", "r1"), (2, one, "x", "r1"), (3, f"token={spread}", "x", "r1"), (4, spread, "x", "r2"), (5, copied, "x", "r1"), (6, copied, "y", "r3"), (7, copied, "y", None)]
+    rows = [
+        (1, one, "x", "r1"), (2, one, "x", "r1"), (3, f"token={spread}", "x", "r1"), (4, spread, "x", "r2"), (5, copied, "x", "r1"),
+        (6, copied, "y", "r3"), (7, copied, "y", None)
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
     got = {r.doc_id: (r.n_live, r.n_spread, r.n_copied) for r in scan_secrets(df, repository="repo").collect()}
     assert got == {1: (1, 0, 0), 2: (1, 0, 0), 3: (1, 1, 0), 4: (1, 1, 0), 5: (0, 0, 1), 6: (0, 0, 1), 7: (0, 0, 1)}
