@@ -65,12 +65,16 @@ def bytes_text(n: Column) -> Column:
     def of(unit: float, digits: int, name: str) -> Column:
         return F.format_string(f"%.{digits}f {name}", F.round(n / unit, digits))
 
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, of(1024.0, 1, "KB")).when(n < 1 << 30, of(float(1 << 20), 1, "MB")).otherwise(of(float(1 << 30), 2, "GB"))
+    return F.when(
+        n < 1024, F.concat(n.cast("string"), F.lit(" B"))
+    ).when(n < 1 << 20, of(1024.0, 1, "KB")).when(n < 1 << 30, of(float(1 << 20), 1, "MB")).otherwise(of(float(1 << 30), 2, "GB"))
 
 
 def duration_text(seconds: Column) -> Column:
     whole = lambda x: F.ceil(x).cast("string")
-    return F.when(seconds < 60, F.concat(seconds.cast("string"), F.lit("s"))).when(seconds < 3600, F.concat(whole(seconds / 60.0), F.lit("m"))).otherwise(F.concat(whole(seconds / 3600.0), F.lit("h")))
+    return F.when(seconds < 60, F.concat(seconds.cast("string"), F.lit("s"))).when(
+        seconds < 3600, F.concat(whole(seconds / 60.0), F.lit("m"))
+    ).otherwise(F.concat(whole(seconds / 3600.0), F.lit("h")))
 
 
 def count_text(n: Column) -> Column:

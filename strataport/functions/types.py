@@ -127,7 +127,10 @@ def failing(c: Column, source: str, target: str) -> Column | None:
 
 def of_spark(kind: str) -> str:
     """Internal name of a Spark type."""
-    known = {"smallint": "int2", "int": "int4", "bigint": "int8", "float": "float4", "double": "float8", "boolean": "bool", "string": "text", "date": "date", "timestamp_ntz": "timestamp", "timestamp": "timestamptz", "binary": "bytea"}
+    known = {
+        "smallint": "int2", "int": "int4", "bigint": "int8", "float": "float4", "double": "float8", "boolean": "bool", "string": "text",
+        "date": "date", "timestamp_ntz": "timestamp", "timestamp": "timestamptz", "binary": "bytea"
+    }
     return "numeric" if kind.startswith("decimal") else known.get(kind, kind)
 
 

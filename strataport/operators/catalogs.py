@@ -67,7 +67,9 @@ def key_members(c: Catalog) -> DataFrame:
 
 def indexes(c: Catalog) -> DataFrame:
     """Indexes that are neither the primary key nor behind a constraint: table_name, name, is_unique, columns, definition."""
-    free = c.indexes.where("not is_primary").join(c.constraints.where("index_id != 0").select(F.col("relid"), F.col("index_id").alias("indexrelid")), ["relid", "indexrelid"], "left_anti")
+    free = c.indexes.where("not is_primary").join(
+        c.constraints.where("index_id != 0").select(F.col("relid"), F.col("index_id").alias("indexrelid")), ["relid", "indexrelid"], "left_anti"
+    )
     return _named(free.join(_tables(c), "relid"), c, ["table_name", "name", "is_unique", "definition"])
 
 
@@ -118,7 +120,9 @@ def replica_identities(c: Catalog) -> DataFrame:
 
 def column_defaults(c: Catalog) -> DataFrame:
     """Every live column with its default, null where it has none: table_name, attnum, name, default."""
-    return c.relations.select(F.col("oid").alias("relid"), "table_name").join(c.attributes.where("attnum > 0 and not dropped"), "relid").select("table_name", "attnum", "name", "default")
+    return c.relations.select(F.col("oid").alias("relid"), "table_name").join(
+        c.attributes.where("attnum > 0 and not dropped"), "relid"
+    ).select("table_name", "attnum", "name", "default")
 
 
 def droppable(names: DataFrame, c: Catalog) -> DataFrame:

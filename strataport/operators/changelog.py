@@ -44,13 +44,19 @@ def relation_as_of(log: DataFrame, relation: str, is_relation: Column, version:
 BASE, COPIED, DEFAULT = -1, -2, -10
 
 
-def states(log: DataFrame, key: list[str], columns: list[str], lsn: str = "lsn", op: str = "op", sent: dict[str, Column] | None = None, place: dict[str, Column] | None = None) -> DataFrame:
+def states(
+    log: DataFrame, key: list[str], columns: list[str], lsn: str = "lsn", op: str = "op", sent: dict[str, Column] | None = None,
+    place: dict[str, Column] | None = None
+) -> DataFrame:
     """Each change as the state that it gives its key: the position if it deletes (gone) or is a full row (full), and each
     column's value with its position where it was sent. ``sent``: for a partial update whether it sent a column (all,
     for columns that aren't named); ``place``: another position for a column's value."""
     sent, place, full, at = sent or {}, place or {}, F.col(op).isin("I", "U"), F.col(lsn).cast("long")
     gives = lambda c: (full | (sent[c] & (F.col(op) == "P"))) if c in sent else F.col(op) != "D"
-    return log.select(*key, F.when(F.col(op) == "D", at).alias("gone"), F.when(full, at).alias("full"), *[F.when(gives(c), F.struct(place.get(c, at).alias("at"), F.col(c).alias("v"))).alias(c) for c in columns])
+    return log.select(
+        *key, F.when(F.col(op) == "D", at).alias("gone"), F.when(full, at).alias("full"),
+        *[F.when(gives(c), F.struct(place.get(c, at).alias("at"), F.col(c).alias("v"))).alias(c) for c in columns]
+    )
 
 
 def row_states(rows: DataFrame, key: list[str], columns: list[str], at: int = BASE) -> DataFrame:
@@ -71,7 +77,10 @@ def living(state: DataFrame, key: list[str], columns: list[str], order: list[str
     return alive.select(*key, *[F.col(c)["v"].alias(c) for c in columns]).select(*(order or [*key, *columns]))
 
 
-def compact(log: DataFrame, key: list[str], columns: list[str], lsn: str = "lsn", op: str = "op", sent: dict[str, Column] | None = None, base: DataFrame | None = None) -> DataFrame:
+def compact(
+    log: DataFrame, key: list[str], columns: list[str], lsn: str = "lsn", op: str = "op", sent: dict[str, Column] | None = None,
+    base: DataFrame | None = None
+) -> DataFrame:
     """The final row of each live key: what applying the changes one by one gives, in one aggregation. A ``base`` row is a
     full change before all others."""
     each = states(log, key, columns, lsn, op, sent)

@@ -85,10 +85,15 @@ def table_changes(decoded: DataFrame, plan: TablePlan) -> DataFrame:
     deleted = F.col("kind") == "D"
     old_key = {c: cast[c](cells[c][1]) for c in plan.key}
     new_key = {c: F.when(unsent[c], old_key[c]).otherwise(cast[c](cells[c][0])) for c in plan.key}
-    moved = (F.col("kind") == "U") & F.col("old").isNotNull() & reduce(lambda a, b: a | b, [cells[c][1]["text"].isNotNull() & ~(old_key[c].eqNullSafe(new_key[c])) for c in plan.key])
+    moved = (F.col("kind") == "U") & F.col("old").isNotNull() & reduce(
+        lambda a, b: a | b, [cells[c][1]["text"].isNotNull() & ~(old_key[c].eqNullSafe(new_key[c])) for c in plan.key]
+    )
     lost = reduce(lambda a, b: a | b, [unsent[c] & ~whole_old for c in unsent if c not in plan.key], F.lit(False))
     head = rows.withColumns({"_moved": moved, "_lost": lost})
-    head = head.where(F.when(F.col("_moved") & F.col("_lost"), F.raise_error(F.concat(F.lit(f"{plan.spec.name}: an update changes its key and leaves values unsent, at "), F.col("seq").cast("string"))).isNull()).otherwise(F.lit(True)))
+    head = head.where(F.when(
+        F.col("_moved") & F.col("_lost"),
+        F.raise_error(F.concat(F.lit(f"{plan.spec.name}: an update changes its key and leaves values unsent, at "), F.col("seq").cast("string"))).isNull()
+    ).otherwise(F.lit(True)))
     some_unsent = reduce(lambda a, b: a | b, [unsent[c] for c in unsent if c not in plan.key], F.lit(False))
     op = F.when(deleted, "D").when(F.col("kind") == "I", "I").when(F.col("_moved"), "I").when(some_unsent & ~whole_old, "P").otherwise("U")
     name = plan.spec.target_name

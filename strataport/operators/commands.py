@@ -144,7 +144,11 @@ class Migration:
                 "identity": identity.get(spec.name) or "d", "rows": uniqueness.row_count if uniqueness else rows.get(spec.name),
             })
         m = self.config.migrate
-        setting = {"slot": m.slot, "slot_exists": self.slot() is not None, "resume": resume, "log": self.log, "log_readable": self.log is not None and self.store.files.exists(self.log), "batch_size": m.batch_size, "rows_per_second": m.max_rows_per_second}
+        setting = {
+            "slot": m.slot, "slot_exists": self.slot() is not None, "resume": resume, "log": self.log,
+            "log_readable": self.log is not None and self.store.files.exists(self.log), "batch_size": m.batch_size,
+            "rows_per_second": m.max_rows_per_second
+        }
         return reconcile.preflight(self.spark, facts, setting)
 
     def migrate(self, resume: bool = False, force: bool = False, stop=lambda: False, on_batch=lambda _: None, keep_on: bool = False) -> str:
@@ -164,7 +168,10 @@ class Migration:
             query = self.follow(lambda: copying[0]) if self.log is not None else None
             try:
                 for spec in self.tables:
-                    if copy_table(self.sources[spec.name], spec, self.keys[spec.name], self.store, self.progress, m.batch_size, m.max_rows_per_second, lambda: stop() or self._failed(query), on_batch, unique=True) == "interrupted":
+                    if copy_table(
+                        self.sources[spec.name], spec, self.keys[spec.name], self.store, self.progress, m.batch_size, m.max_rows_per_second,
+                        lambda: stop() or self._failed(query), on_batch, unique=True
+                    ) == "interrupted":
                         self._raise(query)
                         return "interrupted"
                 copying[0] = False
@@ -219,7 +226,11 @@ class Migration:
                 source, key = self.sources[t.name], self.keys[t.name]
                 below = round(reconcile.sample_fraction(equal[t.name], n) * 1_000_000)
                 sample = reconcile.hashed_sample(source, key, 1_000_000, below) if below < 1_000_000 else source
-                some = reconcile.mismatches(sample, self.store.read(t.name), t, key).select(F.lit(t.name).alias("table_name"), F.concat_ws(",", *[F.concat(F.lit(f"{k}="), F.col(k).cast("string")) for k in t.target_key(key)]).alias("key"), "column_name", "kind")
+                some = reconcile.mismatches(sample, self.store.read(t.name), t, key).select(
+                    F.lit(t.name).alias("table_name"),
+                    F.concat_ws(",", *[F.concat(F.lit(f"{k}="), F.col(k).cast("string")) for k in t.target_key(key)]).alias("key"), "column_name",
+                    "kind"
+                )
                 found = some if found is None else found.unionByName(some)
         return counts, found
 
@@ -254,7 +265,9 @@ class Migration:
         owned = self.owned()
         plan = reconcile.sequence_plan({t: (self.sources[t], c, last) for t, (c, last) in owned.items()}, self.config.sequence_buffer) if owned else None
         if plan is not None:
-            self.progress.set(sequences={r.table_name: {"column": self._spec(r.table_name).target_name(r.column_name), "value": r.target_value} for r in plan.collect()})  # a row for each table
+            self.progress.set(sequences={r.table_name: {
+                "column": self._spec(r.table_name).target_name(r.column_name), "value": r.target_value
+            } for r in plan.collect()})  # a row for each table
         self.progress.set(phase="cutover")
         if plan is None:
             plan = self.spark.createDataFrame([], "table_name string, target_value long")

@@ -32,4 +32,7 @@ def acknowledged(log: DataFrame, lsn: Column, order: str, by: str) -> DataFrame:
 def batch_stats(batches: DataFrame, by: str = "table_name") -> DataFrame:
     """Per table: batches, rows, the mean of the batches' rows a second (one decimal; 0 without any), and the last batch."""
     rate = F.avg(F.col("row_count") / F.nullif(F.col("duration_ms"), F.lit(0)) * 1000)
-    return batches.groupBy(by).agg(F.count(F.lit(1)).alias("batch_count"), F.coalesce(F.sum("row_count"), F.lit(0)).alias("total_rows"), F.coalesce(F.round(rate, 1), F.lit(0.0)).alias("avg_rows_per_sec"), F.max_by("end_key", "batch_no").alias("last_key"))
+    return batches.groupBy(by).agg(
+        F.count(F.lit(1)).alias("batch_count"), F.coalesce(F.sum("row_count"), F.lit(0)).alias("total_rows"),
+        F.coalesce(F.round(rate, 1), F.lit(0.0)).alias("avg_rows_per_sec"), F.max_by("end_key", "batch_no").alias("last_key")
+    )

@@ -35,7 +35,9 @@ def numbered(df: DataFrame, key: list[str], name: str = "rn") -> DataFrame:
 def pages(df: DataFrame, key: str, size: int) -> DataFrame:
     """Every page of a table: batch_no, start_key, end_key, row_count, rows_so_far. Only keys are read and moved."""
     rows = numbered(df.select(key), [key])
-    by = rows.groupBy(F.floor((F.col("rn") - 1) / size).cast("long").alias("batch_no")).agg(F.min(key).alias("start_key"), F.max(key).alias("end_key"), F.count(F.lit(1)).alias("row_count"))
+    by = rows.groupBy(F.floor((F.col("rn") - 1) / size).cast("long").alias("batch_no")).agg(
+        F.min(key).alias("start_key"), F.max(key).alias("end_key"), F.count(F.lit(1)).alias("row_count")
+    )
     return by.withColumn("rows_so_far", F.col("batch_no") * size + F.col("row_count"))  # every page before is full
 
 
@@ -65,7 +67,9 @@ def delete_keys(target: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame
 def key_uniqueness(df: DataFrame, key: list[str], name: str) -> DataFrame:
     """Rows, distinct keys, and whether the key is unique: one aggregation by key, summed."""
     by = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    return by.agg(F.lit(name).alias("table_name"), F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.count(F.lit(1)).alias("key_count")).withColumn("is_unique", F.col("row_count") == F.col("key_count"))
+    return by.agg(
+        F.lit(name).alias("table_name"), F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.count(F.lit(1)).alias("key_count")
+    ).withColumn("is_unique", F.col("row_count") == F.col("key_count"))
 
 
 def throttle_delay(rows: Column, milliseconds: Column, rows_per_second: int | None) -> Column:

@@ -62,7 +62,10 @@ def validate(df: DataFrame, checks: Iterable[tuple[str, Column, str, str]]) -> D
             aggs.append(F.count_if(test).alias(f"f{i}"))
         rows.append((name, safety, f"f{i}" if test is not None else None, (source, T.internal(target)) in T.WARN_ONLY))
     counted = df.agg(*aggs) if aggs else df.sparkSession.range(1)
-    each = F.array(*[F.struct(F.lit(n).alias("check_name"), F.lit(s).alias("safety"), (F.col(f) if f else F.lit(None)).cast("long").alias("failing"), F.lit(w).alias("warn_only")) for n, s, f, w in rows])
+    each = F.array(*[F.struct(
+        F.lit(n).alias("check_name"), F.lit(s).alias("safety"), (F.col(f) if f else F.lit(None)).cast("long").alias("failing"),
+        F.lit(w).alias("warn_only")
+    ) for n, s, f, w in rows])
     return counted.select(F.inline(each))
 
 

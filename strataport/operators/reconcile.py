@@ -43,7 +43,10 @@ def mismatches(source: DataFrame, target: DataFrame, spec: TableSpec, key: list[
     columns = [c for c in want.columns if c not in to and c not in added]
     w, t = want.alias("w"), target.select("*", F.lit(True).alias("_here")).alias("t")
     both = w.join(t, reduce(lambda a, b: a & b, [F.col(f"w.{k}") == F.col(f"t.{k}") for k in to]), "left")
-    fields = [F.when(F.col("t._here").isNotNull() & ~F.col(f"w.{c}").eqNullSafe(F.col(f"t.{c}")), F.struct(F.lit(c).alias("column_name"), F.lit("differs").alias("kind"))) for c in columns]
+    fields = [F.when(
+        F.col("t._here").isNotNull() & ~F.col(f"w.{c}").eqNullSafe(F.col(f"t.{c}")),
+        F.struct(F.lit(c).alias("column_name"), F.lit("differs").alias("kind"))
+    ) for c in columns]
     absent = F.when(F.col("t._here").isNull(), F.struct(F.lit(None).cast("string").alias("column_name"), F.lit("missing").alias("kind")))
     found = both.select(*[F.col(f"w.{k}").alias(k) for k in to], F.explode(F.array_compact(F.array(*fields, absent))).alias("m"))
     return found.select(*to, "m.column_name", "m.kind")
@@ -52,7 +55,9 @@ def mismatches(source: DataFrame, target: DataFrame, spec: TableSpec, key: list[
 def sequence_plan(tables: dict[str, tuple[DataFrame, str, int]], buffer: int = 1_000) -> DataFrame:
     """Per table and its key column, with the source sequence's last value: max_key, last_value and target_value, the
     greater of both and a buffer."""
-    each = [df.agg(F.coalesce(F.max(c).cast("long"), F.lit(0).cast("long")).alias("max_key")).select(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), "max_key", F.lit(last).cast("long").alias("last_value")) for t, (df, c, last) in tables.items()]
+    each = [df.agg(F.coalesce(F.max(c).cast("long"), F.lit(0).cast("long")).alias("max_key")).select(
+        F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), "max_key", F.lit(last).cast("long").alias("last_value")
+    ) for t, (df, c, last) in tables.items()]
     return reduce(DataFrame.unionByName, each).withColumn("target_value", F.greatest("last_value", "max_key") + F.lit(buffer).cast("long"))
 
 
@@ -60,7 +65,9 @@ def cutover_report(counts: DataFrame, sequences: DataFrame, lag: int | None = No
     """Counts and sequences of each table, passed (all counts equal) and lag_drained (null if nobody looked), over all
     tables."""
     everything = Window.partitionBy(F.lit(0))  # a row for each table
-    return counts.join(sequences.select("table_name", "target_value"), "table_name", "left").withColumns({"passed": F.every("equal").over(everything), "lag_drained": F.lit(None if lag is None else lag == 0).cast("boolean")})
+    return counts.join(
+        sequences.select("table_name", "target_value"), "table_name", "left"
+    ).withColumns({"passed": F.every("equal").over(everything), "lag_drained": F.lit(None if lag is None else lag == 0).cast("boolean")})
 
 
 # --- preflight ---------------------------------------------------------------------------------------------------------
@@ -150,18 +157,25 @@ def readiness(both: DataFrame, spec: TableSpec) -> DataFrame:
     """Per source object: category, name, status (missing, present, needs_review, info), detail and DDL to make it."""
     table, none = X.quote_table(F.col("table_name")), F.lit(None).cast("string")
     src, tgt = both.where("side = 'source'"), both.where("side = 'target'")
-    here = tgt.select(F.col("table_name").alias("t_table"), F.col("category").alias("t_category"), F.col("name").alias("t_name"), F.col("definition").alias("t_definition"), F.col("privileges").alias("t_privileges"), F.lit(True).alias("here"))
+    here = tgt.select(
+        F.col("table_name").alias("t_table"), F.col("category").alias("t_category"), F.col("name").alias("t_name"),
+        F.col("definition").alias("t_definition"), F.col("privileges").alias("t_privileges"), F.lit(True).alias("here")
+    )
     drops, renames = F.array(*map(F.lit, spec.drops)).cast("array<string>"), spec.renames
     renamed = F.create_map(*[F.lit(x) for kv in renames.items() for x in kv]) if renames else F.lit(None).cast("map<string,string>")
     named = F.when((F.col("category") == "comment") & renamed[F.col("name")].isNotNull(), renamed[F.col("name")]).otherwise(F.col("name"))
-    src = src.withColumn("name", F.when(F.col("category") == "comment", named).otherwise(F.col("name"))).where(~((F.col("category") == "comment") & F.array_contains(drops, F.col("name"))))
+    src = src.withColumn(
+        "name", F.when(F.col("category") == "comment", named).otherwise(F.col("name"))
+    ).where(~((F.col("category") == "comment") & F.array_contains(drops, F.col("name"))))
     # an owner is compared by name, all else is found by it
     out = src.join(here, (F.col("table_name") == F.col("t_table")) & (F.col("category") == F.col("t_category")) & (F.col("name") == F.col("t_name")), "left")
     columns = F.coalesce("columns", F.array().cast("array<string>"))
     lost = F.array_intersect(columns, drops)
     moved = F.filter(columns, lambda c: renamed[c].isNotNull())
     pairs = F.array_join(F.transform(moved, lambda c: F.concat(c, F.lit("->"), renamed[c])), ", ")
-    review = F.when(F.size(lost) > 0, F.concat(F.lit("needs "), F.array_join(lost, ", "), F.lit(", which the spec drops"))).when(F.size(moved) > 0, F.concat(F.lit("rewrite for "), pairs))
+    review = F.when(
+        F.size(lost) > 0, F.concat(F.lit("needs "), F.array_join(lost, ", "), F.lit(", which the spec drops"))
+    ).when(F.size(moved) > 0, F.concat(F.lit("rewrite for "), pairs))
     kind = F.when(F.col("kind") == "f", "foreign key").when(F.col("kind") == "u", "unique constraint").when(F.col("kind") == "c", "check constraint")
     constraint = F.concat(F.lit("ALTER TABLE "), table, F.lit(" ADD CONSTRAINT "), X.quote_ident(F.col("name")), F.lit(" "), F.col("definition"), F.lit(";"))
     index = F.concat(X.concurrently(F.col("definition")), F.lit(";"))
@@ -176,12 +190,19 @@ def readiness(both: DataFrame, spec: TableSpec) -> DataFrame:
     c, present = F.col("category"), F.coalesce("here", F.lit(False))
     reviewed = c.isin("index", "constraint") & review.isNotNull()
     status = (
-        F.when(c == "sequence", "info").when((c == "grant") & present & held, "present").when(c == "grant", "missing").when((c == "comment") & present & same, "present").when(c == "comment", "missing")
+        F.when(c == "sequence", "info").when((c == "grant") & present & held, "present").when(c == "grant", "missing").when(
+            (c == "comment") & present & same, "present"
+        ).when(c == "comment", "missing")
         .when(present, "present").when(reviewed, "needs_review").otherwise("missing")
     )
     out = out.withColumn("status", status)
     s = F.col("status")
-    ddl = F.when(s.isin("present", "info"), none).when(s == "needs_review", F.concat(F.lit("-- "), review, F.lit("\n-- "), F.when(c == "index", F.concat(F.col("definition"), F.lit(";"))).otherwise(constraint))).when(c == "index", index).when(c == "constraint", F.concat(constraint, F.when(F.col("kind") == "f", "  -- once the tables it points to are there").otherwise(""))).when(c == "owner", owner).when(c == "grant", grant).when(c == "comment", comment)
+    ddl = F.when(s.isin("present", "info"), none).when(
+        s == "needs_review",
+        F.concat(F.lit("-- "), review, F.lit("\n-- "), F.when(c == "index", F.concat(F.col("definition"), F.lit(";"))).otherwise(constraint))
+    ).when(c == "index", index).when(
+        c == "constraint", F.concat(constraint, F.when(F.col("kind") == "f", "  -- once the tables it points to are there").otherwise(""))
+    ).when(c == "owner", owner).when(c == "grant", grant).when(c == "comment", comment)
     detail = (
         F.when(c == "sequence", F.concat(F.col("kind"), F.lit(": cutover sets it"))).when(c == "grant", listed).when(c == "comment", X.shortened(F.col("definition")))
         .when(c == "owner", F.concat(F.lit("role "), F.col("name"))).when(s == "present", "found by name").when(s == "needs_review", review)

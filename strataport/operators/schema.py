@@ -37,7 +37,9 @@ def catalog_of(df: DataFrame, table: str) -> DataFrame:
 
 def spec_frames(spark: SparkSession, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
     """A spec as frames: changes (name, to_type, rename, dropped and the physical shape of to_type), and added columns."""
-    changes = [(c, s.type, s.rename, s.drop, *((p.alignment, p.size, T.internal(s.type)) if s.type and (p := T.physical(s.type)) else (None, None, None))) for c, s in spec.columns.items()]
+    changes = [(
+        c, s.type, s.rename, s.drop, *((p.alignment, p.size, T.internal(s.type)) if s.type and (p := T.physical(s.type)) else (None, None, None))
+    ) for c, s in spec.columns.items()]
     adds = [(i, a.name, T.internal(a.type), a.type, T.physical(a.type).alignment, T.physical(a.type).size, a.default) for i, a in enumerate(spec.add_columns, 1)]
     return (
         spark.createDataFrame(changes, "name string, to_type string, rename string, dropped boolean, to_align int, to_size int, to_name string"),
@@ -54,7 +56,10 @@ def target_catalog(source: DataFrame, spec: TableSpec) -> DataFrame:
         "table_name", "attnum", F.coalesce("rename", "name").alias("name"), F.coalesce("to_name", "type_name").alias("type_name"), F.coalesce("to_type", "formatted_type").alias("formatted_type"),
         F.coalesce("to_align", "alignment").alias("alignment"), F.when(retyped, F.col("to_size")).otherwise(F.col("fixed_size")).alias("fixed_size"), "nullable", "default_expr",
     )
-    added = adds.select(F.lit(spec.name).alias("table_name"), (F.col("ord") + 10_000).alias("attnum"), "name", "type_name", "formatted_type", "alignment", "fixed_size", F.lit(True).alias("nullable"), "default_expr")
+    added = adds.select(
+        F.lit(spec.name).alias("table_name"), (F.col("ord") + 10_000).alias("attnum"), "name", "type_name", "formatted_type", "alignment",
+        "fixed_size", F.lit(True).alias("nullable"), "default_expr"
+    )
     return base.unionByName(added)
 
 
@@ -74,25 +79,39 @@ def diff_synthesized(source: DataFrame, spec: TableSpec) -> DataFrame:
         F.col("name").alias("source_name"), F.col("formatted_type").alias("source_type"), F.when(~gone, name).alias("target_name"), F.when(~gone, kind).alias("target_type"),
     )
     none = F.lit(None).cast("string")
-    return rows.unionByName(adds.select(F.lit(spec.name).alias("table_name"), (F.col("ord") + 10_000).alias("ord"), F.lit("added").alias("status"), none.alias("source_name"), none.alias("source_type"), F.col("name").alias("target_name"), F.col("formatted_type").alias("target_type")))
+    return rows.unionByName(adds.select(
+        F.lit(spec.name).alias("table_name"), (F.col("ord") + 10_000).alias("ord"), F.lit("added").alias("status"), none.alias("source_name"),
+        none.alias("source_type"), F.col("name").alias("target_name"), F.col("formatted_type").alias("target_type")
+    ))
 
 
 def diff_live(source: DataFrame, target: DataFrame, spec: TableSpec) -> DataFrame:
     """The same against a target's own catalog: matched by renamed name; without a match dropped; unmatched target columns
     added, after all others in their own order."""
     changes, _ = spec_frames(source.sparkSession, spec)
-    s = source.join(F.broadcast(changes.select("name", "rename")), "name", "left").select("table_name", "attnum", "name", "formatted_type", F.coalesce("rename", "name").alias("link"))
+    s = source.join(F.broadcast(changes.select("name", "rename")), "name", "left").select(
+        "table_name", "attnum", "name", "formatted_type", F.coalesce("rename", "name").alias("link")
+    )
     t = target.select(F.col("attnum").alias("t_attnum"), F.col("name").alias("t_name"), F.col("formatted_type").alias("t_type"))
     both = s.join(t, F.col("link") == F.col("t_name"), "full")
-    status = F.when(F.col("name").isNull(), "added").when(F.col("t_name").isNull(), "dropped").otherwise(_status(F.col("name"), F.col("t_name"), F.col("formatted_type"), F.col("t_type")))
-    return both.select(F.coalesce("table_name", F.lit(spec.name)).alias("table_name"), F.coalesce("attnum", F.col("t_attnum") + 10_000).alias("ord"), status.alias("status"), F.col("name").alias("source_name"), F.col("formatted_type").alias("source_type"), F.col("t_name").alias("target_name"), F.col("t_type").alias("target_type"))
+    status = F.when(F.col("name").isNull(), "added").when(F.col("t_name").isNull(), "dropped").otherwise(_status(
+        F.col("name"), F.col("t_name"), F.col("formatted_type"), F.col("t_type")
+    ))
+    return both.select(
+        F.coalesce("table_name", F.lit(spec.name)).alias("table_name"), F.coalesce("attnum", F.col("t_attnum") + 10_000).alias("ord"),
+        status.alias("status"), F.col("name").alias("source_name"), F.col("formatted_type").alias("source_type"),
+        F.col("t_name").alias("target_name"), F.col("t_type").alias("target_type")
+    )
 
 
 def _key(optimal: bool) -> Column:
     fixed = F.col("fixed_size")
     if not optimal:
         return F.struct(F.col("attnum").alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"), F.lit(0).alias("d"))
-    return F.struct(fixed.isNull().cast("int").alias("a"), F.when(fixed.isNull(), 0).otherwise(-F.col("alignment")).alias("b"), F.when(fixed.isNull(), 0).otherwise(-fixed).alias("c"), F.col("attnum").alias("d"))
+    return F.struct(
+        fixed.isNull().cast("int").alias("a"), F.when(fixed.isNull(), 0).otherwise(-F.col("alignment")).alias("b"),
+        F.when(fixed.isNull(), 0).otherwise(-fixed).alias("c"), F.col("attnum").alias("d")
+    )
 
 
 def layout(columns: DataFrame, optimal: bool = False) -> DataFrame:
@@ -101,13 +120,19 @@ def layout(columns: DataFrame, optimal: bool = False) -> DataFrame:
 
     A fold, as each offset depends on the one before; a group has the columns of one table.
     """
-    one = F.struct(_key(optimal).alias("key"), F.col("name"), F.when(F.col("fixed_size").isNull(), 4).otherwise(F.col("alignment")).alias("align"), F.coalesce("fixed_size", F.lit(4)).alias("size"))
+    one = F.struct(
+        _key(optimal).alias("key"), F.col("name"), F.when(F.col("fixed_size").isNull(), 4).otherwise(F.col("alignment")).alias("align"),
+        F.coalesce("fixed_size", F.lit(4)).alias("size")
+    )
     zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<name:string,offset:int,padding:int,size:int>>").alias("out"))
 
     def place(acc: Column, c: Column) -> Column:
         pad = F.pmod(c["align"] - F.pmod(acc["end"], c["align"]), c["align"])
         start = acc["end"] + pad
-        return F.struct((start + c["size"]).alias("end"), F.concat(acc["out"], F.array(F.struct(c["name"].alias("name"), start.alias("offset"), pad.alias("padding"), c["size"].alias("size")))).alias("out"))
+        return F.struct(
+            (start + c["size"]).alias("end"),
+            F.concat(acc["out"], F.array(F.struct(c["name"].alias("name"), start.alias("offset"), pad.alias("padding"), c["size"].alias("size")))).alias("out")
+        )
 
     folded = columns.groupBy("table_name").agg(F.array_sort(F.collect_list(one)).alias("c")).select("table_name", F.aggregate("c", zero, place)["out"].alias("out"))
     return folded.select("table_name", F.posexplode("out").alias("pos", "c")).select("table_name", (F.col("pos") + 1).alias("pos"), "c.name", "c.offset", "c.padding", "c.size")
@@ -132,12 +157,17 @@ def ddl_lines(columns: DataFrame, key: list[str] = (), optimal: bool = False) ->
     ordered = ordered.withColumns({"qw": F.max(F.length("q")).over(per_table), "tw": F.max(F.length("t")).over(per_table)})
     pad = lambda c, n: F.concat(c, F.repeat(F.lit(" "), n - F.length(c)))
     default = F.col("default_expr").isNotNull() & ~F.col("default_expr").startswith("nextval(") & ~F.col("default_expr").rlike(r"(?i)\bgenerated\b")
-    line = F.concat_ws("  ", F.concat(F.lit("  "), pad(F.col("q"), F.col("qw")), F.lit("  "), pad(F.col("t"), F.col("tw"))), F.when(~F.col("nullable"), "NOT NULL"), F.when(default, F.concat(F.lit("DEFAULT "), F.col("default_expr"))))
+    line = F.concat_ws(
+        "  ", F.concat(F.lit("  "), pad(F.col("q"), F.col("qw")), F.lit("  "), pad(F.col("t"), F.col("tw"))), F.when(~F.col("nullable"), "NOT NULL"),
+        F.when(default, F.concat(F.lit("DEFAULT "), F.col("default_expr")))
+    )
     lines = ordered.select("table_name", "pos", F.rtrim(line).alias("line"))
     if not key:
         return lines
     names = F.concat_ws(", ", *[X.quote_ident(F.lit(k)) for k in key])
-    return lines.unionByName(lines.groupBy("table_name").agg((F.max("pos") + 1).alias("pos")).select("table_name", "pos", F.concat(F.lit("  PRIMARY KEY ("), names, F.lit(")")).alias("line")))
+    return lines.unionByName(lines.groupBy("table_name").agg((F.max("pos") + 1).alias("pos")).select(
+        "table_name", "pos", F.concat(F.lit("  PRIMARY KEY ("), names, F.lit(")")).alias("line")
+    ))
 
 
 def create_table(columns: DataFrame, key: list[str] = (), optimal: bool = False, schema: str = "public") -> DataFrame:

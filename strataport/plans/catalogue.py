@@ -43,7 +43,14 @@ def _double(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("double") for n in names})
 
 
-ORDERS = table_spec({"name": "orders", "columns": {"o_custkey": {"type": "integer"}, "o_totalprice": {"type": "numeric(18,4)", "rename": "total_price"}, "o_orderstatus": {"rename": "status"}, "o_orderpriority": {"type": "varchar(15)"}}, "add_columns": [{"name": "migrated", "type": "boolean", "default": "false"}]})
+ORDERS = table_spec({
+    "name": "orders",
+    "columns": {
+        "o_custkey": {"type": "integer"}, "o_totalprice": {"type": "numeric(18,4)", "rename": "total_price"}, "o_orderstatus": {"rename": "status"},
+        "o_orderpriority": {"type": "varchar(15)"}
+    },
+    "add_columns": [{"name": "migrated", "type": "boolean", "default": "false"}]
+})
 CUSTOMER = table_spec({"name": "customer", "columns": {"c_acctbal": {"type": "numeric(12,2)"}, "c_mktsegment": {"drop": True}}})
 PART = table_spec({"name": "part", "optimize_column_order": True, "columns": {"p_size": {"type": "bigint"}, "p_retailprice": {"type": "real"}}})
 
@@ -71,7 +78,11 @@ def spec_reorder_part(spark, d):
 @_query("SELECT l_orderkey, l_partkey, l_linenumber::BIGINT AS as_bigint, l_linenumber::DOUBLE AS as_double, l_quantity::DECIMAL(18,4)::DOUBLE AS as_numeric FROM lineitem")
 def cast_widen_suite(spark, d):
     n, q = F.col("l_linenumber"), F.col("l_quantity")
-    return _t(spark, d, "lineitem").select("l_orderkey", "l_partkey", T.cast_column(n, "int4", "bigint").alias("as_bigint"), T.cast_column(n, "int4", "double precision").alias("as_double"), T.cast_column(q, "float8", "numeric(18,4)").cast("double").alias("as_numeric"))
+    return _t(spark, d, "lineitem").select(
+        "l_orderkey", "l_partkey", T.cast_column(n, "int4", "bigint").alias("as_bigint"),
+        T.cast_column(n, "int4", "double precision").alias("as_double"),
+        T.cast_column(q, "float8", "numeric(18,4)").cast("double").alias("as_numeric")
+    )
 
 
 @_query("SELECT o_orderkey, TRY_CAST(o_orderkey * 200000 AS INTEGER)::DOUBLE AS narrowed FROM orders")
@@ -139,7 +150,10 @@ def _checks_sql(*checks: tuple[str, str, str, str]) -> str:
     return " UNION ALL ".join(f"SELECT '{n}' AS check_name, 'validated' AS safety, count(*) FILTER ({p})::BIGINT AS failing, {w} AS warn_only FROM {t}" for n, p, t, w in checks)
 
 
-@_query(_checks_sql(("key to integer", "o_orderkey * 200000 NOT BETWEEN -2147483648 AND 2147483647", "orders", "false"), ("key to smallint", "o_orderkey * 10 NOT BETWEEN -32768 AND 32767", "orders", "false")))
+@_query(_checks_sql(
+    ("key to integer", "o_orderkey * 200000 NOT BETWEEN -2147483648 AND 2147483647", "orders", "false"),
+    ("key to smallint", "o_orderkey * 10 NOT BETWEEN -32768 AND 32767", "orders", "false")
+))
 def validate_bigint(spark, d):
     k = F.col("o_orderkey")
     return validate(_t(spark, d, "orders"), [("key to integer", k * 200_000, "int8", "integer"), ("key to smallint", k * 10, "int8", "smallint")])
@@ -214,7 +228,10 @@ def delete_by_key(spark, d):
 @_query(f"SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus FROM ({_ODD})")
 def partial_update(spark, d):
     rows, target = _pair(spark, d)
-    changes = rows.where("o_orderkey % 7 = 0").select("o_orderkey", F.lit(None).cast("double").alias("o_totalprice"), F.lit(None).cast("string").alias("o_orderstatus"), F.lit(False).alias("sent_o_totalprice"), F.lit(True).alias("sent_o_orderstatus"))
+    changes = rows.where("o_orderkey % 7 = 0").select(
+        "o_orderkey", F.lit(None).cast("double").alias("o_totalprice"), F.lit(None).cast("string").alias("o_orderstatus"),
+        F.lit(False).alias("sent_o_totalprice"), F.lit(True).alias("sent_o_orderstatus")
+    )
     return P.partial_update(target, changes, ["o_orderkey"], ["o_totalprice", "o_orderstatus"])
 
 
@@ -284,12 +301,18 @@ def ack_monotone(spark, d):
 @_query("SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders")
 def wal_decode_roundtrip(spark, d):
     columns = ["o_orderkey", "o_orderstatus", "o_orderpriority"]
-    rows = _t(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_orderkey").cast("string").alias("o_orderkey"), "o_orderstatus", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderpriority")).alias("o_orderpriority"))
+    rows = _t(spark, d, "orders").select(
+        F.col("o_orderkey").alias("seq"), F.col("o_orderkey").cast("string").alias("o_orderkey"), "o_orderstatus",
+        F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderpriority")).alias("o_orderpriority")
+    )
     got = wal.decode(wal.encode_inserts(rows, 7, columns), [wal.Relation(7, "public", "orders", "d", tuple(columns))])
     return got.select(*[F.col("new")[i]["text"].alias(c) for i, c in enumerate(columns)])
 
 
-USERS = table_spec({"name": "users", "columns": {"value": {"type": "numeric(18,4)", "rename": "amount"}, "user_id": {"rename": "uid"}}, "add_columns": [{"name": "seen", "type": "boolean", "default": "true"}]})
+USERS = table_spec({
+    "name": "users", "columns": {"value": {"type": "numeric(18,4)", "rename": "amount"}, "user_id": {"rename": "uid"}},
+    "add_columns": [{"name": "seen", "type": "boolean", "default": "true"}]
+})
 _USERS = wal.Relation(7, "public", "users", "d", ("user_id", "value", "props", "spare"))
 
 
@@ -300,7 +323,9 @@ def _binary_log(spark, d, relations=(_USERS,)):
     kind, none = F.col("event_type"), F.lit(None).cast("string")
     new = wal.tuple_of(wal.cell(F.col("k")), wal.cell(F.col("v")), wal.cell(F.col("props"), kind == "view"), wal.cell(none))
     old = wal.tuple_of(wal.cell(F.col("k")), wal.cell(none), wal.cell(none), wal.cell(none))
-    row = F.when(kind == "signup", wal.insert_of(7, new)).when(kind == "error", wal.delete_of(7, old)).when(kind == "click", wal.update_of(7, new, old)).otherwise(wal.update_of(7, new))
+    row = F.when(kind == "signup", wal.insert_of(7, new)).when(kind == "error", wal.delete_of(7, old)).when(
+        kind == "click", wal.update_of(7, new, old)
+    ).otherwise(wal.update_of(7, new))
     at = F.col("event_id")
     each = F.array(wal.begin_of(at, F.lit(wal.EPOCH), at), row, wal.commit_of(at, at, F.lit(wal.EPOCH)))
     rows = e.select((at * 3 + 100).alias("first"), F.posexplode(each).alias("i", "message")).select((F.col("first") + F.col("i")).alias("seq"), "message")
@@ -327,14 +352,20 @@ def wal_decode_all_kinds(spark, d):
     got = wal.decode(_binary_log(spark, d))
     chars = lambda c: F.sum(F.coalesce(F.aggregate(c, F.lit(0), lambda a, x: a + F.coalesce(F.length(x["text"]), F.lit(0))), F.lit(0))).cast("long")
     unsent = F.sum(F.coalesce(F.size(F.filter("new", lambda x: x["state"] == "u")), F.lit(0))).cast("long")
-    return got.groupBy("kind", F.coalesce("old_kind", F.lit("")).alias("old_kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("places"), chars("new").alias("new_chars"), chars("old").alias("old_chars"), unsent.alias("unsent"), F.coalesce(F.sum("lsn"), F.lit(0)).alias("positions"))
+    return got.groupBy("kind", F.coalesce("old_kind", F.lit("")).alias("old_kind")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("seq").alias("places"), chars("new").alias("new_chars"), chars("old").alias("old_chars"),
+        unsent.alias("unsent"), F.coalesce(F.sum("lsn"), F.lit(0)).alias("positions")
+    )
 
 
 @_query("SELECT 'public.orders' AS relation, true AS applied, count(*) FILTER (o_orderkey % 3 = 0) AS n FROM orders UNION ALL SELECT 'audit.orders', false, count(*) FILTER (o_orderkey % 3 <> 0) FROM orders")
 def route_namespace(spark, d):
     """Two schemas with a table of one name: only the planned one's changes are applied."""
     relations = [wal.Relation(1, "public", "orders", "d", ("o_orderkey",)), wal.Relation(2, "audit", "orders", "d", ("o_orderkey",))]
-    orders = _t(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(2).alias("r"), F.col("o_orderkey").cast("string").alias("k"))
+    orders = _t(spark, d, "orders").select(
+        F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(2).alias("r"),
+        F.col("o_orderkey").cast("string").alias("k")
+    )
     decoded = wal.decode(orders.select("seq", wal.insert_of(F.col("r"), wal.tuple_of(wal.cell(F.col("k")))).alias("message")), relations)
     plan = H.plan_of(TableSpec("orders"), _t(spark, d, "orders").select("o_orderkey"), ["o_orderkey"])
     name = F.concat_ws(".", "namespace", "name")
@@ -453,7 +484,10 @@ def padding_negative(spark, d):
     return S.padding_report(S.catalog(spark, "negative", _NEGATIVE))
 
 
-_MIGRATED = [(("list_price_precise" if n == "list_price" else n), {"id": "bigint", "agent_id": "bigint", "list_price": "numeric(18,4)", "listed_at": "timestamptz", "created_at": "timestamptz"}.get(n, k)) for n, k, *_ in demo.LISTINGS] + [("updated_at", "timestamptz")]
+_MIGRATED = [(
+    ("list_price_precise" if n == "list_price" else n),
+    {"id": "bigint", "agent_id": "bigint", "list_price": "numeric(18,4)", "listed_at": "timestamptz", "created_at": "timestamptz"}.get(n, k)
+) for n, k, *_ in demo.LISTINGS] + [("updated_at", "timestamptz")]
 
 
 @_query(f"""
@@ -470,7 +504,14 @@ def diff_padding_summary(spark, d):
 
 
 _OLD = [("id", "integer"), ("active", "boolean"), ("list_price", "numeric(10,2)"), ("status_code", "varchar(10)"), ("legacy_notes", "text")]
-_MULTI = TableSpec("items", table_spec({"name": "items", "columns": {"id": {"type": "bigint"}, "list_price": {"type": "numeric(18,4)", "rename": "price"}, "status_code": {"rename": "status"}, "legacy_notes": {"drop": True}}}).columns, table_spec({"name": "items", "add_columns": [{"name": "updated_at", "type": "timestamptz"}]}).add_columns)
+_MULTI = TableSpec(
+    "items",
+    table_spec({
+        "name": "items",
+        "columns": {"id": {"type": "bigint"}, "list_price": {"type": "numeric(18,4)", "rename": "price"}, "status_code": {"rename": "status"}, "legacy_notes": {"drop": True}}
+    }).columns,
+    table_spec({"name": "items", "add_columns": [{"name": "updated_at", "type": "timestamptz"}]}).add_columns
+)
 _NEW = [("id", "bigint"), ("price", "numeric(18,4)"), ("status", "varchar(10)"), ("new_col", "text")]
 _CHANGES = "(VALUES ('id', 'bigint', NULL, false), ('list_price', 'numeric(18,4)', 'price', false), ('status_code', NULL, 'status', false), ('legacy_notes', NULL, NULL, true)) AS k(name, to_type, to_name, gone)"
 _STATUS = "CASE WHEN lower(s_type) <> lower(t_type) AND s_name <> t_name THEN 'type_and_renamed' WHEN lower(s_type) <> lower(t_type) THEN 'type_changed' WHEN s_name <> t_name THEN 'renamed' ELSE 'unchanged' END"
@@ -495,7 +536,10 @@ def schema_diff_live(spark, d):
     return S.diff_live(S.catalog(spark, "items", _OLD), S.catalog(spark, "items", _NEW), _MULTI)
 
 
-_DDL = [("id", "integer", False, "nextval('x')"), ("order", "character varying(20)", False), ("MyCol", "numeric(10,2)", True), ("created_at", "timestamp without time zone", False, "now()")]
+_DDL = [
+    ("id", "integer", False, "nextval('x')"), ("order", "character varying(20)", False), ("MyCol", "numeric(10,2)", True),
+    ("created_at", "timestamp without time zone", False, "now()")
+]
 
 
 @_query("""
@@ -583,15 +627,22 @@ def _object_rows() -> list[dict]:
     s = lambda **x: {"side": "source", "table_name": "members", **x}
     return [
         s(category="index", name="members_email_idx", definition="CREATE INDEX members_email_idx ON public.members USING btree (email)", is_unique=False, columns=["email"]),
-        s(category="index", name="members_status_idx", definition="CREATE UNIQUE INDEX members_status_idx ON public.members USING btree (status)", is_unique=True, columns=["status"]),
+        s(
+            category="index", name="members_status_idx", definition="CREATE UNIQUE INDEX members_status_idx ON public.members USING btree (status)",
+            is_unique=True, columns=["status"]
+        ),
         s(category="index", name="members_org_idx", definition="CREATE UNIQUE INDEX members_org_idx ON public.members USING btree (org_id)", is_unique=True, columns=["org_id"]),
         s(category="constraint", name="members_check", kind="c", definition="CHECK ((email <> ''::text))", columns=["email"]),
         s(category="constraint", name="members_org_fk", kind="f", definition="FOREIGN KEY (org_id) REFERENCES orgs(id)", columns=["org_id"]),
         s(category="constraint", name="members_old", kind="u", definition="UNIQUE (old)", columns=["old"]),
         s(category="sequence", name="id", kind="identity"),
         s(category="owner", name="admin"), s(category="grant", name="PUBLIC", privileges=["SELECT"]), s(category="grant", name="Writer", privileges=["INSERT", "UPDATE"]),
-        s(category="comment", name="(table)", definition="it's members"), s(category="comment", name="status", definition="x" * 41), s(category="comment", name="old", definition="gone"),
-        {"side": "target", "table_name": "members", "category": "index", "name": "members_org_idx"}, {"side": "target", "table_name": "members", "category": "grant", "name": "Writer", "privileges": ["INSERT"]},
+        s(
+            category="comment", name="(table)", definition="it's members"
+        ), s(category="comment", name="status", definition="x" * 41), s(category="comment", name="old", definition="gone"),
+        {"side": "target", "table_name": "members", "category": "index", "name": "members_org_idx"}, {
+            "side": "target", "table_name": "members", "category": "grant", "name": "Writer", "privileges": ["INSERT"]
+        },
         {"side": "target", "table_name": "members", "category": "comment", "name": "(table)", "definition": "it's members"},
     ]
 
@@ -619,7 +670,10 @@ def readiness_manifest(spark, d):
 
 @_query("SELECT * FROM (VALUES ('t', 'PUBLIC', 'SELECT'), ('t', 'bob', 'INSERT,UPDATE')) AS v(table_name, grantee, privileges)")
 def grants_grouped(spark, d):
-    acl = spark.createDataFrame([("t", "amy", "0", "SELECT"), ("t", "amy", "bob", "UPDATE"), ("t", "amy", "bob", "INSERT"), ("t", "amy", "amy", "DELETE")], "table_name string, owner string, grantee string, privilege string")
+    acl = spark.createDataFrame(
+        [("t", "amy", "0", "SELECT"), ("t", "amy", "bob", "UPDATE"), ("t", "amy", "bob", "INSERT"), ("t", "amy", "amy", "DELETE")],
+        "table_name string, owner string, grantee string, privilege string"
+    )
     return R.grouped_grants(acl).withColumn("privileges", F.array_join("privileges", ","))
 
 
@@ -633,7 +687,13 @@ def index_columns_ordered(spark, d):
 def preflight_summary(spark, d):
     score = table_spec({"name": "a", "columns": {"id": {"type": "bigint"}, "score": {"type": "integer"}, "rating": {"type": "real"}}})
     lost = table_spec({"name": "b", "columns": {"id": {"drop": True}, "nope": {"type": "integer"}}})
-    return R.preflight_summary(R.preflight(spark, [{"spec": score, "key": ["id"], "columns": {"id": "int4", "score": "int8", "rating": "float8"}, "failing": {"score": 1}}, {"spec": lost, "key": ["id"], "columns": {"id": "int4"}, "identity": "n"}]))
+    return R.preflight_summary(R.preflight(
+        spark,
+        [
+            {"spec": score, "key": ["id"], "columns": {"id": "int4", "score": "int8", "rating": "float8"}, "failing": {"score": 1}},
+            {"spec": lost, "key": ["id"], "columns": {"id": "int4"}, "identity": "n"}
+        ]
+    ))
 
 
 # --- catalog scans -----------------------------------------------------------------------------------------------------
@@ -641,19 +701,41 @@ def preflight_summary(spark, d):
 
 def _catalog(spark, d) -> K.Catalog:
     """A catalog with a table of five columns for each order."""
-    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("oid"), F.concat(F.lit("t"), "o_orderkey").alias("table_name"), F.concat(F.lit("r"), F.col("o_custkey") % 5).alias("owner"))
+    o = _t(spark, d, "orders").select(
+        F.col("o_orderkey").alias("oid"), F.concat(F.lit("t"), "o_orderkey").alias("table_name"),
+        F.concat(F.lit("r"), F.col("o_custkey") % 5).alias("owner")
+    )
     i, n = F.col("oid"), F.lit(None)
     grant = lambda who, p: F.struct(who.alias("grantee"), F.lit(p).alias("privilege"))
     acl = F.array(grant(F.col("owner"), "SELECT"), grant(F.lit("0"), "SELECT"), grant(F.lit("r1"), "UPDATE"), grant(F.lit("r1"), "INSERT"))
-    relations = o.select(i, F.lit("public").alias("namespace"), "table_name", "owner", F.when(i % 2 == 0, "d").otherwise("f").alias("identity"), F.when(i % 5 == 0, -1).when(i % 7 != 0, i * 10).cast("long").alias("estimate"), F.when(i % 3 == 0, acl).alias("acl"))
+    relations = o.select(
+        i, F.lit("public").alias("namespace"), "table_name", "owner", F.when(i % 2 == 0, "d").otherwise("f").alias("identity"),
+        F.when(i % 5 == 0, -1).when(i % 7 != 0, i * 10).cast("long").alias("estimate"), F.when(i % 3 == 0, acl).alias("acl")
+    )
     a = o.select(i.alias("relid"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("attnum"))
     r, k = F.col("relid"), F.col("attnum")
-    attributes = a.select("relid", "attnum", F.concat(F.lit("c"), "attnum").alias("name"), ((k == 5) & (r % 2 == 0)).alias("dropped"), F.when((k == 1) & (r % 3 == 0), "a").otherwise("").alias("identity"), F.when((k == 2) & (r % 4 == 0), "nextval('s')").when(k == 3, "now()").alias("default"), F.when((k == 4) & (r % 6 == 0), "fourth").alias("comment"))
+    attributes = a.select(
+        "relid", "attnum", F.concat(F.lit("c"), "attnum").alias("name"), ((k == 5) & (r % 2 == 0)).alias("dropped"),
+        F.when((k == 1) & (r % 3 == 0), "a").otherwise("").alias("identity"),
+        F.when((k == 2) & (r % 4 == 0), "nextval('s')").when(k == 3, "now()").alias("default"),
+        F.when((k == 4) & (r % 6 == 0), "fourth").alias("comment")
+    )
     x = o.select(i.alias("relid"), F.explode(F.array(*map(F.lit, range(3)))).alias("j"))
     j = F.col("j")
-    indexes = x.select((r * 10 + j).alias("indexrelid"), "relid", F.concat(F.lit("i"), "j").alias("name"), (j < 2).alias("is_unique"), (j == 0).alias("is_primary"), F.when(j == 0, F.array(F.lit(2), F.lit(1))).when(j == 1, F.array(F.lit(3))).otherwise(F.array(F.lit(4), F.lit(0), F.lit(1))).alias("attnums"), F.concat(F.lit("d"), "j").alias("definition"))
-    constraints = x.select("relid", F.concat(F.lit("k"), "j").alias("name"), F.element_at(F.array(*map(F.lit, "puc")), j + 1).alias("kind"), F.array(F.lit(3), F.lit(1)).alias("attnums"), F.when((j == 1) & (r % 2 == 0), r * 10 + 1).otherwise(0).alias("index_id"), F.concat(F.lit("def"), "j").alias("definition"))
-    sequences = o.select((i * 10 + 9).alias("oid"), F.concat(F.lit("s"), "oid").alias("name"), i.alias("relid"), F.lit(1).alias("attnum"), F.when(i % 4 == 0, "n").when(i % 4 == 1, "a").otherwise("i").alias("deptype"), (i * 2).alias("last_value"), (i % 2 == 0).alias("is_called"))
+    indexes = x.select(
+        (r * 10 + j).alias("indexrelid"), "relid", F.concat(F.lit("i"), "j").alias("name"), (j < 2).alias("is_unique"), (j == 0).alias("is_primary"),
+        F.when(j == 0, F.array(F.lit(2), F.lit(1))).when(j == 1, F.array(F.lit(3))).otherwise(F.array(F.lit(4), F.lit(0), F.lit(1))).alias("attnums"),
+        F.concat(F.lit("d"), "j").alias("definition")
+    )
+    constraints = x.select(
+        "relid", F.concat(F.lit("k"), "j").alias("name"), F.element_at(F.array(*map(F.lit, "puc")), j + 1).alias("kind"),
+        F.array(F.lit(3), F.lit(1)).alias("attnums"), F.when((j == 1) & (r % 2 == 0), r * 10 + 1).otherwise(0).alias("index_id"),
+        F.concat(F.lit("def"), "j").alias("definition")
+    )
+    sequences = o.select(
+        (i * 10 + 9).alias("oid"), F.concat(F.lit("s"), "oid").alias("name"), i.alias("relid"), F.lit(1).alias("attnum"),
+        F.when(i % 4 == 0, "n").when(i % 4 == 1, "a").otherwise("i").alias("deptype"), (i * 2).alias("last_value"), (i % 2 == 0).alias("is_called")
+    )
     return K.Catalog(relations, attributes, indexes, constraints, sequences, o.where(i % 9 == 0).select(i.alias("relid"), F.lit("table").alias("comment")))
 
 

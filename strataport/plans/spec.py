@@ -144,7 +144,9 @@ def load_config(text: str) -> Config:
                 faults.append(f"migrate.{k}: must not be empty")
         migrate = MigrateSpec(
             tables, m.get("replication_slot") or f"slot_{base}", m.get("publication") or f"pub_{base}", m.get("checkpoint_db") or "./checkpoint",
-            _number(m, "batch_size", 10_000, 1, "migrate", faults), _number(m, "lag_threshold_bytes", 1_048_576, 1, "migrate", faults), _number(m, "max_rows_per_second", None, 1, "migrate", faults),
+            _number(m, "batch_size", 10_000, 1, "migrate", faults), _number(
+                m, "lag_threshold_bytes", 1_048_576, 1, "migrate", faults
+            ), _number(m, "max_rows_per_second", None, 1, "migrate", faults),
         )
     verify, cutover, analyze = raw.get("verify") or {}, raw.get("cutover") or {}, raw.get("analyze") or {}
     out = Config(

@@ -170,7 +170,10 @@ class SnapshotStore:
             if name.startswith("p=") and int(name[2:]) > counted:
                 self.files.delete(f"{self.root}/pages/{table}/{name}")
 
-    def apply(self, deltas: dict[str, tuple[DataFrame, list[str], list[str]]], max_lsn: int, batch_id: int = -1, copying: bool = False, held: DataFrame | None = None, **more) -> dict:
+    def apply(
+        self, deltas: dict[str, tuple[DataFrame, list[str], list[str]]], max_lsn: int, batch_id: int = -1, copying: bool = False,
+        held: DataFrame | None = None, **more
+    ) -> dict:
         """Add the changes of a batch to some tables, in one step: states (one for each key), key, and the rows' columns in
         order. ``copying``: rows may yet come that were read before a change, so deletes are kept in mind. ``held``:
         messages that wait for the next batch."""

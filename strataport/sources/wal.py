@@ -357,13 +357,18 @@ def decode(messages: DataFrame, relations: list[Relation] = (), versions: DataFr
     announced are named col_0, col_1, ... by their place. A row whose relation wasn't announced is an error, and so is a
     message that can't be read. ``relations``: those announced before; ``versions``: all, where they are known."""
     parsed = parse(messages)
-    v = (relation_versions(messages, relations) if versions is None else versions).select(*[F.col(c).alias(f"v_{c}") for c in ("relation", "namespace", "name", "columns", "since", "until")])
+    v = (relation_versions(messages, relations) if versions is None else versions).select(*[F.col(c).alias(f"v_{c}") for c in (
+        "relation", "namespace", "name", "columns", "since", "until"
+    )])
     row = F.col("kind").isin("I", "U", "D")
     held = (F.col("seq") >= F.col("v_since")) & (F.col("v_until").isNull() | (F.col("seq") < F.col("v_until")))
     joined = parsed.join(v, row & (F.col("relation") == F.col("v_relation")) & held, "left")
     size = F.greatest(F.size("v_columns"), F.coalesce(F.size("new"), F.lit(0)), F.coalesce(F.size("old"), F.lit(0)))
     extra = F.transform(F.sequence(F.size("v_columns"), size - 1), lambda i: F.concat(F.lit("col_"), i.cast("string")))
-    names = F.when(F.col("v_columns").isNull(), F.raise_error(F.concat(F.lit("a row of relation "), F.col("relation").cast("string"), F.lit(" comes before the relation"))).cast("array<string>"))
+    names = F.when(
+        F.col("v_columns").isNull(),
+        F.raise_error(F.concat(F.lit("a row of relation "), F.col("relation").cast("string"), F.lit(" comes before the relation"))).cast("array<string>")
+    )
     names = F.when(row, names.when(size > F.size("v_columns"), F.concat("v_columns", extra)).otherwise(F.col("v_columns"))).otherwise(F.col("columns"))
     own = {"namespace": F.when(row, F.col("v_namespace")).otherwise(F.col("namespace")), "name": F.when(row, F.col("v_name")).otherwise(F.col("name")), "columns": names}
     return joined.select("seq", *[own.get(c, F.col(c)).alias(c) for c in (f.split()[0] for f in MESSAGE.split(", ") if f.split()[0] in _SCHEMA.names)])

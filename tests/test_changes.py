@@ -18,14 +18,21 @@ from strataport.sources import wal
 from strataport.sources.store import Progress, RunLock, SnapshotStore
 from strataport.streaming.apply import MESSAGES, ChangeApplier, apply_available, message_stream
 
-SPEC = table_spec({"name": "items", "columns": {"id": {"type": "bigint", "rename": "item_id"}, "score": {"type": "bigint"}, "note": {"drop": True}, "label": {"rename": "name"}}, "add_columns": [{"name": "flag", "type": "boolean", "default": "false"}]})
+SPEC = table_spec({
+    "name": "items",
+    "columns": {"id": {"type": "bigint", "rename": "item_id"}, "score": {"type": "bigint"}, "note": {"drop": True}, "label": {"rename": "name"}},
+    "add_columns": [{"name": "flag", "type": "boolean", "default": "false"}]
+})
 R = wal.Relation(7, "public", "items", "d", ("id", "label", "score", "note"))
 OTHER = wal.Relation(8, "audit", "items", "d", ("id", "label"))
 COLUMNS = "id int, label string, score int, note string"
 
 
 def source(spark, n):
-    return spark.range(1, n + 1).select(F.col("id").cast("int").alias("id"), F.concat(F.lit("row_"), "id").alias("label"), (F.col("id") * 10).cast("int").alias("score"), F.lit("x").alias("note"))
+    return spark.range(1, n + 1).select(
+        F.col("id").cast("int").alias("id"), F.concat(F.lit("row_"), "id").alias("label"), (F.col("id") * 10).cast("int").alias("score"),
+        F.lit("x").alias("note")
+    )
 
 
 def t(*values):
@@ -52,19 +59,28 @@ def rows_of(df):
 
 
 def test_changes_under_a_spec(spark):
-    log = [wal.relation(R), wal.relation(OTHER), wal.insert(7, t(1, "a", 5, "n")), wal.insert(8, t(1, "no")), wal.update(7, t(1, "b", 6, ...)), wal.update(7, t(1, "c", ..., None)), wal.update(7, t(2, "d", 7, "n"), t(1, None, None, None)), wal.delete(7, t(9, None, None, None)), wal.insert(7, t(3, None, None, None))]
+    log = [
+        wal.relation(R), wal.relation(OTHER), wal.insert(7, t(1, "a", 5, "n")), wal.insert(8, t(1, "no")), wal.update(7, t(1, "b", 6, ...)),
+        wal.update(7, t(1, "c", ..., None)), wal.update(7, t(2, "d", 7, "n"), t(1, None, None, None)), wal.delete(7, t(9, None, None, None)),
+        wal.insert(7, t(3, None, None, None))
+    ]
     plan = H.plan_of(SPEC, source(spark, 1), ["id"])
     got = H.table_changes(wal.decode(spark.createDataFrame(list(enumerate(log)), MESSAGES)), plan)
     assert got.columns == ["item_id", "lsn", "op", "name", "score", "flag", "sent_name", "sent_score", "sent_flag"] and dict(got.dtypes)["item_id"] == "bigint"
     found = sorted((r.lsn, r.op, r.item_id, r["name"], r.score, r.sent_score) for r in got.collect())
-    assert found == [(2, "I", 1, "a", 5, True), (4, "U", 1, "b", 6, True), (5, "P", 1, "c", None, False), (6, "D", 1, None, None, None), (6, "I", 2, "d", 7, True), (7, "D", 9, None, None, True), (8, "I", 3, None, None, True)]
+    assert found == [
+        (2, "I", 1, "a", 5, True), (4, "U", 1, "b", 6, True), (5, "P", 1, "c", None, False), (6, "D", 1, None, None, None), (6, "I", 2, "d", 7, True),
+        (7, "D", 9, None, None, True), (8, "I", 3, None, None, True)
+    ]
     rows = C.living(H.change_states(got, plan), plan.target_key, plan.values)
     assert sorted(map(tuple, rows.collect()), key=str) == [(2, "d", 7, False), (3, None, None, False)]
     lost = [wal.relation(R), wal.update(7, t(2, "d", ..., None), t(1, None, None, None))]
     with pytest.raises(Exception, match="leaves values unsent"):
         H.table_changes(wal.decode(spark.createDataFrame(list(enumerate(lost)), MESSAGES)), plan).collect()
     whole = [wal.relation(R), wal.update(7, t(2, "d", ..., None), t(1, "c", 4, None), "O")]
-    assert sorted((r.op, r.item_id, r.score) for r in H.table_changes(wal.decode(spark.createDataFrame(list(enumerate(whole)), MESSAGES)), plan).collect()) == [("D", 1, None), ("I", 2, 4)]
+    assert sorted((r.op, r.item_id, r.score) for r in H.table_changes(
+        wal.decode(spark.createDataFrame(list(enumerate(whole)), MESSAGES)), plan
+    ).collect()) == [("D", 1, None), ("I", 2, 4)]
 
 
 def simulate(rows, ops):
@@ -101,7 +117,11 @@ def test_applier_equals_one_by_one(spark, tmp_path, seed):
             for _ in range(rng.randrange(1, 6)):
                 k = rng.randrange(1, 30)
                 ops.append(rng.choice([("I", k, f"i{rng.random()}", k), ("U", k, f"u{rng.random()}", None), ("P", k, f"p{rng.random()}"), ("D", k), ("M", k, 100 + k, "moved", 1)]))
-            as_message = {"I": lambda k, a, b: wal.insert(7, t(k, a, b, "n")), "U": lambda k, a, b: wal.update(7, t(k, a, b, "n")), "P": lambda k, a: wal.update(7, t(k, a, ..., "n")), "D": lambda k: wal.delete(7, t(k, None, None, None)), "M": lambda k, to, a, b: wal.update(7, t(to, a, b, "n"), t(k, None, None, None))}
+            as_message = {
+                "I": lambda k, a, b: wal.insert(7, t(k, a, b, "n")), "U": lambda k, a, b: wal.update(7, t(k, a, b, "n")), "P": lambda k,
+                a: wal.update(7, t(k, a, ..., "n")), "D": lambda k: wal.delete(7, t(k, None, None, None)), "M": lambda k, to, a,
+                b: wal.update(7, t(to, a, b, "n"), t(k, None, None, None))
+            }
             log.transaction(*[as_message[o](*x) for o, *x in ops], wal.insert(8, t(1, "elsewhere")))
             done += ops
         assert apply_available(message_stream(spark, f"file://{tmp_path}/log", 2), ChangeApplier(store, [plan]), f"file://{tmp_path}/cp")

@@ -150,7 +150,10 @@ def test_texts(spark):
 
 
 def test_report_texts(spark):
-    row = spark.range(1).select(X.count_text(F.lit(1234567)), X.scale_text(F.lit(1_600_000)), X.scale_text(F.lit(3 << 30)), X.redacted(F.lit(None).cast("string")), X.redacted(F.lit("z" * 61)), X.listed(F.lit("a,b")), X.listed(F.lit(""))).first()
+    row = spark.range(1).select(
+        X.count_text(F.lit(1234567)), X.scale_text(F.lit(1_600_000)), X.scale_text(F.lit(3 << 30)), X.redacted(F.lit(None).cast("string")),
+        X.redacted(F.lit("z" * 61)), X.listed(F.lit("a,b")), X.listed(F.lit(""))
+    ).first()
     assert list(row) == ["1,234,567", "1.5 MB", "3.0 GB", "NULL", "z" * 57 + "...", ["a", "b"], []]
 
 

@@ -30,7 +30,10 @@ def brute(rows, key, by):
 @pytest.mark.parametrize(("key", "by"), [(["n"], None), (["n"], "g"), (["s"], "g"), (["a", "s"], None)])
 def test_running_values(spark, key, by):
     rng = random.Random(5)
-    rows = [{"n": i, "s": f"k{i * 7919 % 500:04d}", "a": 0 if i < 300 else i % 3, "g": rng.choice(["hot", "hot", "hot", "cold", None]), "v": rng.choice([None, None, rng.randrange(50)])} for i in range(500)]
+    rows = [{
+        "n": i, "s": f"k{i * 7919 % 500:04d}", "a": 0 if i < 300 else i % 3, "g": rng.choice(["hot", "hot", "hot", "cold", None]),
+        "v": rng.choice([None, None, rng.randrange(50)])
+    } for i in range(500)]
     df = spark.createDataFrame(rows, "n long, s string, a long, g string, v long").repartition(5)
     got = running(df, key, by, parts=7, before=("sum", F.lit(1)), last=("last", F.col("v")), top=("max", F.col("v")), coming=("next", F.col("v")))
     assert {r.n: (r.before, r.last, r.top, r.coming) for r in got.collect()} == brute(rows, key, by)

@@ -20,7 +20,9 @@ def messages(n, seed=3):
         if len(out) == n // 2:
             out.append(wal.relation(R[1]))
         out.append(rng.choice([
-            lambda: wal.begin(rng.getrandbits(60), wal.EPOCH + rng.randrange(10**9), rng.getrandbits(32)), lambda: wal.commit(len(out), len(out) + 1, wal.EPOCH - 5), lambda: wal.insert(7, cells(k)),
+            lambda: wal.begin(
+                rng.getrandbits(60), wal.EPOCH + rng.randrange(10**9), rng.getrandbits(32)
+            ), lambda: wal.commit(len(out), len(out) + 1, wal.EPOCH - 5), lambda: wal.insert(7, cells(k)),
             lambda: wal.update(7, cells(2), cells(2), rng.choice("KO")), lambda: wal.update(7, cells(k)), lambda: wal.delete(9, cells(1), "O"), lambda: wal.truncate([7, 9]), lambda: wal.relation(R[2]),
             lambda: b"O" + (5).to_bytes(8, "big") + b"other\0", lambda: b"Y" + (4).to_bytes(4, "big") + b"public\0mood\0", lambda: b"M\0" + (6).to_bytes(8, "big") + b"note\0" + (2).to_bytes(4, "big") + b"hi",
         ])())
@@ -58,7 +60,11 @@ def test_faults(spark):
 def test_columns_encode_like_functions(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "é", "")], "seq long, a string, b string")
     new = wal.tuple_of(wal.cell(F.col("a")), wal.cell(F.col("b"), F.col("seq") == 2))
-    got = df.select(wal.insert_of(7, new).alias("i"), wal.update_of(7, new, wal.tuple_of(wal.cell(F.col("a"))), "O").alias("u"), wal.delete_of(F.lit(7), new).alias("d"), wal.begin_of(F.col("seq"), F.lit(5), F.lit(3)).alias("b"), wal.commit_of(F.col("seq"), F.lit(9), F.lit(-1)).alias("c")).collect()
+    got = df.select(
+        wal.insert_of(7, new).alias("i"), wal.update_of(7, new, wal.tuple_of(wal.cell(F.col("a"))), "O").alias("u"),
+        wal.delete_of(F.lit(7), new).alias("d"), wal.begin_of(F.col("seq"), F.lit(5), F.lit(3)).alias("b"),
+        wal.commit_of(F.col("seq"), F.lit(9), F.lit(-1)).alias("c")
+    ).collect()
     for r, a, b, n in zip(got, "aé", (("n", None), ("u", None)), (1, 2)):
         row = [("t", a), b]
         assert [bytes(x) for x in r] == [wal.insert(7, row), wal.update(7, row, [("t", a)], "O"), wal.delete(7, row), wal.begin(n, 5, 3), wal.commit(n, 9, -1)]
